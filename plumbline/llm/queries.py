@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, packing, simhash
+from . import decontaminate, exact, packing, secrets, simhash, toxicity, warc
 from .common import table, written
 
 
@@ -38,13 +38,37 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     prints = written(simhash.with_fingerprint(docs).select(F.col("_row")["doc_id"].alias("doc_id"), "fp"), "prints")
     return simhash.near_components(prints).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_decontaminate, op3_exact_dedup, op5_simhash)}
+def _of_rule(i: int):
+    return lambda h: h["rule"] == i
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = secrets.RULES
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"), rules)
+    counts = [F.size(F.filter("hits", _of_rule(i))).cast("bigint").alias(f"n_{r.kind}") for i, r in enumerate(rules) if r.base]
+    bases = F.array(*[F.lit(r.base) for r in rules])
+    base = secrets.spelled(F.filter("hits", lambda h: bases[h["rule"]]), rules)
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.spelled(F.col("hits"), rules).alias("spans"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model).select("doc_id", *toxicity.NEW)
+
+
+QUERIES = {f.__name__: f for f in (op1_pack, op2_decontaminate, op3_exact_dedup, op4_warc, op5_simhash, op6_secrets, op8_toxicity)}
 
 ORACLE = {
     "op3_exact_dedup": r"""
@@ -52,6 +76,14 @@ ORACLE = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(body) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY body)""",
+    "op4_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS lowest FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id > lowest THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id > lowest THEN lowest END AS refers_to
+        FROM f""",
+    "op6_secrets": secrets.oracle(),
 }
 
 
