@@ -1,18 +1,20 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 Severity has three grades: 0 clean, 1 toxic, 2 heavily toxic.  Labels say toxic
-or not; toxic training texts whose share of telling words is above the median
-of all toxic ones get grade 2.  The model is P(grade > k) = s(w x - t_k) with one
+or not; toxic training texts with more telling words than the median of all
+toxic ones get grade 2.  The model is P(grade > k) = s(w x - t_k) with one
 weight vector w for both ordered thresholds t_0 < t_1; expected severity is the
 sum of both probabilities, and a text is toxic when P(grade > 0) reaches 0.5.
 
-Features are words and their first four and six bytes (stems, for inflected
+Features are words and their first four to six bytes (stems, for inflected
 languages).  Document frequencies by label are counted over the training rows;
-the MOST_FEATURES features with the most telling log odds are kept, and a text
-is the logarithm of one plus the count of each, and of their share.
+features in enough toxic texts and with high odds are ranked by their log
+odds over its standard error and the first MOST_FEATURES are kept, and a text
+is one plus the logarithm of the count of each it holds.
+As features tell of toxicity, weights are not negative.
 
 Fitting uses at most ``sample`` labelled rows of each class, those of the
-smallest hash of doc_id; everything that is scored is scored whole.
+smallest hash of doc_id, equal texts once; everything that is scored is scored whole.
 
 Null text counts as empty, and scores like a text without any telling word.
 Labels that are null, or whose doc_id is null, are not learned from; several
@@ -35,15 +37,18 @@ from .common import as_row, byte_values, require_columns, row_columns
 from .decontaminate import words_of
 
 SAMPLE = 6000
-MOST_FEATURES = 768
-LEAST_Z = 4.0
-LEAST_DOCS = 4
+MOST_FEATURES = 512
+LEAST_Z = 5.0
+#: Words of either class alike say little, however many there are: least log odds.
+LEAST_ODDS = 2.0
+#: Of the toxic texts, the share that must hold a feature, and the least number.
+LEAST_SHARE, LEAST_DOCS = 0.005, 4
 CACHED_WORDS = 200_000
 
 
 def features_of(word: bytes) -> list[bytes]:
     """The word itself and its stems; stems end in a byte no word holds."""
-    return [word, *(word[:n] + b"*" for n in (4, 6) if len(word) > n)]
+    return [word, *(word[:n] + b"*" for n in (4, 5, 6) if len(word) > n)]
 
 
 @dataclass
@@ -75,9 +80,8 @@ class OrdinalModel:
         return found, len(words), telling
 
     def vector(self, text: bytes) -> tuple[list[int], list[float]]:
-        found, words, telling = self.counts(text)
-        share = np.log1p(100.0 * telling / words) if words else 0.0
-        return [*found, len(self.index)], [*np.log1p(list(found.values())), share]
+        found, _, _ = self.counts(text)
+        return list(found), [1.0 + float(np.log(n)) for n in found.values()]
 
     def passes(self, text: bytes) -> np.ndarray:
         """P(grade > 0), P(grade > 1)."""
@@ -89,7 +93,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """(text, toxic) of the sampled labels; at most 2 * sample ids are sent to the executors."""
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     parts = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").select("text", "toxic")
+    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").select("text", "toxic").distinct()
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
@@ -112,30 +116,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMode
     c, t, nc, nt = F.col("c"), F.col("t"), totals[0], totals[1]
     odds = F.log((t + 0.5) / (nt - t + 0.5)) - F.log((c + 0.5) / (nc - c + 0.5))
     z = odds / F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-    best = counts.where(t >= LEAST_DOCS).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(MOST_FEATURES)
+    best = counts.where(t >= max(LEAST_DOCS, LEAST_SHARE * nt)).where(odds >= LEAST_ODDS).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(MOST_FEATURES)
     model = OrdinalModel({bytes(r["feature"]): i for i, r in enumerate(best.collect())})
     if not model.index:
         return OrdinalModel()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.vector(text) for text in byte_values(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([i for i, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))], names=["toxic", "ids", "values"])
+            texts = list(byte_values(batch.column(0)))
+            found = [model.vector(text) for text in texts]
+            amounts = [telling for _, _, telling in map(model.counts, texts)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([i for i, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32())), pa.array(amounts, pa.int64())], names=["toxic", "ids", "values", "amount"])
 
     # at most 2 * sample sparse rows
-    train = sorted((r["toxic"], r["ids"], r["values"]) for r in rows.mapInArrow(vectors, "toxic int, ids array<int>, values array<float>").collect())
-    x = np.zeros((len(train), len(model.index) + 1), dtype=np.float32)
-    for row, (_, ids, values) in enumerate(train):
+    train = sorted(tuple(r) for r in rows.mapInArrow(vectors, "toxic int, ids array<int>, values array<float>, amount long").collect())
+    x = np.zeros((len(train), len(model.index)), dtype=np.float32)
+    for row, (_, ids, values, _) in enumerate(train):
         x[row, ids] = values
     toxic = np.array([r[0] for r in train])
-    share = x[:, -1]
-    grade = np.where(toxic == 0, 0, np.where(share > np.median(share[toxic == 1]), 2, 1))
+    amount = np.array([r[3] for r in train])
+    grade = np.where(toxic == 0, 0, np.where(amount > np.median(amount[toxic == 1]), 2, 1))
     model.weights, model.thresholds = fit_ordinal(x, grade)
     return model
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = 3, steps: int = 400, rate: float = 0.1, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and increasing thresholds by gradient ascent (Adam) on the likelihood of the grades."""
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = 3, steps: int = 400, rate: float = 0.1, ridge: float = 3e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative weights and increasing thresholds by projected gradient ascent (Adam) on the likelihood of the grades."""
     n, d = x.shape
     share = [min(max(float(np.mean(grade > k)), 1e-3), 1 - 1e-3) for k in range(grades - 1)]
     start = np.array([np.log((1 - s) / s) for s in share])
@@ -160,6 +166,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = 3, steps: int =
         g = np.concatenate([x.T @ ds.astype(np.float32) - ridge * theta[:d], tail[:1], tail[1:] * gaps])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        np.maximum(theta[:d], 0.0, out=theta[:d])
     return theta[:d], theta[d] + np.concatenate([[0.0], np.cumsum(np.exp(theta[d + 1 :]))])
 
 
