@@ -9,6 +9,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Of an Arrow batch of texts.
+BATCH_BYTES = 8 << 20
 #: ASCII white space [\x20\x09-\x0D]; exactly what ``bytes.split()`` splits on.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
@@ -47,6 +49,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of a few megabytes, so that a worker's memory does not depend on them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def text_bytes(column: str = "text"):
+    """The text in UTF-8; null stays null."""
+    return F.col(column).cast("binary")
+
+
 def byte_values(column) -> Iterable[bytes]:
     """Values of an Arrow binary column, null as empty."""
     return (x or b"" for x in column.to_pylist())

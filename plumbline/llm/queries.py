@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, packing, secrets, simhash, toxicity, warc
+from . import decontaminate, exact, language_model, packing, quality, secrets, simhash, toxicity, urls, warc
 from .common import table, written
 
 
@@ -62,13 +62,31 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.spelled(F.col("hits"), rules).alias("spans"))
 
 
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(docs, model).select("doc_id", *toxicity.NEW)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_decontaminate, op3_exact_dedup, op4_warc, op5_simhash, op6_secrets, op8_toxicity)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = quality.fold(4, 2)
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return quality.score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "difference")
+
+
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(table(spark, sf_dir, "documents"), quality.fold(10, 0))
+
+
+QUERIES = {f.__name__: f for f in (op1_pack, op2_decontaminate, op3_exact_dedup, op4_warc, op5_simhash, op6_secrets, op7_url_filter, op8_toxicity, op9_quality, op10_language_model)}
 
 ORACLE = {
     "op3_exact_dedup": r"""
