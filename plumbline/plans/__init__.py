@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Registered queries: each module below adds those of its area to the registry."""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+AREAS = ("retrieval", "verification", "review", "measures")
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -26,9 +27,18 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    from importlib import import_module
+
+    for area in AREAS:
+        import_module(f"{__package__}.{area}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
