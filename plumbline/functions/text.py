@@ -80,7 +80,8 @@ def snippet(text: Column, length: int = 200) -> Column:
 
 def clamp(value: Column, default: float) -> Column:
     """A number from 0 to 1; ``default`` where there is none."""
-    return F.coalesce(F.greatest(F.least(value.try_cast("double"), F.lit(1.0)), F.lit(0.0)), F.lit(default))
+    number = value.try_cast("double")
+    return F.when(number.isNull(), F.lit(default)).otherwise(F.greatest(F.least(number, F.lit(1.0)), F.lit(0.0)))
 
 
 def as_list(value: Column) -> Column:
