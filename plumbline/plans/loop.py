@@ -9,11 +9,12 @@ get a second round, and both are put together.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULTS, EngineConfig
+from ..config import ABLATIONS, DEFAULTS, EngineConfig
 from ..functions import text as fx
 from ..operators import debate, verify
 from ..operators.lexical import LexicalIndex
@@ -77,3 +78,18 @@ def split_by_cache(asked: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFr
     """Questions answered by the cache (query_id, hit, nearest_id) and those that are not."""
     known = hits.where("hit").select("query_id", "nearest_id")
     return asked.join(known, "query_id"), asked.join(known, "query_id", "left_anti")
+
+
+def ablations(asked: DataFrame, docs: DataFrame, generate: Generator = overlap_generator, config: EngineConfig = DEFAULTS) -> DataFrame:
+    """The review once per variant, over one index: (variant, query_id, ...)."""
+    folder = shared_path(docs.sparkSession, "index")
+    LexicalIndex.build(docs).save(folder)
+    index = LexicalIndex.load(docs.sparkSession, folder)
+    parts = [
+        review(asked, docs, generate, replace(config, max_rounds=rounds), use_defense=defense, use_scoring=scoring, index=index).withColumn("variant", F.lit(name))
+        for name, defense, scoring, _, rounds in ABLATIONS
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
