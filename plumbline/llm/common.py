@@ -54,6 +54,29 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_held: dict[tuple, object] = {}
+
+
+def hold(owner: str, key: object = None, make=None):
+    """What a Python worker keeps between batches, of one operator at a time.
+
+    Workers outlive the stage that started them; when another operator runs in one, what the last one kept
+    is dropped.
+    """
+    import pyarrow as pa
+
+    others = [k for k in _held if k[0] != owner]
+    for k in others:
+        del _held[k]
+    if others:
+        pa.default_memory_pool().release_unused()
+    if make is None:
+        return None
+    if (owner, key) not in _held:
+        _held[owner, key] = make()
+    return _held[owner, key]
+
+
 def text_bytes(column: str = "text"):
     """The text in UTF-8; null stays null."""
     return F.col(column).cast("binary")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_row, byte_values, require_columns, row_columns, written
+from .common import as_row, bounded_batches, byte_values, hold, require_columns, row_columns, written
 
 #: Bytes that are not part of a word become spaces, A-Z become a-z.
 WORD_TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 32 for c in range(256))
@@ -101,6 +101,30 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
+def scanner(shared):
+    """The scan of a broadcast list of matchers, on top of what earlier blocks found."""
+
+    @F.arrow_udf("n_words long, hit_spans array<int>, hit_items array<string>")
+    def scan(texts: pa.Array, had_spans: pa.Array, had_items: pa.Array) -> pa.Array:
+        hold("decontaminate")
+        matchers = shared.value
+        counts, spans, found = [], [], []
+        for text, had, owners in zip(byte_values(texts), had_spans.to_pylist(), had_items.to_pylist(), strict=True):
+            words = words_of(text)
+            hits = list(zip(had[::2], had[1::2], strict=True)) if had else []
+            names = set(owners or ())
+            for matcher in matchers:
+                for at, pattern in matcher.scan(words):
+                    hits.append((at, at + matcher.length))
+                    names.update(matcher.owners[pattern])
+            counts.append(len(words))
+            spans.append(merged(hits))
+            found.append(sorted(names))
+        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], names=["n_words", "hit_spans", "hit_items"])
+
+    return scan
+
+
 def _scanned(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int) -> DataFrame:
     require_columns(docs, "text")
     require_columns(benchmark, "item_id", "text")
@@ -108,6 +132,7 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int
     size = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     blocks = max(1, -(-size // block_bytes))
     spark = docs.sparkSession
+    bounded_batches(spark)
     state = docs.select(as_row(docs), F.lit(0).cast("bigint").alias("n_words"), F.lit(None).cast("array<int>").alias("hit_spans"), F.lit(None).cast("array<string>").alias("hit_items"))
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
@@ -115,25 +140,7 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int
         rows = [(r["item"], bytes(r["text"] or b"")) for r in block.collect()]
         shared = spark.sparkContext.broadcast(build_matchers(rows, width))
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matchers = shared.value
-            for batch in batches:
-                old_spans, old_items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                counts, spans, found = [], [], []
-                for text, had, owners in zip(byte_values(batch.column(4)), old_spans, old_items, strict=True):
-                    words = words_of(text)
-                    hits = list(zip(had[::2], had[1::2], strict=True)) if had else []
-                    names_hit = set(owners or ())
-                    for matcher in matchers:
-                        for at, pattern in matcher.scan(words):
-                            hits.append((at, at + matcher.length))
-                            names_hit.update(matcher.owners[pattern])
-                    counts.append(len(words))
-                    spans.append(merged(hits))
-                    found.append(sorted(names_hit))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], names=batch.schema.names[:4])
-
-        state = state.withColumn("_text", F.col("_row")["text"].cast("binary")).mapInArrow(scan, state.schema)
+        state = state.select("_row", scanner(shared)(F.col("_row")["text"].cast("binary"), "hit_spans", "hit_items").alias("s")).select("_row", "s.*")
         if k + 1 < blocks:
             state = written(state, "hits")
     return state

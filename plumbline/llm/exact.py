@@ -22,15 +22,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACE_CLASS, drop_rows, require_columns, shared_path, without, written
+from .common import BROADCAST_ROWS, SPACE_CLASS, as_row, drop_rows, require_columns, row_columns, shared_path, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Session settings while a state query starts: state on disk, with bounded memory.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
-    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    # stores of a finished query are closed soon
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
     # many small stores: no space set aside in advance
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
@@ -116,8 +118,9 @@ def exact_groups(docs: DataFrame, locator: str | None = None, key_digits: int =
 
 def dedup_exact(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they are."""
-    rows = written(docs.withColumn("_plumb_row", F.monotonically_increasing_id()), "numbered")
-    gone = exact_groups(rows, "_plumb_row").where("NOT kept").select(F.col("locator").alias("_plumb_row"))
-    return without(drop_rows(rows, written(gone, "gone"), "_plumb_row"), "_plumb_row")
+    require_columns(docs, "doc_id", "text")
+    rows = written(docs.select(as_row(docs), F.monotonically_increasing_id().alias("row")), "numbered")
+    gone = exact_groups(rows.select("row", "_row.doc_id", "_row.text"), "row").where("NOT kept").select(F.col("locator").alias("row"))
+    return drop_rows(rows, written(gone, "gone"), "row").select(*row_columns(docs))
 
 

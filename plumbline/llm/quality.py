@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_row, bounded_batches, byte_values, require_columns, row_columns, text_bytes
+from .common import as_row, bounded_batches, byte_values, hold, require_columns, row_columns, text_bytes
 
 SAMPLE = 4000
 FRAGMENTS, FRAGMENT_BYTES = 4000, 2048
@@ -37,18 +37,18 @@ BLOCK_BYTES = 512
 LEVEL = 1
 THRESHOLD = 0.7
 
-_coders: dict[bytes, object] = {}
-
 
 def coder(dictionary: bytes):
     """One compressor per Python worker and dictionary; the digested dictionary belongs to it alone."""
-    if dictionary not in _coders:
+
+    def make():
         import zstandard
 
         data = zstandard.ZstdCompressionDict(dictionary)
         data.precompute_compress(level=LEVEL)
-        _coders[dictionary] = zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
-    return _coders[dictionary]
+        return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    return hold("quality", dictionary, make)
 
 
 @dataclass

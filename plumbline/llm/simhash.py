@@ -29,7 +29,6 @@ read.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -37,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_row, byte_values, drop_rows, require_columns, row_columns, written
+from .common import as_row, bounded_batches, byte_values, hold, drop_rows, require_columns, row_columns, text_bytes, written
 from .components import components
 
 SHINGLE_WORDS = 3
@@ -72,14 +71,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
 def with_fingerprint(docs: DataFrame) -> DataFrame:
     """(_row, fp): all columns of ``docs`` as a struct and the fingerprint as a signed long."""
     require_columns(docs, "text")
+    bounded_batches(docs.sparkSession)
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = np.fromiter((fingerprint(t) for t in byte_values(batch.column(1))), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["_row", "fp"])
+    @F.arrow_udf("long")
+    def prints(texts: pa.Array) -> pa.Array:
+        hold("simhash")
+        return pa.array(np.fromiter((fingerprint(t) for t in byte_values(texts)), dtype=np.uint64, count=len(texts)).view(np.int64))
 
-    source = docs.select(as_row(docs), F.col("text").cast("binary").alias("_text"))
-    return source.mapInArrow(prints, source.select("_row", F.lit(0).cast("bigint").alias("fp")).schema)
+    return docs.select(as_row(docs), prints(text_bytes()).alias("fp"))
 
 
 def signed(x: int) -> int:

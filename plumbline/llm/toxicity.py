@@ -33,17 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_row, byte_values, require_columns, row_columns
+from .common import as_row, bounded_batches, byte_values, hold, require_columns, row_columns, slices, text_bytes
 from .decontaminate import words_of
 
 SAMPLE = 6000
 MOST_FEATURES = 512
-LEAST_Z = 5.0
+LEAST_Z = 2.8
 #: Words of either class alike say little, however many there are: least log odds.
 LEAST_ODDS = 2.0
 #: Of the toxic texts, the share that must hold a feature, and the least number.
 LEAST_SHARE, LEAST_DOCS = 0.005, 4
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 
 
 def features_of(word: bytes) -> list[bytes]:
@@ -97,12 +97,13 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
+    bounded_batches(docs.sparkSession)
     rows = labelled(docs, labels, sample)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity")
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, 0, 256 << 10):
                 found: dict[bytes, list[int]] = {}
                 for text, toxic in zip(byte_values(part.column(0)), part.column(1).to_pylist(), strict=True):
                     for f in {f for w in set(words_of(text)) for f in features_of(w)}:
@@ -175,17 +176,17 @@ NEW = ("severity", "p_toxic", "p_severe", "grade", "toxic")
 
 def _scored(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     require_columns(docs, "text")
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES features
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("severity double, p_toxic double, p_severe double, grade int, toxic boolean")
+    def score(texts: pa.Array) -> pa.Array:
+        hold("toxicity")
         m = shared.value
-        for batch in batches:
-            p = np.array([m.passes(text) for text in byte_values(batch.column(1))]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array((p >= 0.5).sum(axis=1).astype("int32")), pa.array(p[:, 0] >= 0.5)], names=["_row", *NEW])
+        p = np.array([m.passes(text) for text in byte_values(texts)]).reshape(-1, 2)
+        return pa.StructArray.from_arrays([pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array((p >= 0.5).sum(axis=1).astype("int32")), pa.array(p[:, 0] >= 0.5)], names=list(NEW))
 
-    source = docs.select(as_row(docs), F.col("text").cast("binary").alias("_text"))
-    shape = source.select("_row", *[F.lit(0.0).alias(n) for n in NEW[:3]], F.lit(0).alias("grade"), F.lit(True).alias("toxic")).schema
-    return source.mapInArrow(score, shape)
+    return docs.select(as_row(docs), score(text_bytes()).alias("s")).select("_row", "s.*")
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel) -> DataFrame:

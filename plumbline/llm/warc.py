@@ -33,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import require_columns, shared_path, written
+from .common import bounded_batches, require_columns, shared_path, written
 
 REVISIT_BYTES = 100
 SHARD_BYTES = 64 << 20
@@ -184,6 +184,7 @@ def shard_bounds(sizes: DataFrame, shard_bytes: int) -> list[int]:
 def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write all pages below ``folder`` (a URI every executor can write) and return the manifest."""
     require_columns(pages, "page_id", "url", "html")
+    bounded_batches(pages.sparkSession)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     digests = written(pages.select("page_id", F.octet_length(payload).cast("bigint").alias("size"), F.unhex(F.sha2(payload, 256)).alias("digest")), "digests")
     shared = digests.where(f"size >= {int(revisit_bytes)} AND page_id IS NOT NULL")
