@@ -115,14 +115,14 @@ class _Catalog:
 def best_matches(names: DataFrame, catalog: DataFrame, token_sets: bool = False) -> DataFrame:
     """(name, best, ratio): the best catalog name of each distinct ``name``; ties go to the first in order.
 
-    The catalog is dealt into blocks; each block is compared with all names and
-    the best of all blocks wins.  Neither side is collected.
+    Both sides are dealt into blocks of about BLOCK_NAMES; each pair of blocks is one unit of
+    work and the best of all wins.  Neither side is collected.
     """
     blocks = catalog.select(F.col("name").alias("entry")).where("entry IS NOT NULL").distinct()
-    count = max(1, -(-blocks.count() // BLOCK_NAMES))
-    blocks = blocks.groupBy(F.pmod(F.xxhash64("entry"), F.lit(count)).alias("block")).agg(F.collect_list("entry").alias("entries"))
     asked = names.select("name").where("name IS NOT NULL").distinct()
-    pairs = blocks.crossJoin(asked.groupBy(F.pmod(F.xxhash64("name"), F.lit(64)).alias("part")).agg(F.collect_list("name").alias("names")))
+    count, parts = (max(1, -(-x.count() // BLOCK_NAMES)) for x in (blocks, asked))
+    blocks = blocks.groupBy(F.pmod(F.xxhash64("entry"), F.lit(count)).alias("block")).agg(F.collect_list("entry").alias("entries"))
+    pairs = blocks.crossJoin(asked.groupBy(F.pmod(F.xxhash64("name"), F.lit(parts)).alias("part")).agg(F.collect_list("name").alias("names")))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
