@@ -2,11 +2,11 @@
 
 The method is pattern packing by non-negative least squares.  The lengths of
 all pieces form a histogram of at most ``max_len`` bins, whatever the corpus
-holds.  On the driver, lengths are put into classes, patterns of up to four
-classes that fill a sequence are enumerated, non-negative least squares gives
-how often each pattern should be used so that together they reproduce the
-histogram, the counts are rounded and filled with real lengths, and what is
-left goes by best fit, longest first, into the gaps.  The result is a plan of
+holds.  On the driver, lengths are put into classes, patterns of up to three
+of the longer classes that go far to fill a sequence are enumerated, non-negative
+least squares gives how often each pattern should be used so that together they
+reproduce the histogram, the counts are rounded and filled with real lengths,
+and what is left goes by best fit, longest first, into the gaps.  The result is a plan of
 (length, run of ranks) -> (run of sequences, offset), a few thousand lines
 whose number depends on ``max_len`` alone.  The executors then only need the
 rank of each piece among those of its length, which comes from counts by
@@ -20,23 +20,33 @@ empty result.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
+from contextlib import suppress
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_values, require_columns, without, written
-
-#: Chunks of text whose ids a Python worker remembers; beyond it starts afresh.
-CACHED_CHUNKS = 400_000
+from .common import bounded_batches, byte_values, hold, require_columns, slices, without, written
+
+#: Chunks of text whose ids a Python worker keeps: those met more than once, and those met once lately.
+KEPT_CHUNKS, ONCE_CHUNKS = 400_000, 300_000
+#: Bytes of text encoded at once.
+ENCODED_BYTES = 4 << 20
+MARKS, ALNUM = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum()), frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+#: How the vocabulary's special tokens begin.
+SPECIAL = b"<|"
+#: Letters of Latin-1: composed, and lower-cased one by one.
+LATIN = re.compile("[a-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
 LENGTH_CLASSES = 64
-PATTERN_PARTS = 4
+PATTERN_PARTS = 3
+SPARE_COST = 0.01
 
-_encoder = {}
 
 
 # ---------------------------------------------------------------- tokens
@@ -46,38 +56,114 @@ class ChunkEncoder:
     """Token ids of texts, chunk by chunk.
 
     The tokenizer drops white space and never merges across it, so a text's
-    ids are those of its white-space separated chunks in order.
+    ids are those of its white-space separated chunks in order.  It lower-cases,
+    so chunks are looked up in lower-cased A-Z.  Marks after a letter or digit at
+    a chunk's end are a token run of their own.  Chunks of ASCII or plain
+    Latin letters need neither normalising nor splitting and go to the merges directly.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_file(path)
+        form = json.loads(self.whole.to_str()) | {"normalizer": None, "added_tokens": []}
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.latin = Tokenizer.from_str(json.dumps(form | {"pre_tokenizer": byte_level}))
+        self.ascii = Tokenizer.from_str(json.dumps(form | {"pre_tokenizer": None}))
         self.ids: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.once: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {}
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
-        out = []
-        for text in texts:
-            chunks = text.split()
-            new = [c for c in dict.fromkeys(chunks) if c not in self.ids]
-            if len(self.ids) + len(new) > CACHED_CHUNKS:
-                self.ids = {}
-                new = list(dict.fromkeys(chunks))
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                found = self.tokenizer.encode_batch([c.decode() for c in part], add_special_tokens=False)
-                for c, e in zip(part, found, strict=True):
-                    self.ids[c] = np.asarray(e.ids, dtype="<u4").tobytes()
-            out.append(b"".join(map(self.ids.__getitem__, chunks)))
-        return out
+        special = [i for i, t in enumerate(texts) if SPECIAL in t]
+        if special:  # special tokens count in the case they have: those texts are encoded as they are
+            out = self.encode_all([b"" if SPECIAL in t else t for t in texts])
+            for i in special:
+                out[i] = np.array(self.whole.encode(texts[i].decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return out
+        split = [t.lower().split() for t in texts]
+        if len(self.ids) > KEPT_CHUNKS:
+            self.ids, self.old = {}, self.ids
+        chunks = list(chain.from_iterable(split))
+        found = list(map(self.ids.get, chunks))
+        missing: list[int] = []
+        with suppress(ValueError):  # the last index() finds none
+            at = found.index(None)
+            while True:
+                missing.append(at)
+                at = found.index(None, at + 1)
+        if missing:
+            known = self._learn({chunks[i] for i in missing})
+            for i in missing:
+                found[i] = known[chunks[i]]
+        ends = list(accumulate(map(len, split), initial=0))
+        return [b"".join(found[s:e]) for s, e in pairwise(ends)]
+
+    def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that are not kept.  A chunk is kept from the second time on."""
+        if len(self.once) > ONCE_CHUNKS:
+            self.once = {}
+        ids, old, once = self.ids, self.old, self.once
+        found: dict[bytes, bytes] = {}
+        marked, todo = [], set()
+        for c in new:
+            if (known := once.pop(c, None) or old.get(c)) is not None:
+                found[c] = ids[c] = known
+                continue
+            core = c.rstrip(MARKS)
+            if len(core) == len(c) or not core or not (core[-1] in ALNUM or LATIN(core.decode())):
+                todo.add(c)
+            elif (known := ids.get(core) or once.get(core)) is not None:
+                found[c] = once[c] = known + self._mark(c[len(core) :])
+            else:
+                marked.append((c, core))
+                todo.add(core)
+        fresh = self._encoded(todo)
+        for c, core in marked:
+            fresh[c] = fresh[core] + self._mark(c[len(core) :])
+        once.update(fresh)
+        found.update(fresh)
+        return found
+
+    def _mark(self, run: bytes) -> bytes:
+        known = self.marks.get(run)
+        if known is None:
+            known = np.array(self.whole.encode(run.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+            if len(self.marks) < 10_000:
+                self.marks[run] = known
+        return known
+
+    def _encoded(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        found: dict[bytes, bytes] = {}
+        plain, latin, other = [], [], []
+        for c in chunks:
+            if c.isalpha():
+                plain.append((c, c.decode()))
+            elif LATIN(text := c.decode()):
+                latin.append((c, text.lower()))
+            else:
+                other.append(c)
+        for tokenizer, words in ((self.ascii, plain), (self.latin, latin)):
+            for at in range(0, len(words), 1000):
+                part = words[at : at + 1000]
+                e = tokenizer.encode([text for _, text in part], is_pretokenized=True, add_special_tokens=False)
+                data = np.array(e.ids, dtype="<u4").tobytes()
+                s = 0
+                for (c, _), end in zip(part, (np.cumsum(np.bincount(e.word_ids, minlength=len(part))) * 4).tolist(), strict=True):
+                    found[c] = data[s:end]
+                    s = end
+        for at in range(0, len(other), 10_000):
+            part = other[at : at + 10_000]
+            for c, e in zip(part, self.whole.encode_batch([c.decode() for c in part], add_special_tokens=False), strict=True):
+                found[c] = np.array(e.ids, dtype="<u4").tobytes()
+        return found
 
 
 def encoder(path: str) -> ChunkEncoder:
     """One encoder per Python worker and vocabulary."""
-    if path not in _encoder:
-        _encoder[path] = ChunkEncoder(path)
-    return _encoder[path]
+    return hold("packing", path, lambda: ChunkEncoder(path))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 4096, end_id: int = 1) -> DataFrame:
@@ -87,6 +173,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 4096, end_
     little-endian).  Only the last piece of a document may be shorter.
     """
     require_columns(docs, "doc_id", "text")
+    bounded_batches(docs.sparkSession)
     end = np.asarray([end_id], dtype="<u4").tobytes()
     source = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -94,8 +181,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 4096, end_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1, ENCODED_BYTES):
                 rows, piece, start, length, ids = [], [], [], [], []
                 for row, data in enumerate(enc.encode_all(list(byte_values(part.column(1))))):
                     data += end
@@ -137,24 +223,30 @@ def nnls(a: np.ndarray, b: np.ndarray, steps: int = 2000) -> np.ndarray:
             if not len(low):
                 x = z
                 break
-            ratio = x[low] / np.maximum(x[low] - z[low], 1e-300)
-            x = np.maximum(x + float(ratio.min(initial=1.0)) * (z - x), 0.0)
-            drop = low[ratio <= ratio.min(initial=1.0)]
+            ratio = np.clip(x[low] / np.maximum(x[low] - z[low], 1e-300), 0.0, 1.0)
+            x = np.maximum(x + float(ratio.min()) * (z - x), 0.0)
+            drop = low[ratio <= ratio.min()]  # one at least, so this ends
             x[drop], passive[drop] = 0.0, False
             if not passive.any():
                 break
     return x
 
 
-def patterns(classes: int = LENGTH_CLASSES, parts: int = PATTERN_PARTS) -> np.ndarray:
-    """All multisets of at most ``parts`` classes that add up to ``classes``: a row each, counts by class."""
+def patterns(classes: int = LENGTH_CLASSES, parts: int = PATTERN_PARTS, least: int | None = None, spare: int | None = None) -> np.ndarray:
+    """Multisets of at most ``parts`` classes that go far to fill ``classes``: a row each, counts by class.
+
+    Classes below ``least`` are left to fill gaps, so a pattern may fall ``spare`` classes short.  Lengths are
+    rounded up to a class, so a pattern of n may still fit if it is less than n classes over.
+    """
+    least = classes // 3 + 1 if least is None else least
+    spare = classes // 3 if spare is None else spare
     found = []
 
     def extend(left: int, largest: int, chosen: list[int]) -> None:
-        if left == 0:
+        if chosen and 1 - len(chosen) <= left <= spare:
             found.append(list(chosen))
-        elif len(chosen) < parts:
-            for c in range(min(left, largest), 0, -1):
+        if len(chosen) < parts:
+            for c in range(min(left + parts - 1, largest), least - 1, -1):
                 extend(left - c, c, [*chosen, c])
 
     extend(classes, classes, [])
@@ -233,7 +325,9 @@ def make_plan(histogram: dict[int, int], max_len: int) -> PackingPlan:
         by_class[-(-n // width)].append(n)
     table = patterns(classes)
     target = np.array([float(sum(left[n] for n in names)) for names in by_class])
-    wanted = np.floor(nnls(table.T, target) + 0.5).astype(np.int64)
+    # one row more holds what each pattern leaves empty against it
+    empty = classes - table @ np.arange(classes + 1)
+    wanted = np.floor(nnls(np.vstack([table.T, SPARE_COST * np.maximum(empty, 0.0)]), np.append(target, 0.0)) + 0.5).astype(np.int64)
 
     def run(c: int) -> int | None:
         while by_class[c] and not left[by_class[c][0]]:
@@ -251,6 +345,8 @@ def make_plan(histogram: dict[int, int], max_len: int) -> PackingPlan:
         todo = int(wanted[i])
         while todo > 0 and all(sum(left[n] for n in by_class[c]) >= m for c, m in need.items()):
             heads = {c: run(c) for c in need}
+            if sum(heads[c] * m for c, m in need.items()) > max_len:
+                break
             t = min(todo, *(left[heads[c]] // m for c, m in need.items()))
             if t > 0:
                 plan.fill_pattern([take(heads[c], t) for c, m in need.items() for _ in range(m)], t)
@@ -271,27 +367,14 @@ def pack_pieces(pieces: DataFrame, max_len: int = 4096) -> DataFrame:
     """Add sequence_id and offset to a table of pieces with a ``length`` from 1 to ``max_len``.
 
     Other columns pass, but those named like the new ones.  The pieces are written once with the task that
-    wrote them (``_block``) and their rank among its pieces of that length;
-    sums over (block, length) turn it into a rank among all of that length.
+    wrote them (``_block``) and their number there.  Ranks within (block, length) and sums over earlier
+    blocks give the rank among all pieces of a length.
     """
     require_columns(pieces, "length")
-    pieces = without(pieces, "_block", "_rank", "_before", "sequence_id", "offset")
+    pieces = without(pieces, "_block", "_row", "_rank", "_before", "sequence_id", "offset")
     at = pieces.columns.index("length")
-
-    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(max_len + 1, dtype=np.int64)
-        block = TaskContext.get().partitionId()
-        for batch in batches:
-            n = batch.column(at).to_numpy(zero_copy_only=False)
-            order = np.argsort(n, kind="stable")
-            values, first, counts = np.unique(n[order], return_index=True, return_counts=True)
-            rank = np.empty(len(n), dtype=np.int64)
-            rank[order] = np.arange(len(n)) - np.repeat(first, counts) + np.repeat(seen[values], counts)
-            seen[values] += counts
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), block), pa.int32()), pa.array(rank)], names=[*batch.schema.names, "_block", "_rank"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    rows = written(pieces.mapInArrow(ranked, f"{fields}, _block int, _rank long"), "pieces")
+    numbered = pieces.withColumns({"_block": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    rows = written(numbered, "pieces")
     counts = rows.groupBy("_block", "length").agg(F.count("*").alias("_n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # max_len rows at most
     plan = make_plan(histogram, max_len)
@@ -300,7 +383,10 @@ def pack_pieces(pieces: DataFrame, max_len: int = 4096) -> DataFrame:
     shared = pieces.sparkSession.sparkContext.broadcast(lines)
     before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_block", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    joined = rows.join(offsets, ["_block", "length"]).select(*pieces.columns, (F.col("_rank") + F.col("_before")).alias("_rank"))
+    inside = Window.partitionBy("_block", "length").orderBy("_row")
+    ranked = rows.withColumn("_rank", F.row_number().over(inside) - 1).join(offsets, ["_block", "length"])
+    joined = ranked.select(*pieces.columns, (F.col("_rank") + F.col("_before")).alias("_rank"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
