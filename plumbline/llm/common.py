@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Of an Arrow batch of texts.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: ASCII white space [\x20\x09-\x0D]; exactly what ``bytes.split()`` splits on.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
