@@ -82,10 +82,10 @@ def grams(text: str) -> frozenset[str]:
 
 
 class _Walk:
-    """Reads an expression from left to right: spellings so far, and what earlier ones asked for."""
+    """Reads an expression from left to right: spellings so far (``whole``: of all of it), and what earlier ones asked for."""
 
     def __init__(self) -> None:
-        self.query, self.spelled = ALWAYS, {""}
+        self.query, self.spelled, self.whole = ALWAYS, {""}, True
 
     def flush(self) -> None:
         self.query = both(self.query, shortest(frozenset(grams(s) for s in self.spelled)))
@@ -96,6 +96,7 @@ class _Walk:
             self.flush()
         elif len(self.spelled) * len(spellings) > MAX_SPELLINGS:
             self.flush()
+            self.whole = False
             self.spelled = set(spellings) if len(spellings) <= MAX_SPELLINGS else {""}
         else:
             self.spelled = {a + b for a, b in product(self.spelled, spellings)}
@@ -152,7 +153,7 @@ def _spellings(items) -> tuple[set[str] | None, Clauses]:
         elif name != "AT":
             exact = False
             walk.flush()
-    spelled = walk.spelled if exact and walk.query == ALWAYS else None
+    spelled = walk.spelled if exact and walk.whole else None
     walk.flush()
     return spelled, walk.query
 
