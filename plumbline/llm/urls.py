@@ -5,12 +5,13 @@ subdomains, and of the rules that fit the longest decides.  URLs no rule fits
 are judged by templates:
 
 1.  Per host, segments of the path that vary by nature (numbers, dates, long
-    identifiers) become wildcards; segments past DEPTH become one.
+    identifiers) become wildcards.
 2.  Level by level, branches below one node are compared: a branch with labels
     is told from its siblings with labels by a two-proportion test.  Branches
     that do not differ are merged into one wildcard.  Branches without labels
     are merged into one as well, and join the labelled wildcard once it stands
-    for MERGED branches.
+    for MERGED branches.  Past DEPTH only nodes that hold labels of both kinds
+    are descended, as far as their paths go; elsewhere what follows becomes one.
 3.  Of each template the share of blocked labels is smoothed,
     (blocked + ALPHA * prior) / (labels + ALPHA), and templates at LEAST_PURITY
     or above are rejected.  The prior is the share among all labels, at most a half.
@@ -70,7 +71,7 @@ def matched(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column
 
 
 def segments(path: Column) -> Column:
-    """At most DEPTH + 1 segments, those that vary by nature as wildcards."""
+    """All segments, those that vary by nature as wildcards."""
 
     def general(s: Column) -> Column:
         plain = F.translate(s, UPPER + "{}", LOWER + "()")
@@ -81,16 +82,23 @@ def segments(path: Column) -> Column:
             .otherwise(plain)
         )
 
-    all_of = F.filter(F.split(path, "/"), lambda s: s != "")
-    cut = F.transform(F.slice(all_of, 1, DEPTH), general)
-    return F.when(F.size(all_of) > DEPTH, F.concat(cut, F.array(F.lit(REST)))).otherwise(cut)
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), general)
 
 
 def template_tree(counts: DataFrame) -> DataFrame:
     """``counts`` (host, segs, n, blocked, allowed) with ``template``, the branch each row ends in after merging."""
-    tree = counts.withColumn("template", F.lit(""))
-    for level in range(DEPTH + 1):
-        branch = tree.withColumn("child", F.coalesce(F.get("segs", F.lit(level)), F.lit("")))
+    tree = counts.withColumns({"template": F.lit(""), "live": F.size("segs") > 0})
+    level = 0
+    while level < DEPTH or tree.where("live").limit(1).count():
+        child = F.get("segs", F.lit(level))
+        if level >= DEPTH:
+            mixed = tree.where("live").groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
+            tree = tree.join(mixed.select("host", "template", ((F.col("b") > 0) & (F.col("a") > 0)).alias("open")), ["host", "template"], "left")
+            tree = tree.withColumn("open", F.coalesce("open", F.lit(False)))
+            child = F.when(F.col("open"), child).otherwise(REST)
+        else:
+            tree = tree.withColumn("open", F.lit(True))
+        branch = tree.withColumn("child", F.when(F.col("live"), child).otherwise(F.lit("")))
         children = branch.groupBy("host", "template", "child").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
         nodes = children.groupBy("host", "template").agg(F.sum("b").alias("all_b"), F.sum("a").alias("all_a"))
         both = children.join(nodes, ["host", "template"])
@@ -109,9 +117,11 @@ def template_tree(counts: DataFrame) -> DataFrame:
             .otherwise(F.col("child"))
         )
         merged = told.join(alike, ["host", "template"]).select("host", "template", "child", name.alias("name"))
-        deeper = F.when(F.size("segs") > level, F.concat_ws("/", "template", "name")).otherwise(F.col("template"))
-        tree = written(branch.join(merged, ["host", "template", "child"]).select("host", "segs", "n", "blocked", "allowed", deeper.alias("template")), f"tree-{level}")
-    return tree
+        deeper = F.when(F.col("live"), F.concat_ws("/", "template", "name")).otherwise(F.col("template"))
+        live = F.col("live") & F.col("open") & (F.size("segs") > level + 1)
+        tree = written(branch.join(merged, ["host", "template", "child"]).select("host", "segs", "n", "blocked", "allowed", deeper.alias("template"), live.alias("live")), f"tree-{level}")
+        level += 1
+    return tree.drop("live")
 
 
 def rejected(tree: DataFrame) -> DataFrame:
