@@ -108,6 +108,24 @@ def require_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns {missing}; got {df.columns}")
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
+    """(text, label), a written table of distinct rows: at most ``sample`` of each label 0 and 1.
+
+    Labels are sampled by the hash of their doc_id, and the texts found for them once more by the hash of the
+    text, so that a doc_id of many rows does not make the sample longer.  Texts of equal 64-bit hash count as one
+    when the sample is bounded.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias(label)).distinct()
+    classes = (0, 1)
+    chosen = [known.where(F.col(label) == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in classes]
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    hashed = docs.select("doc_id", F.xxhash64(text).alias("_h")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("_h", label).distinct()
+    hashes = written(hashed, "label-hashes")
+    kept = [hashes.where(F.col(label) == c).orderBy("_h").limit(sample) for c in classes]
+    found = docs.select(text.alias("text")).withColumn("_h", F.xxhash64("text")).join(F.broadcast(kept[0].unionByName(kept[1])), "_h")
+    return written(found.select("text", label).distinct(), "labelled")
+
+
 #: Rows a side may have to be broadcast; a row is a few dozen bytes.
 BROADCAST_ROWS = 200_000
 

@@ -6,8 +6,8 @@ the two sizes over the text's length says which dictionary knows it better.
 Logistic regression on labelled rows that the dictionaries have not seen turns
 the difference into a score from 0 to 1.
 
-Learning uses a bounded sample: at most ``sample`` labelled rows of each class
-and use, those of the smallest hash of doc_id, of which at most FRAGMENTS
+Learning uses a bounded sample: at most ``sample`` distinct labelled texts of each class
+and use, those of the smallest hashes, of which at most FRAGMENTS
 fragments of FRAGMENT_BYTES make a dictionary.  Texts that are scored are
 compressed whole.  Labels, lang, source and doc_id are no inputs of a score.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_row, bounded_batches, byte_values, hold, require_columns, row_columns, text_bytes
+from .common import as_row, bounded_batches, byte_values, hold, labelled_texts, require_columns, row_columns, text_bytes
 
 SAMPLE = 4000
 FRAGMENTS, FRAGMENT_BYTES = 4000, 2048
@@ -73,13 +73,6 @@ class CompressionModel:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * difference + self.offset, -60, 60)))
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(text, quality) of the sampled labels; at most 2 * sample ids are sent to the executors."""
-    parts = [labels.where(F.col("quality") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
-    ids = parts[0].unionByName(parts[1])
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).join(F.broadcast(ids), "doc_id").select("text", "quality")
-
-
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CompressionModel:
     """A model of the labelled rows; a third of them calibrates, the others make the dictionaries."""
     import zstandard
@@ -97,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Compression
                 cut = [text[at : at + FRAGMENT_BYTES] for at in range(0, len(text), FRAGMENT_BYTES)]
                 yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary()), pa.array([quality] * len(cut), pa.int32())], names=["fragment", "quality"])
 
-    pieces = _sampled(docs, known.where(part != 0), sample).mapInArrow(fragments, "fragment binary, quality int").where(F.octet_length("fragment") >= 16)
+    pieces = labelled_texts(docs, known.where(part != 0), "quality", sample).mapInArrow(fragments, "fragment binary, quality int").where(F.octet_length("fragment") >= 16)
     dictionaries = []
     for c in (1, 0):
         # at most FRAGMENTS * FRAGMENT_BYTES bytes
@@ -116,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Compression
             yield pa.RecordBatch.from_arrays([pa.array([model.difference(t) for t in byte_values(batch.column(0))], pa.float64()), batch.column(1)], names=["difference", "quality"])
 
     # at most 2 * sample numbers
-    rows = sorted(tuple(r) for r in _sampled(docs, known.where(part == 0), sample).mapInArrow(differences, "difference double, quality int").collect())
+    rows = sorted(tuple(r) for r in labelled_texts(docs, known.where(part == 0), "quality", sample).mapInArrow(differences, "difference double, quality int").collect())
     if rows:
         weight = np.array([totals[c] / max(1, sum(r[1] == c for r in rows)) for c in (0, 1)])
         model.slope, model.offset = fit_logistic(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), weight, prior)

@@ -1,20 +1,23 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 Severity has three grades: 0 clean, 1 toxic, 2 heavily toxic.  Labels say toxic
-or not; toxic training texts with more telling words than the median of all
-toxic ones get grade 2.  The model is P(grade > k) = s(w x - t_k) with one
-weight vector w for both ordered thresholds t_0 < t_1; expected severity is the
-sum of both probabilities, and a text is toxic when P(grade > 0) reaches 0.5.
+or not.  Which toxic training texts are of grade 2 is told by other texts: the
+training rows are dealt into two halves by a checksum of the text, a model of
+two grades is fitted on each, and the toxic texts of the other half that it puts above
+their median get grade 2.  So no text is graded by weights it was fitted with.
 
-Features are words and their first four to six bytes (stems, for inflected
+The model is P(grade > k) = s(w x - t_k) with one weight vector w for both
+ordered thresholds t_0 < t_1; expected severity is the sum of both
+probabilities, and a text is toxic when P(grade > 0) reaches 0.5.
+
+Features are words and their first four to eight bytes (stems, for inflected
 languages).  Document frequencies by label are counted over the training rows;
 features in enough toxic texts and with high odds are ranked by their log
-odds over its standard error and the first MOST_FEATURES are kept, and a text
-is one plus the logarithm of the count of each it holds.
-As features tell of toxicity, weights are not negative.
+odds over its standard error and the first MOST_FEATURES are kept.  The value of
+a feature is the root of how often a hundred words hold it, so that a long text is
+not toxic for one chance word.  As features tell of toxicity, weights are not negative.
 
-Fitting uses at most ``sample`` labelled rows of each class, those of the
-smallest hash of doc_id, equal texts once; everything that is scored is scored whole.
+Fitting uses at most ``sample`` distinct texts of each class; everything that is scored is scored whole.
 
 Null text counts as empty, and scores like a text without any telling word.
 Labels that are null, or whose doc_id is null, are not learned from; several
@@ -25,6 +28,7 @@ named like the new ones.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,22 +37,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_row, bounded_batches, byte_values, hold, require_columns, row_columns, slices, text_bytes
+from .common import as_row, bounded_batches, byte_values, hold, labelled_texts, require_columns, row_columns, slices, text_bytes
 from .decontaminate import words_of
 
 SAMPLE = 6000
-MOST_FEATURES = 512
-LEAST_Z = 2.8
+MOST_FEATURES = 1024
+LEAST_Z = 2.5
 #: Words of either class alike say little, however many there are: least log odds.
 LEAST_ODDS = 2.0
 #: Of the toxic texts, the share that must hold a feature, and the least number.
 LEAST_SHARE, LEAST_DOCS = 0.005, 4
 CACHED_WORDS = 100_000
+#: Rates are taken over the words of a text and as many more.
+EXTRA_WORDS = 30
+STEM_BYTES = (4, 5, 6, 7, 8)
 
 
 def features_of(word: bytes) -> list[bytes]:
     """The word itself and its stems; stems end in a byte no word holds."""
-    return [word, *(word[:n] + b"*" for n in (4, 5, 6) if len(word) > n)]
+    return [word, *(word[:n] + b"*" for n in STEM_BYTES if len(word) > n)]
 
 
 @dataclass
@@ -63,9 +70,9 @@ class OrdinalModel:
     def __getstate__(self) -> dict:
         return {"index": self.index, "weights": self.weights, "thresholds": self.thresholds, "known": {}}
 
-    def counts(self, text: bytes) -> tuple[dict[int, int], int, int]:
-        """Counts by feature, number of words, and number of words with a feature."""
-        words, found, telling = words_of(text), {}, 0
+    def counts(self, text: bytes) -> tuple[dict[int, int], int]:
+        """Counts by feature, and number of words."""
+        words, found = words_of(text), {}
         known = self.known
         for w in words:
             ids = known.get(w)
@@ -73,15 +80,13 @@ class OrdinalModel:
                 if len(known) > CACHED_WORDS:
                     known.clear()
                 ids = known[w] = tuple(self.index[f] for f in features_of(w) if f in self.index)
-            if ids:
-                telling += 1
-                for i in ids:
-                    found[i] = found.get(i, 0) + 1
-        return found, len(words), telling
+            for i in ids:
+                found[i] = found.get(i, 0) + 1
+        return found, len(words)
 
     def vector(self, text: bytes) -> tuple[list[int], list[float]]:
-        found, _, _ = self.counts(text)
-        return list(found), [1.0 + float(np.log(n)) for n in found.values()]
+        found, words = self.counts(text)
+        return list(found), [(100.0 * n / (words + EXTRA_WORDS)) ** 0.5 for n in found.values()]
 
     def passes(self, text: bytes) -> np.ndarray:
         """P(grade > 0), P(grade > 1)."""
@@ -89,16 +94,9 @@ class OrdinalModel:
         return 1.0 / (1.0 + np.exp(np.clip(self.thresholds - float(self.weights[ids] @ np.asarray(values)), -60, 60)))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(text, toxic) of the sampled labels; at most 2 * sample ids are sent to the executors."""
-    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    parts = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id").select("text", "toxic").distinct()
-
-
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
     bounded_batches(docs.sparkSession)
-    rows = labelled(docs, labels, sample)
+    rows = labelled_texts(docs, labels, "toxic", sample)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("toxicity")
@@ -126,22 +124,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMode
         for batch in batches:
             texts = list(byte_values(batch.column(0)))
             found = [model.vector(text) for text in texts]
-            amounts = [telling for _, _, telling in map(model.counts, texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([i for i, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32())), pa.array(amounts, pa.int64())], names=["toxic", "ids", "values", "amount"])
+            halves = [zlib.crc32(text) & 1 for text in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(halves, pa.int32()), pa.array([i for i, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))], names=["toxic", "half", "ids", "values"])
 
     # at most 2 * sample sparse rows
-    train = sorted(tuple(r) for r in rows.mapInArrow(vectors, "toxic int, ids array<int>, values array<float>, amount long").collect())
+    train = sorted(tuple(r) for r in rows.mapInArrow(vectors, "toxic int, half int, ids array<int>, values array<float>").collect())
     x = np.zeros((len(train), len(model.index)), dtype=np.float32)
-    for row, (_, ids, values, _) in enumerate(train):
+    for row, (_, _, ids, values) in enumerate(train):
         x[row, ids] = values
-    toxic = np.array([r[0] for r in train])
-    amount = np.array([r[3] for r in train])
-    grade = np.where(toxic == 0, 0, np.where(amount > np.median(amount[toxic == 1]), 2, 1))
-    model.weights, model.thresholds = fit_ordinal(x, grade)
+    model.weights, model.thresholds = fit_ordinal(x, graded(x, *(np.array([r[i] for r in train]) for i in (0, 1))))
     return model
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = 3, steps: int = 400, rate: float = 0.1, ridge: float = 3e-4) -> tuple[np.ndarray, np.ndarray]:
+def graded(x: np.ndarray, toxic: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """Grades 0, 1 and 2 of training rows; a half without rows of both classes leaves the other's at 1."""
+    grade = toxic.copy()
+    for own in (0, 1):
+        learn, ask = half == own, np.flatnonzero((half != own) & (toxic == 1))
+        if len(ask) and len(set(toxic[learn].tolist())) == 2:
+            weights, _ = fit_ordinal(x[learn], toxic[learn], grades=2)
+            s = x[ask] @ weights.astype(np.float32)
+            grade[ask[s > np.median(s)]] = 2
+    return grade
+
+
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int = 3, steps: int = 400, rate: float = 0.1, ridge: float = 3e-5) -> tuple[np.ndarray, np.ndarray]:
     """Non-negative weights and increasing thresholds by projected gradient ascent (Adam) on the likelihood of the grades."""
     n, d = x.shape
     share = [min(max(float(np.mean(grade > k)), 1e-3), 1 - 1e-3) for k in range(grades - 1)]
