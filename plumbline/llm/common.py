@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +20,12 @@ def shared_root(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach.
 
     It is the one named in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests, a single machine) a temporary folder is made and set.
+    on a local master (tests) a temporary folder is made and set; elsewhere it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -50,7 +53,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Send texts to Python in batches of a few megabytes, so that a worker's memory does not depend on them."""
+    """Send texts to Python in batches of a few megabytes, so that a worker's memory does not depend on them.
+
+    Results are computed when they are asked for, so the setting stays.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
@@ -126,18 +132,73 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, sample: int)
     return written(found.select("text", label).distinct(), "labelled")
 
 
-#: Rows a side may have to be broadcast; a row is a few dozen bytes.
-BROADCAST_ROWS = 200_000
+#: Where a row lies: the task that wrote it, and its number among all rows (that of the block in the upper bits).
+PLACE = ("_block", "_row_no")
+#: Rows of a block whose marks lie together.
+SEGMENT = 128
 
 
-def drop_rows(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """``df`` without the rows whose ``key`` is in ``gone`` (a written table).
+@dataclass(frozen=True)
+class Numbered:
+    """A written table whose rows know their PLACE, the folder it lies in, and its number of buckets.
 
-    ``gone`` is counted: up to BROADCAST_ROWS it is sent to the executors, so the
-    texts stay where they are; beyond, both sides are shuffled.
+    What is found out about single rows is brought to them by ``beside``, so whole texts are written
+    once and never shuffled, however many rows are marked.
     """
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(gone) if few else gone, key, "left_anti")
+
+    rows: DataFrame
+    path: str
+    buckets: int
+
+    def beside(self, marks: DataFrame, *columns: str, how: str = "inner") -> DataFrame:
+        """Rows (PLACE and ``columns``) with the columns of narrow ``marks`` (PLACE, ...), without moving the rows.
+
+        Marks hold a row at most for each place; ``how`` is inner, left, left_semi or left_anti.  The marks of
+        a block are gathered into one row, which the task that reads the block holds; they are no more than its rows.
+        """
+        block, number = PLACE
+        segment = F.shiftright(F.col(number).bitwiseAND(F.lit((1 << 33) - 1)), SEGMENT.bit_length() - 1).cast("int")
+        payload = [c for c in marks.columns if c not in PLACE]
+        by_segment = marks.groupBy(block, segment.alias("_segment")).agg(F.collect_list(F.struct(number, *payload)).alias("_m"))
+        by_block = by_segment.groupBy(block).agg(F.map_from_entries(F.collect_list(F.struct("_segment", "_m"))).alias("_marks"))
+        near, _ = laid_out(by_block.repartition(self.buckets, block), "marks", self.buckets)
+        rows = self.rows.select(*PLACE, *columns)
+        joined = rows.join(near.hint("shuffle_hash"), block, "left")
+        here = F.try_element_at("_marks", segment)
+        if how in ("left_semi", "left_anti"):
+            held = F.coalesce(F.array_contains(F.transform(here, lambda m: m[number]), F.col(number)), F.lit(False))
+            return joined.where(held if how == "left_semi" else ~held).drop("_marks")
+        found = joined.withColumn("_own", F.get(F.filter(here, lambda m: m[number] == F.col(number)), F.lit(0))).drop("_marks")
+        if how == "inner":
+            found = found.where("_own IS NOT NULL")
+        return found.select(*rows.columns, *[F.col("_own")[c].alias(c) for c in payload])
+
+
+def laid_out(df: DataFrame, name: str, buckets: int) -> tuple[DataFrame, str]:
+    """Write ``df``, which has a column ``_block``, in buckets by it; a scan of what was written, and its folder.
+
+    Tables of as many buckets meet by ``_block`` without moving a row of either.
+    """
+    spark = df.sparkSession
+    path, title, key = shared_path(spark, name), f"plumbline_{uuid.uuid4().hex}", "spark.sql.maxConcurrentOutputFileWriters"
+    old = spark.conf.get(key, None)
+    # a task's rows go to one bucket as a rule: no need to sort them by bucket first
+    spark.conf.set(key, "64")
+    try:
+        df.write.format("parquet").bucketBy(buckets, PLACE[0]).option("path", path).saveAsTable(title)
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
+    return spark.read.table(title), path
+
+
+def numbered(df: DataFrame, name: str = "numbered") -> Numbered:
+    """``df`` written with the PLACE of each row."""
+    buckets = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = df.withColumns(dict(zip(PLACE, (F.spark_partition_id(), F.monotonically_increasing_id()), strict=True)))
+    return Numbered(*laid_out(placed, name, buckets), buckets)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

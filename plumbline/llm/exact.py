@@ -1,16 +1,18 @@
 """Exact deduplication as a stateful stream, in DataFrame and streaming functions only.
 
 Texts are equal when they are identical after each run of ASCII white space is
-replaced by one space.  Rows are reduced to (digest, identifier, locator) and
-that narrow table is streamed into a keyed state on disk (RocksDB) that never
-expires: per digest it holds the smallest identifier, the locator of that row
-and the number of rows.  Copies are summed before they are shuffled, so a
-group that holds a third of all rows sends one row per task.  A checkpoint
-kept between runs makes the state carry over to later input.
-
-Equal digests are hits; for those the full texts are compared.  The texts of
-hit digests are made distinct (before the shuffle, again) and a digest with
-more than one text is split by text.
+replaced by one space.  Rows are written once with their place; the narrow columns
+(digest, identifier, place) of what was written are streamed into a keyed state on disk
+(RocksDB) that never expires: per digest it holds the smallest identifier, the
+locator of that row and the number of rows.  The locator is the row's number in the written
+table, of which the upper bits name its block, so it leads to the row's content.  Copies are
+summed before they are shuffled, so a group that holds a third of all rows sends one row per task.
+``update_state`` with a checkpoint of the caller's carries the state over to later
+input; ``exact_groups`` starts with an empty one.
+
+Equal digests are hits; for those the full texts are compared.  The rows of hit digests
+are marked where they lie, their texts are made distinct in each task and only then
+shuffled, and a digest with more than one text is split by text.
 
 Null text counts as empty.  A null doc_id comes after all others.  Of rows
 that agree in text and doc_id exactly one stays.  Other columns are not read.
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACE_CLASS, as_row, drop_rows, require_columns, row_columns, shared_path, written
+from .common import PLACE, SPACE_CLASS, Numbered, as_row, numbered, require_columns, row_columns, shared_path, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Session settings while a state query starts: state on disk, with bounded memory.
@@ -42,19 +44,19 @@ def normalised(column="text"):
     return F.regexp_replace(F.coalesce(F.col(column), F.lit("")), SPACE_CLASS, " ")
 
 
-def first_row():
+def first_row(locator: str = PLACE[1]):
     """Orders rows by identifier, nulls last, then by locator."""
-    return F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), F.col("locator").alias("locator"))
+    return F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), F.col(locator).alias("locator"))
 
 
-def update_state(spark: SparkSession, folder: str, schema, checkpoint: str) -> None:
-    """Stream all files of ``folder`` (key, doc_id, locator) that the state has not seen into it."""
+def update_state(spark: SparkSession, folder: str, schema, checkpoint: str, locator: str = "locator") -> None:
+    """Stream all files of ``folder`` (key, doc_id and the named locator) that the state has not seen into it."""
     old = {k: spark.conf.get(k, None) for k in STATE_CONF}
     try:
         for k, v in STATE_CONF.items():
             spark.conf.set(k, v)
         rows = spark.readStream.schema(schema).parquet(folder)
-        state = rows.groupBy("key").agg(F.min(first_row()).alias("first"), F.count("*").alias("n"))
+        state = rows.groupBy("key").agg(F.min(first_row(locator)).alias("first"), F.count("*").alias("n"))
         query = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
@@ -74,53 +76,53 @@ def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     return found.select(F.col("key")["key"].alias("key"), F.col("value")[first].alias("first"), F.col("value")[count].alias("n"))
 
 
-def exact_groups(docs: DataFrame, locator: str | None = None, key_digits: int = 64) -> DataFrame:
-    """A row per row of ``docs``: doc_id, locator, keep_id, group_size, kept, text_sha256.
+def _digested(docs: DataFrame, key_digits: int) -> Numbered:
+    """All columns of ``docs`` as a struct, with doc_id, the key of the state and the digest, and places."""
+    sha = F.sha2(normalised().cast("binary"), 256)
+    return numbered(docs.select(as_row(docs), "doc_id", F.unhex(F.substring(sha, 1, key_digits)).alias("key"), F.unhex(sha).alias("sha")), "digested")
 
-    ``locator`` names a column that tells rows apart; without it rows are
-    numbered as they are written.  ``key_digits`` shortens the digest the state
-    is keyed by (for tests of the full comparison).
-    """
-    require_columns(docs, "doc_id", "text")
-    spark = docs.sparkSession
-    own = F.monotonically_increasing_id() if locator is None else F.col(locator)
-    texts = docs.select("doc_id", own.cast("bigint").alias("locator"), normalised().alias("body"))
-    sha = F.sha2(F.col("body").cast("binary"), 256)
-    folder, checkpoint = shared_path(spark, "digests"), shared_path(spark, "dedup-state")
-    narrow = texts.select(F.unhex(F.substring(sha, 1, key_digits)).alias("key"), "doc_id", "locator", F.unhex(sha).alias("sha"))
-    narrow.write.parquet(folder)
-    rows = spark.read.schema(narrow.schema).parquet(folder)
+
+def _groups(table: Numbered) -> DataFrame:
+    """PLACE, doc_id, keep_id, group_size, kept and text_sha256 of every row."""
+    spark, rows = table.rows.sparkSession, table.rows.select(*PLACE, "doc_id", "key", "sha")
     if not rows.take(1):
-        return rows.select("doc_id", "locator", F.col("doc_id").alias("keep_id"), F.lit(0).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
-    update_state(spark, folder, narrow.schema, checkpoint)
+        return rows.select(*PLACE, "doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    checkpoint = shared_path(spark, "dedup-state")
+    update_state(spark, table.path, rows.select("key", "doc_id", PLACE[1]).schema, checkpoint, PLACE[1])
     state = written(read_state(spark, checkpoint), "state")
 
-    # hits: compare full texts
-    hit = state.where("n > 1").select("key")
-    few = hit.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    bodies = docs.select("doc_id", normalised().alias("body"))
-    keyed = bodies.withColumn("key", F.unhex(F.substring(F.sha2(F.col("body").cast("binary"), 256), 1, key_digits)))
-    hits = keyed.join(F.broadcast(hit) if few else hit, "key", "left_semi")
+    def decided() -> list:
+        return [*PLACE, "doc_id", F.col("first")["id"].alias("keep_id"), F.col("n").alias("group_size"), (F.col("_row_no") == F.col("first")["locator"]).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")]
+
+    found = written(rows.join(state, "key").select("key", *decided()), "found")
+
+    # hits: compare full texts, those of a task folded before they are shuffled
+    hits = table.beside(found.where("group_size > 1").select(*PLACE), "key", "_row", how="left_semi").select("key", normalised("_row.text").alias("body"))
     distinct = hits.groupBy("key", "body").agg(F.lit(1).alias("one"))
     mixed = written(distinct.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key"), "mixed")
-
-    found = rows.join(state, "key").select(
-        "key", "doc_id", "locator", F.col("first")["id"].alias("keep_id"), F.col("n").alias("group_size"), (F.col("locator") == F.col("first")["locator"]).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
-    )
     if not mixed.take(1):
         return found.drop("key")
     # digests that stand for several texts: tell those apart by the whole text
-    apart = texts.withColumn("sha", sha).withColumn("key", F.unhex(F.substring("sha", 1, key_digits))).join(mixed, "key", "left_semi")
+    marks = found.join(mixed, "key", "left_semi").select(*PLACE)
+    apart = written(table.beside(marks, "doc_id", "key", "sha", "_row", how="left_semi").select(*PLACE, "doc_id", "key", "sha", normalised("_row.text").alias("body")), "apart")
     groups = apart.groupBy("key", "body").agg(F.min(first_row()).alias("first"), F.count("*").alias("n"))
-    split = apart.join(groups, ["key", "body"]).select("doc_id", "locator", F.col("first")["id"].alias("keep_id"), F.col("n").alias("group_size"), (F.col("locator") == F.col("first")["locator"]).alias("kept"), F.col("sha").alias("text_sha256"))
+    split = apart.join(groups, ["key", "body"]).select(*decided())
     return found.join(mixed, "key", "left_anti").drop("key").unionByName(split)
 
 
-def dedup_exact(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they are."""
+def exact_groups(docs: DataFrame, key_digits: int = 64) -> DataFrame:
+    """A row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 and locator.
+
+    ``key_digits`` shortens the digest the state is keyed by (for tests of the full comparison).
+    """
     require_columns(docs, "doc_id", "text")
-    rows = written(docs.select(as_row(docs), F.monotonically_increasing_id().alias("row")), "numbered")
-    gone = exact_groups(rows.select("row", "_row.doc_id", "_row.text"), "row").where("NOT kept").select(F.col("locator").alias("row"))
-    return drop_rows(rows, written(gone, "gone"), "row").select(*row_columns(docs))
+    found = _groups(_digested(docs.select("doc_id", "text"), key_digits))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", F.col("_row_no").alias("locator"))
 
 
+def dedup_exact(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns as they are."""
+    require_columns(docs, "doc_id", "text")
+    table = _digested(docs, 64)
+    gone = _groups(table).where("NOT kept").select(*PLACE)
+    return table.beside(gone, "_row", how="left_anti").select(*row_columns(docs))

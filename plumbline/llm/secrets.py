@@ -5,16 +5,16 @@ Boolean query of trigrams: a text that matches must hold all trigrams of one
 of a few sets.  The index lists, for each trigram that occurs in a query, the
 documents that hold it in lower case; intersecting the lists by document gives
 each rule's candidates, and only their texts are searched by the expression.
-Rules without mandatory trigrams (a run of hex digits) search every text.
+Texts are written once with their place, and candidates are marked where they
+lie, so no text is shuffled however many match.  Rules without mandatory trigrams (a run of hex digits) search every text.
 
 Spans come from the pieces between matches and the lengths of the matches,
 summed in order, so positions are code points and a text of many matches costs
 in proportion to them.
 
-Null text counts as empty.  Documents are told apart by doc_id and a 64-bit
-hash of the text, so repeated rows share one search and each gets the result.
-Null doc_ids take part.  Other columns are not read.  An empty table gives an
-empty result.
+Null text counts as empty.  Rows are told apart by their place, so repeated rows and
+null doc_ids each get their own result.  Other columns are not read.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, require_columns, written
+from .common import PLACE, numbered, require_columns, written
 
 
 @dataclass(frozen=True)
@@ -169,10 +169,6 @@ def trigram_query(pattern: str) -> Clauses:
 # ---------------------------------------------------------------- the index
 
 
-def document_key() -> Column:
-    return F.concat(F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("n")), F.lit(":"), F.hex(F.xxhash64("text"))).alias("key")
-
-
 def matches(rule: Rule, number: int) -> Column:
     """All matches of a rule in ``text``: ordinal, characters before it since the last, of it, and of its group."""
     pattern = F.lit(rule.pattern)
@@ -202,39 +198,38 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     bound = [i for i in range(len(rules)) if i not in free]
     names = sorted(set().union(*(x for i in bound for x in asked[i]))) if bound else []
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    none = F.lit(None).cast(HIT)
+    none = F.array().cast(HIT)
 
-    lower = texts.withColumn("key", document_key()).withColumn("low", F.lower("text"))
-    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(n)) for n, g in enumerate(names)])) if names else F.lit(None).cast("array<int>")
-    direct = F.concat(*[F.coalesce(F.when(F.col("text").rlike(rules[i].pattern), matches(rules[i], i)), F.array().cast(HIT)) for i in free]) if free else none
-    index = written(lower.select("doc_id", "key", held.alias("grams"), direct.alias("direct")), "trigrams")
+    lower = texts.withColumn("low", F.lower("text"))
+    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(n)) for n, g in enumerate(names)])) if names else F.array().cast("array<int>")
+    direct = F.concat(*[F.coalesce(F.when(F.col("text").rlike(rules[i].pattern), matches(rules[i], i)), none) for i in free]) if free else none
+    index = numbered(lower.select("doc_id", "text", held.alias("grams"), direct.alias("direct")), "trigrams")
 
-    found = index.where(F.size("direct") > 0).select("key", F.explode("direct").alias("h"))
+    found = index.rows.where(F.size("direct") > 0).select(*PLACE, F.explode("direct").alias("h"))
     if bound:
-        postings = index.select("key", F.explode("grams").alias("gram"))
+        postings = index.rows.select(*PLACE, F.explode("grams").alias("gram"))
         words = range(len(names) // 62 + 1)
         bits = [F.bit_or(F.when(F.floor(F.col("gram") / 62) == w, F.expr("shiftleft(1L, gram % 62)")).otherwise(F.lit(0).cast("bigint"))).alias(f"w{w}") for w in words]
-        lists = postings.groupBy("key").agg(*bits)
+        lists = postings.groupBy(*PLACE).agg(*bits)
 
         def holds(clause: frozenset[str]) -> Column:
             masks = [sum(1 << (n % 62) for n, g in enumerate(names) if g in clause and n // 62 == w) for w in words]
             return reduce(Column.__and__, [F.col(f"w{w}").bitwiseAND(F.lit(m).cast("bigint")) == m for w, m in enumerate(masks)])
 
         flags = {f"r{i}": reduce(Column.__or__, [holds(c) for c in sorted(asked[i], key=sorted)]) for i in bound}
-        wanted = lists.select("key", *[c.alias(n) for n, c in flags.items()]).where(reduce(Column.__or__, [F.col(n) for n in flags]))
-        candidates = written(wanted, "candidates")
-        few = candidates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        at = texts.withColumn("key", document_key()).join(F.broadcast(candidates) if few else candidates, "key")
-        hits = F.concat(*[F.coalesce(F.when(F.col(f"r{i}"), matches(rules[i], i)), F.array().cast(HIT)) for i in bound])
-        found = found.unionByName(at.select("key", F.explode(hits).alias("h")))
-
-    rows = found.select("key", "h.*").distinct()
-    before = Window.partitionBy("key", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+        candidates = lists.select(*PLACE, *[c.alias(n) for n, c in flags.items()]).where(reduce(Column.__or__, [F.col(n) for n in flags]))
+        at = index.beside(candidates, "text")
+        hits = F.concat(*[F.coalesce(F.when(F.col(f"r{i}"), matches(rules[i], i)), none) for i in bound])
+        found = found.unionByName(at.select(*PLACE, F.explode(hits).alias("h")))
+
+    before = Window.partitionBy(*PLACE, "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("size")).over(before)
     least = F.array(*[F.lit(r.least) for r in rules])
-    spans = rows.withColumn("end", end).where(F.col("part") >= least[F.col("rule")]).select("key", F.struct((F.col("end") - F.col("size")).alias("start"), "rule", "end").alias("span"))
-    per_text = spans.groupBy("key").agg(F.array_sort(F.collect_list("span")).alias("hits"))
-    return index.select("doc_id", "key").join(per_text, "key", "left").select("doc_id", F.coalesce("hits", F.array().cast("array<struct<start:bigint,rule:int,end:bigint>>")).alias("hits"))
+    rows = found.select(*PLACE, "h.*").withColumn("end", end).where(F.col("part") >= least[F.col("rule")])
+    spans = rows.select(*PLACE, F.struct((F.col("end") - F.col("size")).alias("start"), "rule", "end").alias("span"))
+    per_text = spans.groupBy(*PLACE).agg(F.array_sort(F.collect_list("span")).alias("hits"))
+    whole = index.beside(per_text, "doc_id", how="left")
+    return whole.select("doc_id", F.coalesce("hits", F.array().cast("array<struct<start:bigint,rule:int,end:bigint>>")).alias("hits"))
 
 
 def spelled(hits: Column, rules: tuple[Rule, ...]) -> Column:
