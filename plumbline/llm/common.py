@@ -150,6 +150,11 @@ class Numbered:
     path: str
     buckets: int
 
+    def by_block(self, facts: DataFrame, *columns: str) -> DataFrame:
+        """Rows (PLACE and ``columns``) with what ``facts``, a row a block at most, say of their block, without moving the rows."""
+        near, _ = laid_out(facts.repartition(self.buckets, PLACE[0]), "marks", self.buckets)
+        return self.rows.select(*PLACE, *columns).join(near.hint("shuffle_hash"), PLACE[0], "left")
+
     def beside(self, marks: DataFrame, *columns: str, how: str = "inner") -> DataFrame:
         """Rows (PLACE and ``columns``) with the columns of narrow ``marks`` (PLACE, ...), without moving the rows.
 
@@ -161,9 +166,7 @@ class Numbered:
         payload = [c for c in marks.columns if c not in PLACE]
         by_segment = marks.groupBy(block, segment.alias("_segment")).agg(F.collect_list(F.struct(number, *payload)).alias("_m"))
         by_block = by_segment.groupBy(block).agg(F.map_from_entries(F.collect_list(F.struct("_segment", "_m"))).alias("_marks"))
-        near, _ = laid_out(by_block.repartition(self.buckets, block), "marks", self.buckets)
-        rows = self.rows.select(*PLACE, *columns)
-        joined = rows.join(near.hint("shuffle_hash"), block, "left")
+        joined = self.by_block(by_block, *columns)
         here = F.try_element_at("_marks", segment)
         if how in ("left_semi", "left_anti"):
             held = F.coalesce(F.array_contains(F.transform(here, lambda m: m[number]), F.col(number)), F.lit(False))
@@ -171,7 +174,7 @@ class Numbered:
         found = joined.withColumn("_own", F.get(F.filter(here, lambda m: m[number] == F.col(number)), F.lit(0))).drop("_marks")
         if how == "inner":
             found = found.where("_own IS NOT NULL")
-        return found.select(*rows.columns, *[F.col("_own")[c].alias(c) for c in payload])
+        return found.select(*PLACE, *columns, *[F.col("_own")[c].alias(c) for c in payload])
 
 
 def laid_out(df: DataFrame, name: str, buckets: int) -> tuple[DataFrame, str]:

@@ -2,15 +2,17 @@
 
 The method is pattern packing by non-negative least squares.  The lengths of
 all pieces form a histogram of at most ``max_len`` bins, whatever the corpus
-holds.  On the driver, lengths are put into classes, patterns of up to three
-of the longer classes that go far to fill a sequence are enumerated, non-negative
+holds.  On the driver, lengths are put into classes, patterns of up to four
+lengths that fill a sequence are enumerated, down to the class of the shortest, non-negative
 least squares gives how often each pattern should be used so that together they
-reproduce the histogram, the counts are rounded and filled with real lengths,
-and what is left goes by best fit, longest first, into the gaps.  The result is a plan of
-(length, run of ranks) -> (run of sequences, offset), a few thousand lines
+reproduce the histogram, and the counts are rounded down and filled with real lengths, the
+last two of a sequence chosen to end it exactly where that can be.  What is left
+goes by best fit, longest first, into the gaps.  The result is a plan of
+(length, run of ranks) -> (run of sequences, offset), some ten thousand lines
 whose number depends on ``max_len`` alone.  The executors then only need the
-rank of each piece among those of its length, which comes from counts by
-(block, length): no piece is ever gathered with all others of its length.
+rank of each piece among those of its length: the task that cuts the pieces numbers
+them by length, and sums over earlier tasks come to the pieces where they lie.  No piece is
+ever shuffled or gathered with all others of its length.
 
 Null texts count as empty.  An empty document is one piece holding the end
 token.  Equal doc_ids and repeated rows are packed one by one.  Columns of the
@@ -29,10 +31,10 @@ from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, byte_values, hold, require_columns, slices, without, written
+from .common import PLACE, bounded_batches, byte_values, hold, numbered, require_columns, slices, without
 
 #: Chunks of text whose ids a Python worker keeps: those met more than once, and those met once lately.
 KEPT_CHUNKS, ONCE_CHUNKS = 400_000, 300_000
@@ -43,10 +45,10 @@ MARKS, ALNUM = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum()), froz
 SPECIAL = b"<|"
 #: Letters of Latin-1: composed, and lower-cased one by one.
 LATIN = re.compile("[a-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
-LENGTH_CLASSES = 64
-PATTERN_PARTS = 3
-SPARE_COST = 0.01
-
+LENGTH_CLASSES = 32
+PATTERN_PARTS = 4
+#: Classes that a pattern may be expected to leave empty, and what least squares has against it.
+SPARE, SPARE_COST = 0.5, 0.01
 
 
 # ---------------------------------------------------------------- tokens
@@ -166,12 +168,33 @@ def encoder(path: str) -> ChunkEncoder:
     return hold("packing", path, lambda: ChunkEncoder(path))
 
 
+class Ranks:
+    """Numbers from 0 for the pieces of each length, in the order they come."""
+
+    def __init__(self, max_len: int):
+        self.seen = np.zeros(max_len + 1, dtype=np.int64)
+
+    def add(self, lengths: np.ndarray) -> np.ndarray:
+        order = np.argsort(lengths, kind="stable")
+        ordered = lengths[order]
+        first = np.searchsorted(ordered, ordered, side="left")
+        ranks = np.empty(len(lengths), dtype=np.int64)
+        ranks[order] = np.arange(len(lengths)) - first + self.seen[ordered]
+        self.seen += np.bincount(lengths, minlength=len(self.seen))
+        return ranks
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 4096, end_id: int = 1) -> DataFrame:
     """Cut every document into pieces of at most ``max_len`` ids.
 
     Returns doc_id, piece, start, length and ids (unsigned 32-bit,
     little-endian).  Only the last piece of a document may be shorter.
     """
+    return _ranked_pieces(docs, tokenizer_path, max_len, end_id).drop("_rank")
+
+
+def _ranked_pieces(docs: DataFrame, tokenizer_path: str, max_len: int, end_id: int) -> DataFrame:
+    """The pieces with ``_rank``, their number among those of their length of the same task."""
     require_columns(docs, "doc_id", "text")
     bounded_batches(docs.sparkSession)
     end = np.asarray([end_id], dtype="<u4").tobytes()
@@ -179,7 +202,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 4096, end_
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
+        enc, ranks = encoder(tokenizer_path), Ranks(max_len)
         for batch in batches:
             for part in slices(batch, 1, ENCODED_BYTES):
                 rows, piece, start, length, ids = [], [], [], [], []
@@ -193,11 +216,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_len: int = 4096, end_
                         length.append(min(max_len, n - s))
                         ids.append(data[4 * s : 4 * (s + max_len)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "piece", "start", "length", "ids"],
+                    [part.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(ranks.add(np.array(length, dtype=np.int64)))],
+                    names=["doc_id", "piece", "start", "length", "ids", "_rank"],
                 )
 
-    return source.mapInArrow(cut, f"doc_id {id_type}, piece int, start long, length long, ids binary")
+    return source.mapInArrow(cut, f"doc_id {id_type}, piece int, start long, length long, ids binary, _rank long")
 
 
 # ---------------------------------------------------------------- the plan
@@ -232,24 +255,21 @@ def nnls(a: np.ndarray, b: np.ndarray, steps: int = 2000) -> np.ndarray:
     return x
 
 
-def patterns(classes: int = LENGTH_CLASSES, parts: int = PATTERN_PARTS, least: int | None = None, spare: int | None = None) -> np.ndarray:
-    """Multisets of at most ``parts`` classes that go far to fill ``classes``: a row each, counts by class.
+def patterns(classes: int = LENGTH_CLASSES, parts: int = PATTERN_PARTS, spare: float = SPARE) -> np.ndarray:
+    """Multisets of at most ``parts`` classes that fill ``classes`` but for ``spare``: a row each, counts by class.
 
-    Classes below ``least`` are left to fill gaps, so a pattern may fall ``spare`` classes short.  Lengths are
-    rounded up to a class, so a pattern of n may still fit if it is less than n classes over.
+    Class c holds lengths from c - 1 to c classes, so a part is expected to be half a class shorter.
     """
-    least = classes // 3 + 1 if least is None else least
-    spare = classes // 3 if spare is None else spare
     found = []
 
-    def extend(left: int, largest: int, chosen: list[int]) -> None:
-        if chosen and 1 - len(chosen) <= left <= spare:
+    def extend(total: int, largest: int, chosen: list[int]) -> None:
+        if chosen and total - len(chosen) / 2 >= classes - spare:
             found.append(list(chosen))
         if len(chosen) < parts:
-            for c in range(min(left + parts - 1, largest), least - 1, -1):
-                extend(left - c, c, [*chosen, c])
+            for c in range(min(largest, int(classes - total + (len(chosen) + 1) / 2)), 0, -1):
+                extend(total + c, c, [*chosen, c])
 
-    extend(classes, classes, [])
+    extend(0, classes, [])
     table = np.zeros((len(found), classes + 1))
     for i, p in enumerate(found):
         np.add.at(table[i], p, 1)
@@ -260,7 +280,7 @@ class PackingPlan:
     """Runs of equally long pieces and where they go, sorted by (length, rank)."""
 
     def __init__(self, max_len: int):
-        self.max_len, self.bins = max_len, 0
+        self.max_len, self.bins, self.fitted = max_len, 0, 0
         self.gaps: list[list[tuple[int, int]]] = [[] for _ in range(max_len + 1)]
         self.open = np.zeros(max_len + 1, dtype=bool)
         self.rows: list[tuple[int, int, int, int]] = []
@@ -311,52 +331,82 @@ class PackingPlan:
         return {"key": (rows[:, 0] << 44) | rows[:, 1], "rank": rows[:, 1], "first": rows[:, 2], "offset": rows[:, 3]}
 
 
+class Stock:
+    """Pieces that are not placed yet, by length."""
+
+    def __init__(self, histogram: dict[int, int], max_len: int):
+        self.left = np.zeros(max_len + 1, dtype=np.int64)
+        for n, c in histogram.items():
+            self.left[n] = c
+        self.used = np.zeros(max_len + 1, dtype=np.int64)
+
+    def take(self, length: int, count: int) -> tuple[int, int]:
+        rank = int(self.used[length])
+        self.used[length] += count
+        self.left[length] -= count
+        return length, rank
+
+    def lengths(self, low: int, high: int) -> np.ndarray:
+        return low + np.flatnonzero(self.left[low : high + 1] > 0) if low <= high else np.zeros(0, dtype=np.int64)
+
+    def exact_pair(self, total: int, first: tuple[int, int], second: tuple[int, int]) -> list[int]:
+        """Two lengths of these ranges that add up to ``total``, those there are most of."""
+        x = np.arange(max(first[0], total - second[1]), min(first[1], total - second[0]) + 1)
+        if not len(x):
+            return []
+        pairs = np.where(2 * x == total, self.left[x] // 2, np.minimum(self.left[x], self.left[total - x]))
+        best = int(np.argmax(pairs))
+        return [int(x[best]), int(total - x[best])] if pairs[best] > 0 else []
+
+    def fill(self, ranges: list[tuple[int, int]], max_len: int) -> list[int]:
+        """Lengths from these ranges that together go as far as can be; none if a range has run out."""
+        gap, chosen = max_len, []
+        for k, (low, high) in enumerate(ranges):
+            if k == len(ranges) - 2 and (pair := self.exact_pair(gap, ranges[k], ranges[k + 1])):
+                chosen += pair
+                break
+            rest = sum(a + b for a, b in ranges[k + 1 :]) // 2
+            some = self.lengths(low, high)
+            under = some[some <= gap - rest]
+            length = int(under[-1]) if len(under) else int(some[0]) if len(some) and k < len(ranges) - 1 else 0
+            if not length or length > gap:
+                for n in chosen:
+                    self.left[n] += 1
+                return []
+            chosen.append(length)
+            self.left[length] -= 1
+            gap -= length
+        else:
+            k = len(ranges)
+        for n in chosen[:k]:
+            self.left[n] += 1
+        return chosen
+
+
 def make_plan(histogram: dict[int, int], max_len: int) -> PackingPlan:
     """Fit patterns to the histogram, round, fill them with real lengths and best-fit the rest."""
-    plan = PackingPlan(max_len)
-    left = {n: c for n, c in histogram.items() if c > 0}
-    used = dict.fromkeys(left, 0)
-    if full := left.pop(max_len, 0):
-        plan.fill_pattern([(max_len, 0)], full)
+    plan, stock = PackingPlan(max_len), Stock(histogram, max_len)
+    if full := int(stock.left[max_len]):
+        plan.fill_pattern([stock.take(max_len, full)], full)
     classes = min(LENGTH_CLASSES, max_len)
     width = -(-max_len // classes)
-    by_class: list[list[int]] = [[] for _ in range(classes + 1)]
-    for n in sorted(left, reverse=True):
-        by_class[-(-n // width)].append(n)
+    classes = -(-max_len // width)
     table = patterns(classes)
-    target = np.array([float(sum(left[n] for n in names)) for names in by_class])
+    target = np.bincount(-(-np.arange(max_len + 1) // width), weights=stock.left, minlength=classes + 1)
     # one row more holds what each pattern leaves empty against it
-    empty = classes - table @ np.arange(classes + 1)
-    wanted = np.floor(nnls(np.vstack([table.T, SPARE_COST * np.maximum(empty, 0.0)]), np.append(target, 0.0)) + 0.5).astype(np.int64)
-
-    def run(c: int) -> int | None:
-        while by_class[c] and not left[by_class[c][0]]:
-            by_class[c].pop(0)
-        return by_class[c][0] if by_class[c] else None
-
-    def take(n: int, count: int) -> tuple[int, int]:
-        rank = used[n]
-        used[n] += count
-        left[n] -= count
-        return n, rank
-
+    empty = classes - table @ np.arange(classes + 1) + table.sum(axis=1) / 2
+    wanted = np.floor(nnls(np.vstack([table.T, SPARE_COST * empty]), np.append(target, 0.0))).astype(np.int64)
     for i in np.argsort(-wanted, kind="stable"):
-        need = {int(c): int(table[i, c]) for c in np.flatnonzero(table[i])}
+        ranges = [((c - 1) * width + 1, min(c * width, max_len)) for c in np.flatnonzero(table[i])[::-1].tolist() for _ in range(int(table[i, c]))]
         todo = int(wanted[i])
-        while todo > 0 and all(sum(left[n] for n in by_class[c]) >= m for c, m in need.items()):
-            heads = {c: run(c) for c in need}
-            if sum(heads[c] * m for c, m in need.items()) > max_len:
-                break
-            t = min(todo, *(left[heads[c]] // m for c, m in need.items()))
-            if t > 0:
-                plan.fill_pattern([take(heads[c], t) for c, m in need.items() for _ in range(m)], t)
-            else:  # a run ends within the pattern: one sequence over the seam
-                t = 1
-                plan.fill_pattern([take(run(c), 1) for c, m in need.items() for _ in range(m)], 1)
-            todo -= t
-    for n in sorted(left, reverse=True):
-        if left[n]:
-            plan.best_fit(n, used[n], left[n])
+        while todo > 0 and (chosen := stock.fill(ranges, max_len)):
+            count = max(1, min(todo, *(int(stock.left[n]) // chosen.count(n) for n in chosen)))
+            plan.fill_pattern([stock.take(n, count) for n in chosen], count)
+            todo -= count
+    plan.fitted = plan.bins - full
+    for n in range(max_len - 1, 0, -1):
+        if stock.left[n]:
+            plan.best_fit(n, int(stock.used[n]), int(stock.left[n]))
     return plan
 
 
@@ -366,43 +416,53 @@ def make_plan(histogram: dict[int, int], max_len: int) -> PackingPlan:
 def pack_pieces(pieces: DataFrame, max_len: int = 4096) -> DataFrame:
     """Add sequence_id and offset to a table of pieces with a ``length`` from 1 to ``max_len``.
 
-    Other columns pass, but those named like the new ones.  The pieces are written once with the task that
-    wrote them (``_block``) and their number there.  Ranks within (block, length) and sums over earlier
-    blocks give the rank among all pieces of a length.
+    Other columns pass, but those named like the new ones.
     """
     require_columns(pieces, "length")
-    pieces = without(pieces, "_block", "_row", "_rank", "_before", "sequence_id", "offset")
+    bounded_batches(pieces.sparkSession)
+    pieces = without(pieces, *PLACE, "_rank", "_marks", "sequence_id", "offset")
     at = pieces.columns.index("length")
-    numbered = pieces.withColumns({"_block": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
-    rows = written(numbered, "pieces")
-    counts = rows.groupBy("_block", "length").agg(F.count("*").alias("_n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # max_len rows at most
-    plan = make_plan(histogram, max_len)
-    lines = plan.arrays()
-    # a few thousand lines of numbers: their count depends on max_len, not on the corpus
-    shared = pieces.sparkSession.sparkContext.broadcast(lines)
-    before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_block", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_block", "length").orderBy("_row")
-    ranked = rows.withColumn("_rank", F.row_number().over(inside) - 1).join(offsets, ["_block", "length"])
-    joined = ranked.select(*pieces.columns, (F.col("_rank") + F.col("_before")).alias("_rank"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = Ranks(max_len)
         for batch in batches:
             n = batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
-            rank = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            i = np.searchsorted(p["key"], (n << 44) | rank, side="right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p["first"][i] + rank - p["rank"][i]), pa.array(p["offset"][i])], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranks.add(n))], names=[*batch.schema.names, "_rank"])
+
+    return _placed(pieces.mapInArrow(rank, f"{fields}, _rank long"), max_len)
+
+
+def _placed(ranked: DataFrame, max_len: int) -> DataFrame:
+    """Pieces with ``_rank`` are written once where they are; sums over earlier blocks give the rank among all of a length."""
+    columns = [c for c in ranked.columns if c != "_rank"]
+    table = numbered(ranked, "pieces")
+    block = PLACE[0]
+    counts = table.rows.groupBy(block, "length").agg(F.count("*").alias("_n"))
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # max_len rows at most
+    lines = make_plan(histogram, max_len).arrays()
+    # some ten thousand lines of numbers: their count depends on max_len, not on the corpus
+    shared = ranked.sparkSession.sparkContext.broadcast(lines)
+    before = Window.partitionBy("length").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.select(block, F.col("length").cast("bigint").alias("n"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("before"))
+    marks = sums.groupBy(block).agg(F.map_from_entries(F.collect_list(F.struct("n", "before"))).alias("_marks"))
+
+    @F.arrow_udf("sequence_id long, offset long")
+    def place(lengths: pa.Array, ranks: pa.Array) -> pa.Array:
+        p = shared.value
+        n, r = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (lengths, ranks))
+        i = np.searchsorted(p["key"], (n << 44) | r, side="right") - 1
+        return pa.StructArray.from_arrays([pa.array(p["first"][i] + r - p["rank"][i]), pa.array(p["offset"][i])], names=["sequence_id", "offset"])
 
-    return joined.mapInArrow(placed, f"{fields}, sequence_id long, offset long")
+    joined = table.by_block(marks, *columns, "_rank")
+    rank: Column = F.col("_rank") + F.element_at("_marks", F.col("length").cast("bigint"))
+    return joined.select(*[F.col(f"`{c}`") for c in columns], place(F.col("length").cast("bigint"), rank).alias("_at")).select(*[F.col(f"`{c}`") for c in columns], "_at.*")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, max_len: int = 4096, end_id: int = 1, keep_ids: bool = True) -> DataFrame:
     """Tokenize, cut and pack: a row per piece, with its ids unless ``keep_ids`` is off."""
-    pieces = token_pieces(docs, tokenizer_path, max_len, end_id).withColumn("ids_crc32", F.crc32("ids"))
-    return pack_pieces(pieces if keep_ids else pieces.drop("ids"), max_len)
+    pieces = _ranked_pieces(docs, tokenizer_path, max_len, end_id).withColumn("ids_crc32", F.crc32("ids"))
+    return _placed(pieces if keep_ids else pieces.drop("ids"), max_len)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
