@@ -5,16 +5,20 @@ subdomains, and of the rules that fit the longest decides.  URLs no rule fits
 are judged by templates:
 
 1.  Per host, segments of the path that vary by nature (numbers, dates, long
-    identifiers) become wildcards.
-2.  Level by level, branches below one node are compared: a branch with labels
-    is told from its siblings with labels by a two-proportion test.  Branches
-    that do not differ are merged into one wildcard.  Branches without labels
-    are merged into one as well, and join the labelled wildcard once it stands
-    for MERGED branches.  Past DEPTH only nodes that hold labels of both kinds
+    identifiers) become wildcards.  What is left is the path's shape.
+2.  Labels are counted by shape over all hosts: by its first segment, its first two, the
+    whole of it, and the whole of it within the host's domain (its last two names).  Each
+    count is smoothed towards the one before, (blocked + ALPHA * before) / (labels + ALPHA), the first towards
+    the share among all labels, at most a half.  So a host without labels is judged
+    by what its shapes mean elsewhere.
+3.  Level by level, branches below one node of a host's tree are compared by their labels, or where
+    they have none by those of their shapes: a branch is told from its siblings by a
+    two-proportion test.  Branches that do not differ are merged into one wildcard.  Branches that nothing is
+    known of are merged into one as well, and join the other wildcard once it stands for
+    MERGED branches.  Past DEPTH only nodes that hold labels of both kinds
     are descended, as far as their paths go; elsewhere what follows becomes one.
-3.  Of each template the share of blocked labels is smoothed,
-    (blocked + ALPHA * prior) / (labels + ALPHA), and templates at LEAST_PURITY
-    or above are rejected.  The prior is the share among all labels, at most a half.
+4.  Of each template the share of blocked labels is smoothed towards the mean of its shapes,
+    and templates at LEAST_PURITY or above are rejected.
 
 Labels are URLs with an action; the registered query takes those the rules
 decide.  Only counts by template are joined and merged: the pages of a host that
@@ -85,8 +89,28 @@ def segments(path: Column) -> Column:
     return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), general)
 
 
+def domain(host: Column) -> Column:
+    """The last two names of a host, without its port."""
+    bare = F.regexp_replace(host, r":[0-9]*$", "")
+    return F.substring_index(bare, ".", -2)
+
+
+def with_shapes(counts: DataFrame) -> DataFrame:
+    """``counts`` (host, segs, n, blocked, allowed) with ``parent``, what the shape says, and ``sb`` and ``sa``, its labels."""
+    totals = counts.agg(F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"), F.coalesce(F.sum("allowed"), F.lit(0)).alias("a")).first()
+    labels = totals["b"] + totals["a"]
+    rows = counts.withColumns({"domain": domain(F.col("host")), "one": F.slice("segs", 1, 1), "two": F.slice("segs", 1, 2), "parent": F.lit(min(0.5, totals["b"] / labels) if labels else 0.5)})
+    for keys in (["one"], ["two"], ["segs"], ["domain", "segs"]):
+        sums = rows.where("blocked + allowed > 0").groupBy(*keys).agg(F.sum("blocked").alias("_b"), F.sum("allowed").alias("_a"))
+        joined = rows.join(sums, keys, "left").withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("_b", "_a")})
+        if keys == ["segs"]:
+            joined = joined.withColumns({"sb": F.col("_b"), "sa": F.col("_a")})
+        rows = joined.withColumn("parent", (F.col("_b") + ALPHA * F.col("parent")) / (F.col("_b") + F.col("_a") + ALPHA)).drop("_b", "_a")
+    return rows.select("host", "segs", "n", "blocked", "allowed", "parent", "sb", "sa")
+
+
 def template_tree(counts: DataFrame) -> DataFrame:
-    """``counts`` (host, segs, n, blocked, allowed) with ``template``, the branch each row ends in after merging."""
+    """``counts`` (host, segs, n, blocked, allowed, parent, sb, sa) with ``template``, the branch each row ends in after merging."""
     tree = counts.withColumns({"template": F.lit(""), "live": F.size("segs") > 0})
     level = 0
     while level < DEPTH or tree.where("live").limit(1).count():
@@ -99,7 +123,8 @@ def template_tree(counts: DataFrame) -> DataFrame:
         else:
             tree = tree.withColumn("open", F.lit(True))
         branch = tree.withColumn("child", F.when(F.col("live"), child).otherwise(F.lit("")))
-        children = branch.groupBy("host", "template", "child").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
+        own = F.sum("blocked") + F.sum("allowed") > 0
+        children = branch.groupBy("host", "template", "child").agg(F.when(own, F.sum("blocked")).otherwise(F.sum("sb")).alias("b"), F.when(own, F.sum("allowed")).otherwise(F.sum("sa")).alias("a"))
         nodes = children.groupBy("host", "template").agg(F.sum("b").alias("all_b"), F.sum("a").alias("all_a"))
         both = children.join(nodes, ["host", "template"])
         m, others = F.col("b") + F.col("a"), F.col("all_b") + F.col("all_a") - F.col("b") - F.col("a")
@@ -119,19 +144,19 @@ def template_tree(counts: DataFrame) -> DataFrame:
         merged = told.join(alike, ["host", "template"]).select("host", "template", "child", name.alias("name"))
         deeper = F.when(F.col("live"), F.concat_ws("/", "template", "name")).otherwise(F.col("template"))
         live = F.col("live") & F.col("open") & (F.size("segs") > level + 1)
-        tree = written(branch.join(merged, ["host", "template", "child"]).select("host", "segs", "n", "blocked", "allowed", deeper.alias("template"), live.alias("live")), f"tree-{level}")
+        columns = ["host", "segs", "n", "blocked", "allowed", "parent", "sb", "sa"]
+        tree = written(branch.join(merged, ["host", "template", "child"]).select(*columns, deeper.alias("template"), live.alias("live")), f"tree-{level}")
         level += 1
     return tree.drop("live")
 
 
 def rejected(tree: DataFrame) -> DataFrame:
-    """(host, segs, purity, reject) for every row of a tree."""
-    totals = tree.agg(F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"), F.coalesce(F.sum("allowed"), F.lit(0)).alias("a")).first()
-    labels = totals["b"] + totals["a"]
-    prior = min(0.5, totals["b"] / labels) if labels else 0.5
-    stats = tree.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
-    purity = (F.col("b") + ALPHA * prior) / (F.col("b") + F.col("a") + ALPHA)
-    return tree.join(stats.select("host", "template", purity.alias("purity")), ["host", "template"]).select("host", "segs", "template", "purity", (F.col("purity") >= LEAST_PURITY).alias("reject"))
+    """(host, segs, template, purity, reject) for every row of a tree."""
+    b, a, weight = F.sum("blocked"), F.sum("allowed"), F.greatest("n", F.col("blocked") + F.col("allowed"))
+    parent = F.sum(weight * F.col("parent")) / F.sum(weight)
+    # rounded: sums of fractions depend on their order
+    stats = tree.groupBy("host", "template").agg(F.round((b + ALPHA * parent) / (b + a + ALPHA), 9).alias("purity"))
+    return tree.join(stats, ["host", "template"]).select("host", "segs", "template", "purity", (F.col("purity") >= LEAST_PURITY).alias("reject"))
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = (), labels: DataFrame | None = None) -> DataFrame:
@@ -154,7 +179,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = (), labels: DataFrame
         counted = counted.unionByName(given.select("host", "segs", F.col("given").alias("action"), F.lit(0).alias("n")))
     sums = [F.sum("n").alias("n"), F.count_if(F.col("action") == "block").alias("blocked"), F.count_if(F.col("action") == "allow").alias("allowed")]
     counts = written(counted.groupBy("host", "segs").agg(*sums), "templates")
-    told = written(rejected(template_tree(counts)), "rejected")
+    told = written(rejected(template_tree(written(with_shapes(counts), "shapes"))), "rejected")
     verdict = F.coalesce("action", F.when(F.col("reject"), "block").otherwise("allow"))
     return rows.join(told, ["host", "segs"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 
