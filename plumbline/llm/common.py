@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,9 +46,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes what ``written`` wrote inside, and other paths put on the list, once nothing reads it any more.
+
+    What leaves the block must not depend on such tables; places and marks (``numbered``, ``beside``) stay.
+    """
+    paths: list[str] = []
+    _scratch.append(paths)
+    try:
+        yield paths
+    finally:
+        _scratch.remove(paths)
+        conf, make = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+        for path in paths:
+            at = make(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
