@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLACE, SPACE_CLASS, Numbered, as_row, numbered, require_columns, row_columns, shared_path, written
+from .common import PLACE, SPACE_CLASS, Numbered, as_row, numbered, require_columns, row_columns, scratch, shared_path, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Session settings while a state query starts: state on disk, with bounded memory.
@@ -82,12 +82,14 @@ def _digested(docs: DataFrame, key_digits: int) -> Numbered:
     return numbered(docs.select(as_row(docs), "doc_id", F.unhex(F.substring(sha, 1, key_digits)).alias("key"), F.unhex(sha).alias("sha")), "digested")
 
 
-def _groups(table: Numbered) -> DataFrame:
-    """PLACE, doc_id, keep_id, group_size, kept and text_sha256 of every row."""
+def _groups(table: Numbered, scratched: list[str] | None = None) -> DataFrame:
+    """PLACE, doc_id, keep_id, group_size, kept and text_sha256 of every row.  The state's folder is put on ``scratched``."""
     spark, rows = table.rows.sparkSession, table.rows.select(*PLACE, "doc_id", "key", "sha")
     if not rows.take(1):
         return rows.select(*PLACE, "doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
     checkpoint = shared_path(spark, "dedup-state")
+    if scratched is not None:
+        scratched.append(checkpoint)
     update_state(spark, table.path, rows.select("key", "doc_id", PLACE[1]).schema, checkpoint, PLACE[1])
     state = written(read_state(spark, checkpoint), "state")
 
@@ -124,5 +126,6 @@ def dedup_exact(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they are."""
     require_columns(docs, "doc_id", "text")
     table = _digested(docs, 64)
-    gone = _groups(table).where("NOT kept").select(*PLACE)
-    return table.beside(gone, "_row", how="left_anti").select(*row_columns(docs))
+    with scratch(docs.sparkSession) as paths:
+        gone = _groups(table, paths).where("NOT kept").select(*PLACE)
+        return table.beside(gone, "_row", how="left_anti").select(*row_columns(docs))

@@ -31,7 +31,7 @@ from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import PLACE, bounded_batches, byte_values, hold, numbered, require_columns, slices, without
@@ -326,9 +326,12 @@ class PackingPlan:
             t = self.place(length + int(fits[0]), length, rank, count)
             rank, count = rank + t, count - t
 
-    def arrays(self) -> dict[str, np.ndarray]:
-        rows = np.asarray(sorted(self.rows), dtype=np.int64).reshape(-1, 4)
-        return {"key": (rows[:, 0] << 44) | rows[:, 1], "rank": rows[:, 1], "first": rows[:, 2], "offset": rows[:, 3]}
+    def by_length(self) -> list[tuple[int, list[tuple[int, int, int]]]]:
+        """(length, runs of (first rank, first sequence, offset)), runs in the order of ranks."""
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for length, rank, first, offset in sorted((int(a), int(b), int(c), int(d)) for a, b, c, d in self.rows):
+            found.setdefault(length, []).append((rank, first, offset))
+        return list(found.items())
 
 
 class Stock:
@@ -420,7 +423,7 @@ def pack_pieces(pieces: DataFrame, max_len: int = 4096) -> DataFrame:
     """
     require_columns(pieces, "length")
     bounded_batches(pieces.sparkSession)
-    pieces = without(pieces, *PLACE, "_rank", "_marks", "sequence_id", "offset")
+    pieces = without(pieces, *PLACE, "_rank", "_marks", "_length", "_runs", "_run", "sequence_id", "offset")
     at = pieces.columns.index("length")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
 
@@ -440,23 +443,18 @@ def _placed(ranked: DataFrame, max_len: int) -> DataFrame:
     block = PLACE[0]
     counts = table.rows.groupBy(block, "length").agg(F.count("*").alias("_n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # max_len rows at most
-    lines = make_plan(histogram, max_len).arrays()
-    # some ten thousand lines of numbers: their count depends on max_len, not on the corpus
-    shared = ranked.sparkSession.sparkContext.broadcast(lines)
+    # max_len rows at most, some ten thousand runs in all: their number depends on max_len, not on the corpus
+    runs = make_plan(histogram, max_len).by_length()
+    plan = ranked.sparkSession.createDataFrame(runs, "_length long, _runs array<struct<rank:long,first:long,offset:long>>")
     before = Window.partitionBy("length").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     sums = counts.select(block, F.col("length").cast("bigint").alias("n"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("before"))
     marks = sums.groupBy(block).agg(F.map_from_entries(F.collect_list(F.struct("n", "before"))).alias("_marks"))
-
-    @F.arrow_udf("sequence_id long, offset long")
-    def place(lengths: pa.Array, ranks: pa.Array) -> pa.Array:
-        p = shared.value
-        n, r = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (lengths, ranks))
-        i = np.searchsorted(p["key"], (n << 44) | r, side="right") - 1
-        return pa.StructArray.from_arrays([pa.array(p["first"][i] + r - p["rank"][i]), pa.array(p["offset"][i])], names=["sequence_id", "offset"])
-
-    joined = table.by_block(marks, *columns, "_rank")
-    rank: Column = F.col("_rank") + F.element_at("_marks", F.col("length").cast("bigint"))
-    return joined.select(*[F.col(f"`{c}`") for c in columns], place(F.col("length").cast("bigint"), rank).alias("_at")).select(*[F.col(f"`{c}`") for c in columns], "_at.*")
+    length = F.col("length").cast("bigint")
+    joined = table.by_block(marks, *columns, "_rank").withColumn("_rank", F.col("_rank") + F.element_at("_marks", length)).drop("_marks")
+    joined = joined.join(F.broadcast(plan), length == F.col("_length"))
+    run = F.element_at(F.filter("_runs", lambda x: x["rank"] <= F.col("_rank")), -1)
+    at = joined.select(*[F.col(f"`{c}`") for c in columns], "_rank", run.alias("_run"))
+    return at.select(*[F.col(f"`{c}`") for c in columns], (F.col("_run.first") + F.col("_rank") - F.col("_run.rank")).alias("sequence_id"), F.col("_run.offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, max_len: int = 4096, end_id: int = 1, keep_ids: bool = True) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLACE, as_row, bounded_batches, byte_values, hold, numbered, require_columns, row_columns, text_bytes, written
+from .common import PLACE, as_row, bounded_batches, byte_values, hold, numbered, require_columns, row_columns, scratch, text_bytes, written
 from .components import components
 
 SHINGLE_WORDS = 3
@@ -129,9 +129,10 @@ def dedup_near(docs: DataFrame) -> DataFrame:
     """One document of each component, that of the smallest doc_id; all columns as they are."""
     require_columns(docs, "doc_id", "text")
     table = numbered(with_fingerprint(docs))
-    prints = written(table.rows.select(*PLACE, "fp", F.col("_row")["doc_id"].alias("doc_id")), "prints")
-    grouped = written(near_components(prints).select(*PLACE, "doc_id", "component_id"), "grouped")
-    # of several rows with the name-giving doc_id the first stays
-    stays = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("_row_no").alias("_row_no")).select("_row_no")
-    gone = grouped.select(*PLACE).join(stays, "_row_no", "left_anti")
-    return table.beside(gone, "_row", how="left_anti").select(*row_columns(docs))
+    with scratch(docs.sparkSession):
+        prints = written(table.rows.select(*PLACE, "fp", F.col("_row")["doc_id"].alias("doc_id")), "prints")
+        grouped = written(near_components(prints).select(*PLACE, "doc_id", "component_id"), "grouped")
+        # of several rows with the name-giving doc_id the first stays
+        stays = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("_row_no").alias("_row_no")).select("_row_no")
+        gone = grouped.select(*PLACE).join(stays, "_row_no", "left_anti")
+        return table.beside(gone, "_row", how="left_anti").select(*row_columns(docs))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_row, bounded_batches, byte_values, hold, labelled_texts, require_columns, row_columns, slices, text_bytes
+from .common import as_row, bounded_batches, byte_values, hold, labelled_texts, require_columns, row_columns, scratch, slices, text_bytes
 from .decontaminate import words_of
 
 SAMPLE = 6000
@@ -96,7 +96,12 @@ class OrdinalModel:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
     bounded_batches(docs.sparkSession)
-    rows = labelled_texts(docs, labels, "toxic", sample)
+    with scratch(docs.sparkSession):
+        return _fitted(labelled_texts(docs, labels, "toxic", sample))
+
+
+def _fitted(rows: DataFrame) -> OrdinalModel:
+    """A model of rows (text, toxic)."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("toxicity")
