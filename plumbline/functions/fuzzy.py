@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -80,6 +80,40 @@ def ratio_bound(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(F.lit(1.0) - F.levenshtein(a, b) / total)
 
 
+def _pairs_of_letters(names: DataFrame) -> DataFrame:
+    """(name, gram) for distinct names: neighbouring letters, each with the number of its occurrence."""
+    split = names.select("name", F.explode(F.when(F.length("name") > 1, F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda i: F.substr("name", i, F.lit(2))))).alias("gram"))
+    counted = split.groupBy("name", "gram").agg(F.count("*").cast("int").alias("n"))
+    return counted.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat("gram", i.cast("string")))).alias("gram"))
+
+
+def near_pairs(names: DataFrame, entries: DataFrame, loss: float) -> DataFrame:
+    """(name, entry), distinct and not equal: pairs that may be alike, by equal keys only.
+
+    Two names that are alike lose at most the share ``loss`` of the longer one's pairs of letters, so each keeps
+    m - 1 - loss m of them, one at least.  Pairs are ordered by how many names hold them, rare ones first; then
+    two such names share a pair among the first of each, as many as it may lose and one.  Common pairs of letters join nothing.
+    """
+    sides = {"name": names.select("name"), "entry": entries.select(F.col("entry").alias("name"))}
+    grams = {k: _pairs_of_letters(df.where("name IS NOT NULL").distinct()) for k, df in sides.items()}
+    held = grams["name"].unionByName(grams["entry"]).groupBy("gram").agg(F.count("*").alias("df"))
+    lost = F.least(F.floor(F.lit(loss) * F.length("name") + 1e-9), F.length("name") - 2)
+    first = F.row_number().over(Window.partitionBy("name").orderBy("df", "gram")) <= lost + 1
+    keys = {k: g.join(held, "gram").withColumn("first", first).where("first").select(F.col("name").alias(k), "gram") for k, g in grams.items()}
+    return keys["name"].join(keys["entry"], "gram").where("name <> entry").select("name", "entry").distinct()
+
+
+def edit_loss(threshold: float) -> float:
+    """``loss`` of names whose ``edit_ratio`` rounds to ``threshold`` or more: an edit touches two pairs of letters."""
+    return 2.0 * (1.0 - (threshold - 0.5) / 100.0)
+
+
+def ratio_loss(threshold: float) -> float:
+    """``loss`` of names whose ``ratio`` rounds to ``threshold`` or more: letters the longer one has alone touch two pairs each."""
+    t = (threshold - 0.5) / 100.0
+    return 2.0 * (1.0 - t / (2.0 - t))
+
+
 class _Catalog:
     """Names of a block with their letters counted, to leave out those that cannot win."""
 

@@ -29,18 +29,16 @@ def count_if(condition: Column) -> Column:
 def classify_names(names: DataFrame, catalog: DataFrame, config: EngineConfig = DEFAULTS, measure: Ratio | None = None) -> DataFrame:
     """(key, kind) of distinct names (name): KNOWN, OFF_CORPUS or FABRICATED.
 
-    Equal names are settled by a join, only the others are compared with the catalog: by ``measure`` where it
-    is given (an expression that SQL has too), else by the exact ratio.
+    Equal names are settled by a join; the others meet entries by rare pairs of letters and are compared by
+    ``edit_ratio`` where that is given as ``measure`` (an expression that SQL has too), else by the exact ratio.
     """
     keys = names.select(fx.name_key(F.coalesce("name", F.lit(""))).alias("key")).distinct()
     known = catalog.select(fx.name_key(F.col("name")).alias("key")).where("key <> ''").distinct()
     open_keys = keys.where("key <> ''").join(known, "key", "left_anti")
-    if measure is None:
-        near = fuzzy.best_matches(open_keys.select(F.col("key").alias("name")), known.select(F.col("key").alias("name"))).where(F.col("ratio") >= config.fuzzy_known).select(F.col("name").alias("key"))
-        sim: Ratio = fuzzy.ratio_udf
-    else:
-        sim = measure
-        near = open_keys.join(known.withColumnRenamed("key", "entry"), sim(F.col("key"), F.col("entry")) >= config.fuzzy_known, "left_semi")
+    sim: Ratio = measure or fuzzy.ratio_udf
+    loss = (fuzzy.edit_loss if measure else fuzzy.ratio_loss)(config.fuzzy_known)
+    pairs = fuzzy.near_pairs(open_keys.select(F.col("key").alias("name")), known.select(F.col("key").alias("entry")), loss)
+    near = pairs.where(sim(F.col("name"), F.col("entry")) >= config.fuzzy_known).select(F.col("name").alias("key")).distinct()
     fake = open_keys.join(near, "key", "left_anti")
     off = F.lit(False)
     for case in OFF_CORPUS_CASES:

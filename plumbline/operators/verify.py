@@ -58,15 +58,14 @@ def subset_matches(names: DataFrame, catalog: DataFrame, score: float = DEFAULTS
 def edit_candidates(names: DataFrame, catalog: DataFrame, threshold: float) -> DataFrame:
     """(name, candidate, lev, bound): catalog names whose bound on the ratio reaches ``threshold``.
 
-    Lengths come first: names that differ too much in length cannot reach it.
+    Equal names are joined; others meet by rare pairs of letters, which loses none at the thresholds in use.
     """
     asked = names.select("name").distinct()
-    entries = catalog.select(F.col("name").alias("candidate")).distinct()
-    m, n = F.length("name"), F.length("candidate")
-    close = F.abs(m - n) <= (1.0 - threshold) * (m + n)
+    entries = catalog.select(F.col("name").alias("entry")).distinct()
+    equal = asked.join(entries, asked["name"] == entries["entry"])
+    pairs = equal.unionByName(fuzzy.near_pairs(asked, entries, 4.0 * (1.0 - threshold))).withColumnRenamed("entry", "candidate")
     bound = fuzzy.ratio_bound(F.col("name"), F.col("candidate"))
-    pairs = asked.join(entries, close).withColumn("lev", F.levenshtein("name", "candidate").cast("bigint"))
-    return pairs.withColumn("bound", F.round(bound, 6)).where(F.col("bound") >= threshold)
+    return pairs.withColumns({"lev": F.levenshtein("name", "candidate").cast("bigint"), "bound": F.round(bound, 6)}).where(F.col("bound") >= threshold)
 
 
 def existence(citations: DataFrame, catalog: DataFrame, config: EngineConfig = DEFAULTS) -> DataFrame:

@@ -12,10 +12,12 @@ def shared_root(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach.
 
     It is the one named in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests, a single machine) a temporary folder is made and set.
+    on a local master (tests) a temporary folder is made and set; elsewhere it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -1,4 +1,4 @@
-"""The risk index as a stream: new scores are summed in keyed state and merged into a stored table.
+"""The risk index as a stream: new scores are summed by key, batch by batch, and merged when the stored table is read.
 
 Files that land in a folder are scores (case_name, ccs, tier, seq).  Each batch is
 summed by key and written as a part of the index, named by its batch number, so a

@@ -165,6 +165,14 @@ def test_salvage():
     assert stage == 4 and found == {"argument": "yes", "confidence": 0.7, "concede": True, "gaps": ["a", "b"]}
 
 
+def test_salvage_of_broken_fields():
+    broken = 'x "verdict": "he said \\"no\\"", "overall_confidence": .5 {"year": 1999, "case_name": "A v. B", "citation": "1 U.S. 2", "ccs": 0.25 "court": } {"case_name": "C", "year": "n/a"} {"case_name": "open'
+    found, stage = salvage.salvage(broken)
+    assert stage == 4 and found["verdict"] == 'he said "no"' and "overall_confidence" not in found
+    assert found["citations"] == [{"year": 1999, "case_name": "A v. B", "reporter_cite": "1 U.S. 2", "self_confidence": 0.25}, {"case_name": "C", "year": "n/a"}]
+    assert salvage.salvage('"gaps": ["a", "b" "concede": maybe, "reason": "r"')[0] == {"reason": "r"}
+
+
 def test_counter_evidence_is_disjoint(spark):
     own = spark.createDataFrame([(1, "a", "Same start"), (1, "b", "other")], "query_id long, doc_id string, text string")
     hits = spark.createDataFrame([(1, 0, 1, "a", "x"), (1, 0, 2, "c", "same start "), (1, 0, 3, "d", "y"), (1, 1, 1, "d", "y"), (1, 1, 2, "e", "z")], "query_id long, query_ord int, rank long, doc_id string, text string")
