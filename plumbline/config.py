@@ -78,7 +78,7 @@ OFF_CORPUS_CASES = (
     "new york v. quarles",
 )
 
-# The five verdict variants of an ablation, as (name, defense, scoring, memory, rounds).
+# The variants of an ablation, as (name, defense, scoring, memory, rounds).
 ABLATIONS = (
     ("full", True, True, True, 2),
     ("no_defense", False, True, True, 2),

@@ -43,6 +43,11 @@ def volume_of(volume: Column, cite: Column, doc_id: Column, text: Column) -> Col
     return F.coalesce(*found, F.lit(""))
 
 
+def cited_volume(cite: Column) -> Column:
+    """The volume a cite begins with, else ""."""
+    return F.regexp_extract(F.coalesce(cite, F.lit("")), r"^\s*(\d+)\s", 1)
+
+
 def of_volumes(docs: DataFrame, volumes: list[str]) -> DataFrame:
     """The documents of the chosen volumes: a literal filter, so partitions by volume are pruned."""
     return docs.where(F.col("volume").isin(*volumes))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, LANDMARK_VOLUMES, SCORING_STOP_WORDS, TIERS, EngineConfig
@@ -12,6 +12,9 @@ from ..functions import fuzzy
 from ..functions import text as fx
 
 
+Search = Callable[[DataFrame], DataFrame]
+
+
 def covered(text: Column, volumes: Iterable[str] = LANDMARK_VOLUMES) -> Column:
     """Whether the first volume a text cites is among those held."""
     return cited_volume(text).isin(*volumes)
@@ -120,15 +123,43 @@ def confidence_score(exists: Column, support: Column, has_evidence: Column) -> C
     return F.when(has_evidence, F.round(exists * support, 4)).otherwise(F.lit(0.0))
 
 
-def score_citations(citations: DataFrame, catalog: DataFrame, evidence: DataFrame, config: EngineConfig = DEFAULTS, volumes: Iterable[str] = LANDMARK_VOLUMES, support=overlap_support) -> DataFrame:
-    """All of it: ``citations`` (citation_id, case_name, reporter_cite, holding) scored against catalog (name) and evidence (case_name, text)."""
+def same_authority(a: Column, b: Column, config: EngineConfig = DEFAULTS) -> Column:
+    """Whether two names mean one authority: one holds the other, or their exact ratio is high."""
+    x, y = fx.name_key(a), fx.name_key(b)
+    inside = (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x))
+    return inside | (fuzzy.ratio_udf(x, y) >= config.fuzzy_identity)
+
+
+def opinions(citations: DataFrame, evidence: DataFrame, search: Search | None = None, most: int = 3, config: EngineConfig = DEFAULTS) -> DataFrame:
+    """(citation_id, text): the first ``most`` texts of evidence (case_name, doc_id, text) under each citation's name.
+
+    Names that no text has are searched for (``search``: (query_id, query) -> (query_id, rank, doc_id)), and of
+    the first ``most`` hits those whose name means the same authority are taken.
+    """
+    order = "doc_id" if "doc_id" in evidence.columns else "text"
+    named = evidence.select(fx.name_key(F.col("case_name")).alias("_key"), F.col(order).alias("_order"), "text").where("_key <> ''")
+    rank = F.row_number().over(Window.partitionBy("_key").orderBy("_order"))
+    first = named.withColumn("_n", rank).where(F.col("_n") <= most)
+    asked = citations.select("citation_id", "case_name", fx.name_key(F.col("case_name")).alias("_key"))
+    exact = asked.join(first, "_key").select("citation_id", "text")
+    if search is None:
+        return exact
+    rest = asked.join(named.select("_key").distinct(), "_key", "left_anti").where("_key <> ''")
+    names = rest.select("_key").distinct().withColumn("query_id", F.xxhash64("_key"))
+    hits = search(names.select("query_id", F.col("_key").alias("query"))).where(F.col("rank") <= most)
+    near = hits.join(names, "query_id").join(evidence.select("doc_id", "case_name", "text"), "doc_id").where(same_authority(F.col("_key"), F.col("case_name"), config)).select("_key", "text")
+    return exact.unionByName(rest.join(near, "_key").select("citation_id", "text"))
+
+
+def score_citations(citations: DataFrame, catalog: DataFrame, evidence: DataFrame, config: EngineConfig = DEFAULTS, volumes: Iterable[str] = LANDMARK_VOLUMES, support=overlap_support, search: Search | None = None) -> DataFrame:
+    """All of it: ``citations`` (citation_id, case_name, reporter_cite, holding) scored against catalog (name) and evidence (case_name, doc_id, text)."""
     from .chunking import character_windows
 
     found = existence(citations, catalog, config)
-    texts = evidence.select(fx.name_key(F.col("case_name")).alias("_key"), "text")
-    windows = character_windows(texts, config.window_chars, config.window_step, config.window_reach).select("_key", "text", "window")
-    matched = found.where("holding <> ''").select("citation_id", "holding", fx.name_key(F.col("matched_name")).alias("_key")).join(windows, "_key")
-    supports = matched.groupBy("citation_id").agg(F.max(support(F.col("holding"), F.col("window"))).alias("support"), F.first(fx.snippet(F.col("text"))).alias("evidence"))
+    texts = opinions(found.where("holding <> ''"), evidence, search, config=config)
+    windows = character_windows(texts, config.window_chars, config.window_step, config.window_reach).select("citation_id", "text", "window")
+    matched = windows.join(found.select("citation_id", "holding"), "citation_id")
+    supports = matched.groupBy("citation_id").agg(F.max(support(F.col("holding"), F.col("window"))).alias("support"), F.min(fx.snippet(F.col("text"))).alias("evidence"))
     joined = found.join(supports, "citation_id", "left")
     known = F.col("support").isNotNull()
     held = covered(F.concat_ws(" ", "case_name", "reporter_cite", "holding"), volumes)

@@ -1,77 +1,164 @@
 """The review loop over a batch of questions.
 
-A round retrieves evidence for all open questions, lets a generator cite from
-it, finds independent counter evidence, scores the citations and decides.
-There are two rounds at most, so the loop is unrolled: questions that go on
-get a second round, and both are put together.
+A round retrieves evidence for all open questions by both lists, lets one side argue from it, lets the other answer
+from evidence of its own, scores what both cite, reflects and decides.  There are two rounds at most, so the loop is
+unrolled: questions that go on get a second round, with what was found missing added to them.  A judge keeps what
+scoring backs.  With a memory, questions that were answered before are answered from it, and names that
+failed before are pointed out to the defense; without one nothing of the kind happens.
+
+Everything between the steps is a table of a row a question or a citation, written to the shared folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ABLATIONS, DEFAULTS, EngineConfig
+from ..engine import Engine
 from ..functions import text as fx
-from ..operators import debate, verify
-from ..operators.lexical import LexicalIndex
+from ..models import Generator, embedded, scripted_generator
+from ..operators import agents, debate, dense, memory, verify
 from ..storage import shared_path, written
 
-#: From (query_id, query, doc_id, rank, text) to (query_id, side, doc_id, claim): what each side cites.
-Generator = Callable[[DataFrame], DataFrame]
-
-
-def overlap_generator(evidence: DataFrame) -> DataFrame:
-    """A stand-in for a language model: each side cites its evidence and claims the question's own words."""
-    return evidence.select("query_id", "side", "doc_id", F.col("query").alias("claim"))
-
-
-def run_round(asked: DataFrame, docs: DataFrame, index: LexicalIndex, generate: Generator, round_no: int, config: EngineConfig, use_defense: bool, use_scoring: bool) -> DataFrame:
-    """One row per question of asked (query_id, query): sums of its round and the decision."""
-    texts = docs.select("doc_id", "text")
-    own = index.top(asked, config.lexical_k).join(texts, "doc_id").join(asked, "query_id").withColumn("side", F.lit("prosecutor"))
-    own = written(own, "own")
-    against = asked.select("query_id", F.posexplode(fx.counter_queries(F.col("query"), F.array().cast("array<struct<case_name:string,holding:string>>"))).alias("query_ord", "counter"))
-    key = F.col("query_id") * 16 + F.col("query_ord")
-    hits = index.top(against.select(key.alias("query_id"), F.col("counter").alias("query")), config.fused_k)
-    hits = hits.select(F.floor(F.col("query_id") / 16).alias("query_id"), (F.col("query_id") % 16).alias("query_ord"), "rank", "doc_id").join(texts, "doc_id")
-    counter = debate.counter_evidence(hits, own, config.lexical_k).join(texts, "doc_id").join(asked, "query_id").withColumn("side", F.lit("defense"))
-    columns = ["query_id", "query", "side", "rank", "doc_id", "text"]
-    evidence = written(own.select(*columns).unionByName(counter.select(*columns)) if use_defense else own.select(*columns), "evidence")
-
-    cited = generate(evidence).join(texts, "doc_id")
-    support = verify.overlap_support(F.col("claim"), F.col("text"))
-    known = F.lit(True)
-    scored = cited.withColumn("support", support).withColumns({"ccs": verify.confidence_score(F.lit(1.0), F.col("support"), known), "tier": verify.verdict(F.lit(1.0), F.col("support"), known, F.lit(True), config)})
-    ok, unsure = F.col("tier") == "SUPPORTED", F.col("tier") == "UNCERTAIN"
-    sums = scored.groupBy("query_id").agg(
-        F.count("*").alias("n_citations"), F.round(F.avg("ccs"), 4).alias("avg_ccs"), F.round(F.min("ccs"), 4).alias("min_ccs"), F.count_if(ok).alias("n_verified"),
-        F.avg(F.when(ok, F.col("ccs"))).alias("verified_mean"), F.count_if(unsure).alias("n_uncertain"), F.count_if(~ok).alias("gaps"), F.max(F.when(F.col("side") == "defense", F.col("support"))).alias("challenge"),
+MOST_CITATIONS = 1000
+ASKED = "query_id long, query string, jurisdiction string"
+
+
+@dataclass(frozen=True)
+class Memory:
+    """verdicts (key, query, answer, confidence, seq) and risks (key, name, total, n, last)."""
+
+    verdicts: DataFrame
+    risks: DataFrame
+
+    @classmethod
+    def empty(cls, spark: SparkSession) -> Memory:
+        return cls(spark.createDataFrame([], "key string, query string, answer string, confidence double, seq long"), spark.createDataFrame([], "key string, name string, total double, n long, last struct<seq:long,tier:string>"))
+
+    def answered(self, asked: DataFrame, engine: Engine, config: EngineConfig) -> DataFrame:
+        """(query_id, answer, confidence) of questions close to one that was answered before."""
+        stored = self.verdicts.select(F.xxhash64("key").alias("vec_id"), "query", "answer", "confidence")
+        vectors = stored.select("vec_id", embedded(F.col("query"), engine.embedder).alias("embedding"))
+        queries = asked.where("trim(query) <> ''").select("query_id", embedded(F.col("query"), engine.embedder).alias("embedding"))
+        hits = dense.cache_hits(queries, vectors, config.cache_distance, exclude_self=False).where("hit")
+        return hits.join(stored, hits["nearest_id"] == stored["vec_id"]).select("query_id", "answer", "confidence")
+
+    def warnings(self, asked: DataFrame, engine: Engine, config: EngineConfig) -> DataFrame:
+        """(query_id, warning): names near to a question whose citations failed before."""
+        names = self.risks.select(F.xxhash64("key").alias("vec_id"), "name", (F.col("total") / F.col("n")).alias("avg_ccs"))
+        vectors = names.select("vec_id", embedded(F.col("name"), engine.embedder).alias("embedding"))
+        queries = asked.select("query_id", embedded(F.col("query"), engine.embedder).alias("embedding"))
+        risky = memory.high_risk(dense.nearest(queries, vectors, config.risk_k), names.select("vec_id", "avg_ccs"), config.risk_k, config.risk_threshold)
+        listed = risky.join(names, "vec_id").groupBy("query_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
+        return listed.select("query_id", F.concat(F.lit("Failed before: "), F.array_join("names", "; ")).alias("warning"))
+
+    def with_results(self, results: DataFrame, scores: DataFrame) -> Memory:
+        """The memory after a session of results (query_id, query, answer, confidence, n_verified) and scores (query_id, ordinal, case_name, ccs, tier)."""
+        kept = memory.verdict_rows(results.withColumn("seq", F.col("query_id")))
+        rows = scores.withColumn("seq", F.col("query_id") * MOST_CITATIONS + F.col("ordinal"))
+        names = rows.groupBy(fx.stable_key(F.col("case_name")).alias("key")).agg(F.min("case_name").alias("name"))
+        fresh = memory.risk_index(memory.risk_rows(rows)).join(names, "key")
+        both = self.risks.unionByName(fresh.select(*self.risks.columns))
+        merged = memory.merge_risk(both.drop("name")).join(both.groupBy("key").agg(F.min("name").alias("name")), "key").select(*self.risks.columns)
+        return Memory(written(memory.upsert(self.verdicts, kept), "verdicts"), written(merged, "risks"))
+
+
+@dataclass(frozen=True)
+class Session:
+    """What a review works with, and which of its parts are on."""
+
+    engine: Engine
+    generate: Callable[[], Generator] = scripted_generator
+    config: EngineConfig = DEFAULTS
+    use_defense: bool = True
+    use_scoring: bool = True
+    use_memory: bool = True
+
+
+def cite_rows(said: DataFrame, defended: DataFrame) -> DataFrame:
+    """(citation_id, query_id, agent, ordinal, case_name, reporter_cite, holding): both sides' citations, one side's after the other's."""
+    both = agents.citations_of(said, "prosecutor").unionByName(agents.citations_of(defended, "defense"))
+    before = said.select("query_id", F.size("said.citations").alias("_before"))
+    placed = both.join(before, "query_id").withColumn("ordinal", F.col("place") + F.when(F.col("agent") == "defense", F.col("_before")).otherwise(0))
+    return placed.select((F.col("query_id") * MOST_CITATIONS + F.col("ordinal")).alias("citation_id"), "query_id", "agent", "ordinal", "case_name", "reporter_cite", "holding")
+
+
+def run_round(asked: DataFrame, s: Session, round_no: int, warnings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(a row a question, a row a scored citation) of a round over asked (query_id, query, jurisdiction, more)."""
+    config, texts = s.config, s.engine.texts
+    queries = asked.select("query_id", fx.with_jurisdiction(fx.augmented(F.col("query"), F.col("more"), F.lit(round_no)), F.col("jurisdiction")).alias("query"))
+    own = written(s.engine.search(queries, config).join(texts, "doc_id"), "own")
+    given = asked.join(agents.passages_of(own), "query_id", "left").withColumn("given", F.concat_ws("\n", "query", "passages"))
+    said = written(agents.says(given, "PROSECUTOR", F.col("given"), s.generate, "query_id", "query"), "prosecution")
+    defended, counter = said.select("query_id", F.lit(None).cast(agents.SAID).alias("said")).where("false"), None
+    if s.use_defense:
+        cites = F.transform("said.citations", lambda c: F.struct(c["case_name"], c["holding"]))
+        against = said.where("trim(query) <> ''").select("query_id", F.posexplode(fx.counter_queries(F.col("query"), cites)).alias("query_ord", "counter"))
+        hits = s.engine.search(against.select((F.col("query_id") * 16 + F.col("query_ord")).alias("query_id"), F.col("counter").alias("query")), config)
+        hits = hits.select(F.shiftright("query_id", 4).alias("query_id"), F.col("query_id").bitwiseAND(F.lit(15)).alias("query_ord"), "rank", "doc_id").join(texts.select("doc_id", "text"), "doc_id")
+        counter = written(debate.counter_evidence(hits, own, config.lexical_k).join(texts, "doc_id"), "counter")
+        given = said.join(agents.passages_of(counter), "query_id", "left")
+        if warnings is not None:
+            given = given.join(warnings, "query_id", "left")
+        note = F.col("warning") if warnings is not None else F.lit(None).cast("string")
+        defended = written(agents.says(given.withColumn("given", F.concat_ws("\n", "said.argument", "passages", note)), "DEFENSE", F.col("given"), s.generate, "query_id"), "defense")
+
+    # a question's memory of citations is one table; each citation has a place of its own
+    cited = written(cite_rows(said, defended), "citations")
+    if s.use_scoring:
+        scored = verify.score_citations(cited, s.engine.names(), texts, config, search=lambda q: s.engine.search(q, config))
+    else:
+        scored = cited.withColumns({"existence": F.lit(1.0), "matched_name": F.col("case_name"), "match_type": F.lit("UNSCORED"), "support": F.lit(0.5), "evidence": F.lit(""), "ccs": F.lit(0.5), "tier": F.lit("UNCERTAIN")})
+    scores = written(scored.select("query_id", "agent", "ordinal", "case_name", "existence", "matched_name", "match_type", "support", "ccs", "tier"), "scores")
+    sums = scores.groupBy("query_id").agg(
+        F.count("*").alias("n_citations"), F.round(F.avg("ccs"), 4).alias("avg_ccs"), F.round(F.min("ccs"), 4).alias("min_ccs"),
+        F.count_if(F.col("tier") == "SUPPORTED").alias("n_supported"), F.count_if(F.col("tier") == "UNCERTAIN").alias("n_uncertain"),
     )
-    held = evidence.groupBy("query_id").agg(F.collect_set(F.when(F.col("side") == "prosecutor", F.col("doc_id"))).alias("own_ids"))
-    echoes = cited.where("side = 'defense'").join(held, "query_id").groupBy("query_id").agg(F.round(F.avg(F.array_contains("own_ids", F.col("doc_id")).cast("double")), 4).alias("eor"))
-    rows = asked.join(sums, "query_id", "left").join(echoes, "query_id", "left").fillna(0, ["n_citations", "n_verified", "n_uncertain", "gaps"]).fillna(0.0, ["eor"])
-    rule = debate.decision_rule(F.lit(round_no), F.col("avg_ccs"), F.col("min_ccs"), F.col("gaps"), F.col("challenge"), F.lit(False), config, use_defense, use_scoring)
-    confidence = debate.judge_confidence(F.col("n_verified"), F.col("verified_mean"), F.col("n_uncertain"), F.coalesce("avg_ccs", F.lit(0.0)), use_scoring)
-    return rows.select("query_id", "query", F.lit(round_no + 1).alias("rounds"), debate.decision(rule).alias("decision"), rule.alias("rule_no"), "n_citations", "n_verified", confidence.alias("confidence"), "eor", "avg_ccs")
-
-
-def review(asked: DataFrame, docs: DataFrame, generate: Generator = overlap_generator, config: EngineConfig = DEFAULTS, use_defense: bool = True, use_scoring: bool = True, index: LexicalIndex | None = None) -> DataFrame:
-    """One row per question of asked (query_id, query): its last round."""
-    if index is None:
-        folder = shared_path(docs.sparkSession, "index")
-        LexicalIndex.build(docs).save(folder)
-        index = LexicalIndex.load(docs.sparkSession, folder)
-    first = written(run_round(asked, docs, index, generate, 0, config, use_defense, use_scoring), "round")
-    if config.max_rounds < 2:
-        return first
-    # what goes on asks again, with what was missing
-    again = first.where("decision = 'CONTINUE'").select("query_id", fx.augmented(F.col("query"), F.array(F.lit("holding"), F.lit("exception")), F.lit(1)).alias("query"))
-    second = run_round(again, docs, index, generate, 1, config, use_defense, use_scoring)
-    return first.where("decision <> 'CONTINUE'").unionByName(second)
+    report = asked.select("query_id", "query").join(agents.report_of(scores), "query_id", "left")
+    thought = written(agents.says(report, "REFLECTION", F.col("report"), s.generate, "query_id").select("query_id", F.col("said.gaps").alias("gaps"), F.col("said.queries").alias("next")), "reflection")
+    answer = defended.select("query_id", F.col("said.challenge").alias("challenge"), F.col("said.concede").alias("concede"))
+    rows = asked.select("query_id", "query", "jurisdiction").join(sums, "query_id", "left").join(thought, "query_id", "left").join(answer, "query_id", "left")
+    if counter is not None:
+        rows = rows.join(overlap(own, counter, defended), "query_id", "left")
+    else:
+        rows = rows.withColumn("eor", F.lit(0.0))
+    rows = rows.fillna(0, ["n_citations", "n_supported", "n_uncertain"]).fillna(0.0, ["eor"])
+    rule = debate.decision_rule(F.lit(round_no), F.col("avg_ccs"), F.col("min_ccs"), F.coalesce(F.size("gaps"), F.lit(0)), F.col("challenge"), F.col("concede"), config, s.use_defense, s.use_scoring)
+    found = rows.withColumns({"rounds": F.lit(round_no + 1), "rule_no": rule, "n_gaps": F.coalesce(F.size("gaps"), F.lit(0))}).withColumn("decision", debate.decision(F.col("rule_no")))
+    return written(found, "round"), scores
+
+
+def overlap(own: DataFrame, counter: DataFrame, defended: DataFrame) -> DataFrame:
+    """(query_id, eor): the share of the defense's names that only the other side's evidence holds."""
+    def side(df: DataFrame, name: str) -> DataFrame:
+        parts = F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(" ", "case_name", "text").alias("t"))))
+        return df.groupBy("query_id").agg(F.lower(F.array_join(F.transform(parts, lambda x: x["t"]), " ")).alias(name))
+
+    names = agents.citations_of(defended, "defense").select("query_id", F.lower("case_name").alias("name")).distinct()
+    texts = defended.select("query_id").join(side(own, "own"), "query_id", "left").join(side(counter, "counter"), "query_id", "left").fillna("", ["own", "counter"])
+    return debate.evidence_overlap(names, texts, "query_id")
+
+
+def judged(rounds: DataFrame, scores: DataFrame, s: Session) -> DataFrame:
+    """The last rounds with answer, n_verified and confidence: names of the judge that scoring does not back are left out."""
+    report = rounds.select("query_id", "query").join(agents.report_of(scores), "query_id", "left")
+    said = written(agents.says(report, "JUDGE", F.concat_ws("\n", "query", "report"), s.generate, "query_id"), "judgement")
+    backed = debate.verified_scores(scores.withColumn("ord", F.col("ordinal")))
+    names = said.select("query_id", F.explode("said.citations").alias("c")).select("query_id", F.col("c.case_name").alias("case_name"))
+    kept = debate.reconcile(names, backed).groupBy("query_id").agg(F.count("*").alias("n_verified"), F.avg("score").alias("verified_mean"))
+    answers = said.select("query_id", fx.first_of(F.col("said.verdict"), F.col("said.argument")).alias("answer"), F.col("said.confidence").alias("raw"), F.size("said.citations").alias("n_named"))
+    rows = rounds.join(answers, "query_id", "left").join(kept, "query_id", "left").fillna(0, ["n_verified", "n_named"])
+    confidence = debate.judge_confidence(F.col("n_verified"), F.col("verified_mean"), F.col("n_uncertain"), F.col("raw"), s.use_scoring)
+    # nothing was cited: there is nothing to be sure of
+    sure = F.when((F.col("n_citations") == 0) & F.lit(s.use_scoring), F.lit(0.0)).otherwise(confidence)
+    return rows.withColumns({"confidence": sure, "n_rejected": F.col("n_named") - F.col("n_verified")})
+
+
+COLUMNS = ["query_id", "query", "rounds", "decision", "rule_no", "n_citations", "n_verified", "n_rejected", "n_uncertain", "answer", "confidence", "eor", "avg_ccs", "min_ccs"]
 
 
 def split_by_cache(asked: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,14 +167,72 @@ def split_by_cache(asked: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFr
     return asked.join(known, "query_id"), asked.join(known, "query_id", "left_anti")
 
 
-def ablations(asked: DataFrame, docs: DataFrame, generate: Generator = overlap_generator, config: EngineConfig = DEFAULTS) -> DataFrame:
-    """The review once per variant, over one index: (variant, query_id, ...)."""
-    folder = shared_path(docs.sparkSession, "index")
-    LexicalIndex.build(docs).save(folder)
-    index = LexicalIndex.load(docs.sparkSession, folder)
+def session(asked: DataFrame, s: Session, remembered: Memory | None = None) -> tuple[DataFrame, DataFrame]:
+    """(results, scores) of asked (query_id, query, jurisdiction): a row a question (COLUMNS), and a row a citation of its last round."""
+    warnings, cached = None, None
+    if s.use_memory and remembered is not None:
+        cached = written(remembered.answered(asked, s.engine, s.config), "cached")
+        open_, warnings = asked.join(cached.select("query_id"), "query_id", "left_anti"), remembered.warnings(asked, s.engine, s.config)
+    else:
+        open_ = asked
+    none = F.array().cast("array<string>")
+    first, scores = run_round(open_.withColumn("more", none), s, 0, warnings)
+    if s.config.max_rounds > 1:
+        again = first.where("decision = 'CONTINUE'")
+        second, more = run_round(again.select("query_id", "query", "jurisdiction", F.coalesce("next", none).alias("more")), s, 1, warnings)
+        first = written(first.where("decision <> 'CONTINUE'").unionByName(second), "rounds")
+        scores = scores.join(again.select("query_id"), "query_id", "left_anti").unionByName(more)
+    results = judged(first, scores, s).select(*COLUMNS)
+    if cached is not None:
+        # columns a cached answer has no figures for are null
+        known = asked.join(cached, "query_id").withColumns({"rounds": F.lit(0), "decision": F.lit("CACHED"), "n_citations": F.lit(0).cast("bigint"), "n_verified": F.lit(0).cast("bigint"), "eor": F.lit(0.0)})
+        results = results.unionByName(known.select(*[F.col(c) if c in known.columns else F.lit(None).cast(results.schema[c].dataType).alias(c) for c in COLUMNS]))
+    return results, scores
+
+
+def asked_rows(asked: DataFrame) -> DataFrame:
+    jurisdiction = F.coalesce("jurisdiction", F.lit("")) if "jurisdiction" in asked.columns else F.lit("")
+    return asked.select("query_id", F.coalesce("query", F.lit("")).alias("query"), jurisdiction.alias("jurisdiction"))
+
+
+def review(asked: DataFrame, s: Session | Engine | DataFrame, remembered: Memory | None = None) -> DataFrame:
+    """One row per question of asked (query_id, query, and jurisdiction if it has one).
+
+    Of questions with equal text the first is reviewed; with memory on, the others are answered from what was
+    kept of it, if anything was, and reviewed after it otherwise.  ``s`` may be an engine or documents.
+    """
+    s = as_session(s)
+    rows = written(asked_rows(asked), "asked")
+    memory_ = (remembered or Memory.empty(rows.sparkSession)) if s.use_memory else None
+    firsts = rows.groupBy(fx.name_key(F.col("query")).alias("_key")).agg(F.min("query_id").alias("query_id")).select("query_id")
+    results, scores = session(rows.join(firsts, "query_id", "left_semi"), s, memory_ if remembered else None)
+    repeats = rows.join(firsts, "query_id", "left_anti")
+    results = written(results, "results")
+    if not repeats.take(1):
+        return results
+    later, _ = session(repeats, s, memory_.with_results(results.where("decision <> 'CACHED'"), scores) if memory_ else None)
+    return results.unionByName(later)
+
+
+def named_documents(docs: DataFrame) -> DataFrame:
+    """Documents with the columns an engine is built of; those without a name are called by their id."""
+    extra = {"case_name": F.concat(F.lit("Case "), F.col("doc_id").cast("string")), "year": F.lit(0), "reporter_cite": F.lit("")}
+    return docs.withColumns({k: v for k, v in extra.items() if k not in docs.columns})
+
+
+def as_session(s: Session | Engine | DataFrame) -> Session:
+    if isinstance(s, Session):
+        return s
+    engine = s if isinstance(s, Engine) else Engine.build(named_documents(s), shared_path(s.sparkSession, "engine"))
+    return Session(engine)
+
+
+def ablations(asked: DataFrame, s: Session | Engine | DataFrame, config: EngineConfig = DEFAULTS) -> DataFrame:
+    """The review once per variant, over one engine: (variant, query_id, ...)."""
+    s = as_session(s)
     parts = [
-        review(asked, docs, generate, replace(config, max_rounds=rounds), use_defense=defense, use_scoring=scoring, index=index).withColumn("variant", F.lit(name))
-        for name, defense, scoring, _, rounds in ABLATIONS
+        review(asked, replace(s, config=replace(config, max_rounds=rounds), use_defense=defense, use_scoring=scoring, use_memory=remember)).withColumn("variant", F.lit(name))
+        for name, defense, scoring, remember, rounds in ABLATIONS
     ]
     out = parts[0]
     for p in parts[1:]:

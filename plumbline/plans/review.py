@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import salvage
 from ..functions import text as fx
 from ..operators import debate, dense, memory
-from .loop import overlap_generator, review
+from .loop import review
 from .registry import query
 from .shared import BM25_SQL, DENSE_SQL, documents, lexical_top, questions, table, vector_queries, vectors
 from .verification import CITED_SQL, SCORED_SQL, cited_names, held_names, scored_events
@@ -215,5 +215,5 @@ def clean_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("debate_loop_batch")
 def debate_loop_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole review of all benchmark texts with a stand-in for the generator."""
-    found = review(questions(spark, sf_dir), documents(spark, sf_dir), overlap_generator)
-    return found.select("query_id", "rounds", "decision", "n_citations", "n_verified", "confidence", "eor")
+    found = review(questions(spark, sf_dir), documents(spark, sf_dir))
+    return found.select("query_id", "rounds", "decision", "rule_no", "n_citations", "n_verified", "n_rejected", "answer", "confidence", "eor", "avg_ccs", "min_ccs")

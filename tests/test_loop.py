@@ -22,7 +22,7 @@ def test_review(spark):
 def test_ablations(spark):
     docs, asked = corpus(spark)
     rows = ablations(asked, docs, config=DEFAULTS).collect()
-    assert len(rows) == 15 and {r["rounds"] for r in rows if r["variant"] == "single_round"} == {1}
+    assert len(rows) == 15 and {r["variant"] for r in rows} == {"full", "no_defense", "no_scoring", "no_memory", "single_round"} and {r["rounds"] for r in rows if r["variant"] == "single_round"} == {1}
 
 
 def test_cache_split(spark):
