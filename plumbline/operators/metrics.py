@@ -163,6 +163,30 @@ def scorecards(cases: DataFrame, citations: DataFrame, kinds: DataFrame, report:
     )
 
 
+def distinct_names(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, names): the distinct names of rows (key, order, names), in the order they come."""
+    lists = F.array_sort(F.collect_list(F.struct(order, "names")))
+    return rows.groupBy(key).agg(lists.alias("_l")).select(key, F.array_distinct(F.flatten(F.transform("_l", lambda x: x["names"]))).alias("names"))
+
+
+MEANS = ("hr", "cfr", "oor", "mar", "ucr", "ass", "cas", "ap", "ar", "haa", "eor", "confidence")
+
+
+def macro_means(cards: DataFrame) -> DataFrame:
+    """One row: the means of all twelve rates over cards that did not fail."""
+    ok = F.col("status") != "ERROR"
+    means = [F.coalesce(F.round(F.avg(F.when(ok, F.col(c))), 4), F.lit(0.0)).alias(f"mean_{c}") for c in MEANS]
+    return cards.agg(F.count("*").alias("total"), count_if(ok).alias("completed"), count_if(~ok).alias("crashed"), *means)
+
+
+def evaluation(*rows: DataFrame) -> DataFrame:
+    """One row of all measures: frames of one row side by side."""
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.crossJoin(F.broadcast(r.select(*[c for c in r.columns if c not in out.columns])))
+    return out
+
+
 def macro_micro(cards: DataFrame) -> DataFrame:
     """One row: the mean rate of all cases, of the cases that cite anything, and over all citations."""
     some = F.col("total_cites") > 0

@@ -166,6 +166,12 @@ def score_citations(citations: DataFrame, catalog: DataFrame, evidence: DataFram
     return joined.withColumns({"ccs": confidence_score(F.col("existence"), F.col("support"), known), "tier": verdict(F.col("existence"), F.col("support"), known, held, config)})
 
 
+def report_keys(citations: DataFrame, key: str, name: str, *order: str) -> DataFrame:
+    """``citations`` with report_key: the name and its place, from 0, among those of its key."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    return citations.withColumn("report_key", F.concat(F.col(name), F.lit("#"), place.cast("string")))
+
+
 def tier_counts(scores: DataFrame, *keys: str) -> DataFrame:
     return scores.groupBy(*keys).agg(*[F.count_if(F.col("tier") == t).alias(t.lower()) for t in TIERS])
 

@@ -196,7 +196,12 @@ def asked_rows(asked: DataFrame) -> DataFrame:
 
 
 def review(asked: DataFrame, s: Session | Engine | DataFrame, remembered: Memory | None = None) -> DataFrame:
-    """One row per question of asked (query_id, query, and jurisdiction if it has one).
+    """One row per question of asked; see ``review_with_scores``."""
+    return review_with_scores(asked, s, remembered)[0]
+
+
+def review_with_scores(asked: DataFrame, s: Session | Engine | DataFrame, remembered: Memory | None = None) -> tuple[DataFrame, DataFrame]:
+    """A row per question of asked (query_id, query, and jurisdiction if it has one), and a row per citation of its last round.
 
     Of questions with equal text the first is reviewed; with memory on, the others are answered from what was
     kept of it, if anything was, and reviewed after it otherwise.  ``s`` may be an engine or documents.
@@ -209,9 +214,9 @@ def review(asked: DataFrame, s: Session | Engine | DataFrame, remembered: Memory
     repeats = rows.join(firsts, "query_id", "left_anti")
     results = written(results, "results")
     if not repeats.take(1):
-        return results
-    later, _ = session(repeats, s, memory_.with_results(results.where("decision <> 'CACHED'"), scores) if memory_ else None)
-    return results.unionByName(later)
+        return results, scores
+    later, more = session(repeats, s, memory_.with_results(results.where("decision <> 'CACHED'"), scores) if memory_ else None)
+    return results.unionByName(later), scores.unionByName(more)
 
 
 def named_documents(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-AREAS = ("retrieval", "verification", "review", "measures")
+AREAS = ("retrieval", "verification", "review", "measures", "records", "runs")
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
