@@ -1,8 +1,11 @@
 """Deterministic, sharded WARC archives of a table of pages, and reading them back.
 
-Writing: pages are cut into ranges of page_id of about equal size.  The bounds
-come from sums of bytes over ranges of page_id, so they depend on the rows
-alone; the rows of a range are sorted and one task writes them.  Every record
+Writing: records are ordered by page_id, payload digest and a hash of the URL, and cut into
+shards of about equal size.  The cuts come from running sums of bytes over that order, so they
+depend on the rows alone: one pass sorts the narrow columns by ranges, sums of the ranges go to the driver, and
+only the shards' first places travel to the rows.  A page_id of many payloads is cut between them; equal
+rows, however many, are folded into one with a count before they are shuffled, and the count is cut.
+The rows of a shard are sorted and one task writes them.  Every record
 is a gzip member of its own; a file is closed once its compressed size
 reaches ``roll_bytes``.  Headers (record ids, lengths, digests, a fixed date)
 are made anew from the rows, so equal tables give equal bytes.  A file is
@@ -13,7 +16,7 @@ again writes the same files; files of no manifest are never read.
 Of pages with equal payloads of at least ``revisit_bytes`` bytes, the one of
 the smallest page_id is a response and the others are revisit records that
 refer to it.  Of rows that agree in page_id and payload the first is the
-response.  A null page_id is always a response and never referred to.  Null
+response.  page_id must be an integer.  A null page_id is always a response and never referred to.  Null
 html is an empty payload, a null url is written as ``urn:null``.  Other columns
 are not read.  An empty table gives an empty archive.
 """
@@ -24,13 +27,12 @@ import hashlib
 import io
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, require_columns, shared_path, written
@@ -38,8 +40,10 @@ from .common import bounded_batches, require_columns, shared_path, written
 REVISIT_BYTES = 100
 SHARD_BYTES = 64 << 20
 ROLL_BYTES = 256 << 20
+#: Beyond this many shards they grow: to 5 GB, in files of ROLL_BYTES, for 100 TB.
 MOST_SHARDS = 20_000
-CELLS = 1 << 14
+#: What a record takes beside its payload, about.
+HEAD_BYTES = 512
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -153,86 +157,112 @@ class RollingFiles:
             self.out, self.part = None, self.part + 1
 
 
-def shard_bounds(sizes: DataFrame, shard_bytes: int) -> list[int]:
-    """Bounds of page_id ranges of about ``shard_bytes``, from sums over at most CELLS cells at a time."""
-    total = sizes.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.sum("size").alias("size")).first()
-    if total["low"] is None:
-        return []
-    shard_bytes = max(shard_bytes, -(-total["size"] // MOST_SHARDS))
-
-    def cells(low: int, high: int) -> Iterator[tuple[int, int]]:
-        """(first id, bytes) in order; a cell of more than a shard is split further."""
-        width = -(-(high - low + 1) // CELLS)
-        inside = sizes.where(F.col("page_id").between(low, high))
-        cell = F.floor((F.col("page_id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("bigint")
-        for r in sorted(inside.groupBy(cell.alias("cell")).agg(F.sum("size").alias("size")).collect()):
-            first = low + r["cell"] * width
-            if r["size"] > shard_bytes and width > 1:
-                yield from cells(first, min(high, first + width - 1))
-            else:
-                yield first, r["size"]
-
-    bounds, filled = [], 0
-    for first, size in cells(total["low"], total["high"]):
-        if filled and filled + size > shard_bytes:
-            bounds.append(first)
-            filled = 0
-        filled += size
-    return bounds
+def ordered_bytes(number: Column) -> Column:
+    """A long as bytes that sort as it does."""
+    return F.unhex(F.lpad(F.hex(number.bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
 
 
-def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
-    """Write all pages below ``folder`` (a URI every executor can write) and return the manifest."""
-    require_columns(pages, "page_id", "url", "html")
-    bounded_batches(pages.sparkSession)
-    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    digests = written(pages.select("page_id", F.octet_length(payload).cast("bigint").alias("size"), F.unhex(F.sha2(payload, 256)).alias("digest")), "digests")
-    shared = digests.where(f"size >= {int(revisit_bytes)} AND page_id IS NOT NULL")
-    groups = shared.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    marks = written(shared.join(groups, "digest").select("page_id", "digest", "refers_to").distinct(), "revisits")
+def place_of(page_id: Column, digest: Column, url: Column) -> Column:
+    """The order of records, as bytes: null page_ids, then page_id, digest and a hash of the URL."""
+    own = F.when(page_id.isNull(), F.unhex(F.lit("00"))).otherwise(F.concat(F.unhex(F.lit("01")), ordered_bytes(F.coalesce(page_id.cast("bigint"), F.lit(0).cast("bigint")))))
+    return F.concat(own, digest, ordered_bytes(F.xxhash64(url)))
 
-    bounds = shard_bounds(digests.select("page_id", (F.col("size") + 512).alias("size")), shard_bytes)
-    shards = len(bounds) + 1
-    id_type = pages.schema["page_id"].dataType.simpleString()
-    edges = np.asarray(bounds, dtype=np.int64)
 
-    @F.pandas_udf("int")
-    def shard_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, ids.to_numpy(), side="right").astype("int32"))
+def with_starts(groups: DataFrame) -> tuple[DataFrame, int]:
+    """``groups`` (place, weight, ...) with ``start``, the sum of all weights before, written, and the sum of all."""
+    spark = groups.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = written(groups.repartitionByRange(parts, "place").withColumn("part", F.spark_partition_id()), "ranges")
+    sums = sorted((r["part"], r["w"]) for r in ranged.groupBy("part").agg(F.sum("weight").alias("w")).collect())  # a row a range
+    bases, total = [], 0
+    for part, w in sums:
+        bases.append((part, total))
+        total += w
+    base = spark.createDataFrame(bases, "part int, base long")
+    before = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    running = ranged.withColumn("start", F.coalesce(F.sum("weight").over(before), F.lit(0))).join(F.broadcast(base), "part")
+    return written(running.withColumn("start", F.col("start") + F.col("base")).drop("part", "base"), "starts"), total
+
 
-    shard = F.when(F.isnull("page_id"), 0).otherwise(shard_of(F.coalesce(F.col("page_id").cast("bigint"), F.lit(0).cast("bigint"))))
+def divided(a: Column, b) -> Column:
+    """a / b rounded up."""
+    return F.ceil(a.cast("decimal(38,0)") / F.lit(b).cast("decimal(38,0)") if isinstance(b, int) else a.cast("decimal(38,0)") / b.cast("decimal(38,0)")).cast("bigint")
 
-    rows = pages.select("page_id", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast(id_type).alias("refers_to"), "url", payload.alias("payload"))
-    lines = marks.select("page_id", F.lit(0).alias("kind"), "digest", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
-    dealt = rows.unionByName(lines).withColumn("shard", shard).repartitionById(shards, F.col("shard"))
-    ordered = dealt.sortWithinPartitions("shard", "page_id", "kind", "url", "payload").select("shard", "page_id", "kind", "digest", "refers_to", "url", "payload")
-    place, folder_path = fs.FileSystem.from_uri(folder)
-    place.create_dir(folder_path, recursive=True)
+
+def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+    """Write all pages below ``folder`` (a URI every executor can write) and return the manifest."""
+    require_columns(pages, "page_id", "url", "html")
+    id_type = pages.schema["page_id"].dataType.simpleString()
+    if id_type not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"page_id must be an integer; got {id_type}")
+    spark = pages.sparkSession
+    bounded_batches(spark)
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    digest = F.unhex(F.sha2(payload, 256))
+    place = place_of(F.col("page_id"), digest, F.col("url"))
+    rows = pages.select("page_id", "url", payload.alias("payload"), place.alias("place"))
+    narrow = pages.select(place.alias("place"), "page_id", F.octet_length(payload).cast("bigint").alias("size"), digest.alias("digest"))
+    groups = narrow.groupBy("place").agg(F.first("page_id").alias("page_id"), F.first("size").alias("size"), F.first("digest").alias("digest"), F.count("*").alias("n"))
+    started, total = with_starts(groups.withColumn("weight", F.col("n") * (F.col("size") + HEAD_BYTES)))
+
+    shard_bytes = max(shard_bytes, -(-total // MOST_SHARDS))
+    each = F.col("size") + HEAD_BYTES
+    first, last = F.floor(F.col("start") / shard_bytes).cast("int"), F.floor((F.col("start") + (F.col("n") - 1) * each) / shard_bytes).cast("int")
+    placed = started.withColumns({"first": first, "last": last})
+    # a row a shard: its first place
+    edges = sorted((bytes(r["place"]), r["shard"]) for r in placed.groupBy(F.col("first").alias("shard")).agg(F.min("place").alias("place")).collect())
+    names, shards = [e for e, _ in edges], total // shard_bytes + 1
+    numbers = [n for _, n in edges]
+
+    @F.arrow_udf("int")
+    def shard_of(places: pa.Array) -> pa.Array:
+        return pa.array([numbers[bisect_right(names, p) - 1] for p in places.to_pylist()], pa.int32())
+
+    # a group that ends in another shard than it begins in has several equal rows: no more of them than shards
+    low = F.greatest(F.col("shard") * F.lit(shard_bytes).cast("bigint") - F.col("start"), F.lit(0).cast("bigint"))
+    high = F.least((F.col("shard") + 1) * F.lit(shard_bytes).cast("bigint") - F.col("start"), F.col("n") * each)
+    wide = placed.where("first < last").withColumn("shard", F.explode(F.sequence("first", "last")))
+    wide = written(wide.withColumn("copies", (divided(high, each) - divided(low, each)).cast("int")).where("copies > 0").select("place", "shard", "copies", "first"), "wide")
+    records = rows
+    if cut := bool(wide.take(1)):
+        records = rows.join(F.broadcast(wide.select("place").distinct()), "place", "left_anti")
+    records = records.select("place", "page_id", "url", "payload", shard_of("place").alias("shard"), F.lit(1).alias("copies"))
+    if cut:
+        folded = rows.join(F.broadcast(wide.select("place").distinct()), "place").groupBy("place").agg(F.first("page_id").alias("page_id"), F.first("url").alias("url"), F.first("payload").alias("payload"))
+        records = records.unionByName(folded.join(F.broadcast(wide.drop("first")), "place"))
+
+    # equal payloads: what refers to what, and the place that comes first of all
+    shared = started.where(f"size >= {int(revisit_bytes)} AND page_id IS NOT NULL")
+    equal = shared.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.min("place").alias("lead"), F.sum("n").alias("rows")).where("rows > 1").drop("rows")
+    marks = written(shared.join(equal, "digest").select("place", "refers_to", (F.col("place") == F.col("lead")).alias("lead"), "start", "n", "size"), "revisits")
+    in_one = marks.withColumn("first", first).select("place", "refers_to", "lead", "first").join(F.broadcast(wide.select("place", "shard")), "place", "left")
+    lines = in_one.select("place", F.coalesce("shard", "first").alias("shard"), "refers_to", (F.col("lead") & (F.coalesce("shard", "first") == F.col("first"))).alias("lead"))
+
+    empty = {"page_id": id_type, "url": "string", "payload": "binary", "copies": "int"}
+    dealt = records.select("shard", "place", F.lit(1).alias("kind"), *empty, F.lit(None).cast(id_type).alias("refers_to"), F.lit(None).cast("boolean").alias("lead"))
+    dealt = dealt.unionByName(lines.select("shard", "place", F.lit(0).alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in empty.items()], "refers_to", "lead"))
+    ordered = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "place", "kind", "url", "payload")
+    at, folder_path = fs.FileSystem.from_uri(folder)
+    at.create_dir(folder_path, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, at, revisits = None, None, {}
+        files, marked, refers_to, lead = None, None, None, False
         done: list[tuple] = []
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
-                for shard, page_id, kind, digest, refers_to, url, body in zip(*(c.to_pylist() for c in batch.slice(i, 64).columns), strict=True):
+                for shard, own, kind, page_id, url, body, copies, to, leads in zip(*(c.to_pylist() for c in batch.slice(i, 64).columns), strict=True):
                     if files is None or files.shard != shard:
                         if files:
                             files.close()
                             done += files.done
-                        files, at = RollingFiles(folder, shard, roll_bytes), None
-                    if page_id != at or page_id is None:
-                        at, revisits = page_id, {}
+                        files, marked = RollingFiles(folder, shard, roll_bytes), None
                     if kind == 0:
-                        revisits[digest] = refers_to
+                        marked, refers_to, lead = own, to, leads
                         continue
-                    own = hashlib.sha256(body).digest()
-                    to = revisits.get(own)
-                    if to is not None and to == page_id:  # the response itself; further rows of this page_id refer to it
-                        revisits[own] = (page_id,)
-                        to = None
-                    elif isinstance(to, tuple):
-                        to = to[0]
-                    files.add(page_record(page_id, url, body, to))
+                    for _ in range(copies):
+                        response = marked != own or lead
+                        lead = False if marked == own else lead
+                        files.add(page_record(page_id, url, body, None if response else refers_to))
         if files:
             files.close()
             done += files.done
