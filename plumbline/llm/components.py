@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b); a component is named by its smallest node.
 
     Each round joins neighbours of a node to the smallest of them, first the
-    larger ones, then the smaller ones, until nothing moves.  Only minima are
+    larger ones, then the smaller ones, until nothing moves, however many rounds that takes (the logarithm of the longest path, about).  Only minima are
     gathered by node; a node of many links is summed before the shuffle and its
     links are split by the skew join.  Every round is written to the shared folder.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     mark = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -30,6 +30,4 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if mark == tuple(now):
             break
         mark = tuple(now)
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import global_ranks
+
 SHIFT = 5
 
 
@@ -15,7 +17,7 @@ def stress_set(cases: DataFrame, invented: DataFrame, off_corpus: DataFrame) ->
     (id, case_name, reporter_cite, holding) are taken as they are.
     """
     n = cases.count()
-    ranked = cases.withColumn("_rn", F.row_number().over(Window.orderBy("id")) - 1)
+    ranked = global_ranks(cases, "id", name="_rn")
     other = ranked.select(F.col("_rn").alias("_at"), F.col("holding").alias("_holding"))
     swapped = ranked.withColumn("_at", (F.col("_rn") + SHIFT) % F.lit(max(n, 1))).join(other, "_at")
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import salvage
 from ..functions import text as fx
-from ..operators import debate, dense, memory
+from ..operators import debate, dense, memory, ranks
 from .loop import review
 from .registry import query
 from .shared import BM25_SQL, DENSE_SQL, documents, lexical_top, questions, table, vector_queries, vectors
@@ -66,7 +66,7 @@ _WORDS = r"list_distinct(regexp_extract_all(lower({0}), '\b[a-zA-Z]{{3,}}\b'))"
 def judge_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = held_names(spark, sf_dir)
     score = F.round(F.lit(0.5) + F.length("name") / 50.0, 4)
-    report = held.select(F.lit(0).alias("query_id"), F.col("name").alias("case_name"), F.lit("SUPPORTED").alias("tier"), score.alias("ccs"), F.row_number().over(Window.orderBy("name")).alias("ord"))
+    report = ranks.global_ranks(held, "name", name="ord").select(F.lit(0).alias("query_id"), F.col("name").alias("case_name"), F.lit("SUPPORTED").alias("tier"), score.alias("ccs"), "ord")
     cited = cited_names(spark, sf_dir).select(F.lit(0).alias("query_id"), F.col("name").alias("case_name"))
     return debate.reconcile(cited, debate.verified_scores(report)).select("case_name", "score", "via")
 
