@@ -43,14 +43,19 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = DEFAULTS.dense_k, e
 
         def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, asked = shared.value
+            kept = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)
             for batch in batches:
                 own = batch.column(0).to_numpy(zero_copy_only=False)
                 distance = np.round(1.0 - asked @ _unit(batch.column(1).to_pylist()).T, digits)
                 if exclude_self:
                     distance[ids[:, None] == own[None, :]] = np.inf
-                m = min(k, len(own))
-                order = np.stack([np.lexsort((own, row))[:m] for row in distance])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(own[order].ravel()), pa.array(np.take_along_axis(distance, order, axis=1).ravel())], names=["query_id", "vec_id", "distance"])
+                # the best of this batch and of those before
+                both = np.concatenate([kept[0], distance], axis=1)
+                names = np.concatenate([kept[1], np.broadcast_to(own, distance.shape)], axis=1)
+                order = np.lexsort((names, both), axis=1)[:, :k]
+                kept = np.take_along_axis(both, order, axis=1), np.take_along_axis(names, order, axis=1)
+            m = kept[0].shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, m)), pa.array(kept[1].ravel()), pa.array(kept[0].ravel())], names=["query_id", "vec_id", "distance"])
 
         part = source.mapInArrow(best, "query_id long, vec_id long, distance double").where("distance < double('infinity')")
         found = part if found is None else found.unionByName(part)
