@@ -37,3 +37,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert "bm25_topk" in capsys.readouterr().out
     main(["run", "tier_pivot", "/root/testdata/sf0.001", "--out", str(tmp_path / "out")])
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+    main(["build-engine", "/root/testdata/sf0.001", str(tmp_path / "engine")])
+    spark.createDataFrame([(1, "one question")], "query_id long, query string").write.parquet(str(tmp_path / "asked"))
+    main(["review", str(tmp_path / "engine"), str(tmp_path / "asked"), "--out", str(tmp_path / "answers"), "--no-memory"])
+    assert [r["query_id"] for r in spark.read.parquet(str(tmp_path / "answers")).collect()] == [1]
