@@ -55,9 +55,27 @@ def reconcile(cited: DataFrame, verified: DataFrame) -> DataFrame:
     entries = verified.select("query_id", "score", "ord", fx.long_words(F.col("name"), RECONCILING_STOP_WORDS).alias("entry_words"))
     left, right = F.col("words"), F.col("entry_words")
     backs = (F.size(F.array_except(left, right)) == 0) | (F.size(F.array_except(right, left)) == 0) | (F.size(F.array_intersect(left, right)) >= 2)
-    # entries without words back every name; the others share a word with it
-    by_word = rest.withColumn("word", F.explode("words")).join(entries.withColumn("word", F.explode("entry_words")), ["query_id", "word"]).drop("word")
-    wordless = rest.join(entries.where("size(entry_words) = 0"), "query_id")
+    # words that all of one side's are among the other's meet by the rarest of them, others by two words they share
+    held = rest.select("query_id", F.explode("words").alias("word")).unionByName(entries.select("query_id", F.explode("entry_words").alias("word"))).groupBy("query_id", "word").agg(F.count("*").alias("df"))
+
+    def by_words(df: DataFrame, words: str, *keep: str) -> DataFrame:
+        return df.select(*keep, F.explode(words).alias("word"))
+
+    def by_rarest(df: DataFrame, words: str, *keep: str) -> DataFrame:
+        counted = by_words(df, words, *keep).join(held, ["query_id", "word"])
+        return counted.groupBy(*keep).agg(F.min_by("word", F.struct("df", "word")).alias("word"))
+
+    def by_pairs(df: DataFrame, words: str, *keep: str) -> DataFrame:
+        ordered = F.array_sort(words)
+        pairs = F.flatten(F.transform(ordered, lambda x, i: F.transform(F.slice(ordered, i + 2, F.size(ordered)), lambda y: F.concat_ws(" ", x, y))))
+        return df.select(*keep, F.explode(pairs).alias("word"))
+
+    asked_keys, entry_keys = ("query_id", "case_name", "words"), ("query_id", "score", "ord", "entry_words")
+    ways = [(by_rarest, by_words), (by_words, by_rarest), (by_pairs, by_pairs)]
+    met = [x(rest, "words", *asked_keys).join(y(entries, "entry_words", *entry_keys), ["query_id", "word"]).drop("word") for x, y in ways]
+    by_word = met[0].unionByName(met[1]).unionByName(met[2])
+    # entries without words back every name
+    wordless = rest.select(*asked_keys).join(entries.where("size(entry_words) = 0"), "query_id")
     near = by_word.unionByName(wordless).where(backs).groupBy("query_id", "case_name").agg(F.min_by("score", "ord").alias("score")).withColumn("via", F.lit("words"))
     return exact.unionByName(near)
 

@@ -35,12 +35,24 @@ def exact_existence(names: DataFrame, catalog: DataFrame) -> DataFrame:
 def reporter_matches(cites: DataFrame, catalog: DataFrame) -> DataFrame:
     """(cite, name) pairs of cites (cite, case_name) and entries (name) that hold the cite and share a word with the name.
 
-    Words are joined first; only pairs that share one are searched for the cite.
+    Entries meet a cite by its rarest three letters, so a word that many names share joins nothing; a cite of
+    fewer letters meets them by a word of its name.
     """
-    asked = cites.select("cite", "case_name", F.explode(fx.long_words(F.col("case_name"), SCORING_STOP_WORDS)).alias("word"))
-    entries = catalog.select("name", F.explode(fx.long_words(F.col("name"), SCORING_STOP_WORDS)).alias("word"))
-    held = F.contains(F.lower("name"), F.lower("cite")) & (F.col("cite") != "")
-    return asked.join(entries, "word").where(held).select("cite", "case_name", "name").distinct()
+    asked = cites.where("cite <> ''").select("cite", "case_name", fx.long_words(F.col("case_name"), SCORING_STOP_WORDS).alias("words")).distinct()
+    entries = catalog.select("name").distinct().withColumn("entry_words", fx.long_words(F.col("name"), SCORING_STOP_WORDS))
+
+    def letters(text: Column) -> Column:
+        low = F.lower(text)
+        return F.when(F.length(low) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substr(low, i, F.lit(3)))))
+
+    held = entries.select("name", "entry_words", F.explode(letters(F.col("name"))).alias("key"))
+    counts = held.groupBy("key").agg(F.count("*").alias("df"))
+    keyed = asked.select("cite", F.explode(letters(F.col("cite"))).alias("key")).distinct().join(counts, "key", "left")
+    rarest = keyed.groupBy("cite").agg(F.min_by("key", F.struct(F.coalesce("df", F.lit(0)), "key")).alias("key"))
+    long = asked.join(rarest, "cite").join(held, "key").drop("key")
+    short = asked.where(F.length(F.lower("cite")) < 3).withColumn("word", F.explode("words")).join(entries.withColumn("word", F.explode("entry_words")), "word").drop("word")
+    found = F.contains(F.lower("name"), F.lower("cite")) & F.arrays_overlap("words", "entry_words")
+    return long.unionByName(short.select(*long.columns)).where(found).select("cite", "case_name", "name").distinct()
 
 
 def subset_matches(names: DataFrame, catalog: DataFrame, score: float = DEFAULTS.subset_score) -> DataFrame:
