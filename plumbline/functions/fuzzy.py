@@ -115,32 +115,50 @@ def ratio_loss(threshold: float) -> float:
 
 
 class _Catalog:
-    """Names of a block with their letters counted, to leave out those that cannot win."""
+    """Names of a block with their letters and words counted, to leave out those that cannot win."""
 
     def __init__(self, names: list[str]):
         self.names = sorted(names)
-        self.sizes = np.array([len(n) for n in self.names])
-        self.bags = np.stack([self._bag(n) for n in self.names]) if names else np.zeros((0, 64), dtype=np.int16)
+        self.sizes, self.bags = self._counted(self.names)
+        words = [_word_set(n) for n in self.names]
+        self.set_sizes, self.set_bags = self._counted([" ".join(w) for w in words])
+        at: dict[str, list[int]] = {}
+        for i, some in enumerate(words):
+            for w in some:
+                at.setdefault(w, []).append(i)
+        self.having = {w: np.array(i) for w, i in at.items()}
 
     @staticmethod
     def _bag(name: str) -> np.ndarray:
         return np.bincount(np.frombuffer(name.encode("utf-16-le"), dtype=np.uint16) % 64, minlength=64).astype(np.int16)
 
+    def _counted(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([len(n) for n in names], dtype=np.int64), np.stack([self._bag(n) for n in names]) if names else np.zeros((0, 64), dtype=np.int16)
+
+    def _bound(self, name: str, sizes: np.ndarray, bags: np.ndarray) -> np.ndarray:
+        """At least the ratio of ``name`` with each: letters in common, whatever their order."""
+        shared = np.minimum(bags, self._bag(name)).sum(axis=1)
+        return np.rint(200.0 * shared / np.maximum(sizes + len(name), 1))
+
     def best(self, name: str, token_sets: bool) -> tuple[int, str]:
-        shared = np.minimum(self.bags, self._bag(name)).sum(axis=1)
-        bound = np.rint(200.0 * shared / np.maximum(self.sizes + len(name), 1))
+        bound, sharing = self._bound(name, self.sizes, self.bags), np.zeros(len(self.names), dtype=bool)
+        if token_sets:
+            words = _word_set(name)
+            whole = " ".join(words)
+            common = np.zeros(len(self.names))
+            for w in words:
+                if (at := self.having.get(w)) is not None:
+                    common[at] += len(w) + 1
+            sharing, common = common > 0, np.maximum(common - 1, 0)
+            # the shared words begin either side, so their ratio with it is known; the sides' own is bounded by their letters
+            ends = 200.0 * common / np.maximum(common + np.minimum(len(whole), self.set_sizes), 1)
+            bound = np.where(sharing, np.maximum(bound, np.maximum(np.rint(ends), self._bound(whole, self.set_sizes, self.set_bags))), bound)
         best, match = -1, ""
-        words = set(_word_set(name)) if token_sets else set()
         for i in np.argsort(-bound, kind="stable"):
+            if bound[i] < best:
+                break
             candidate = self.names[i]
-            if token_sets and words & set(_word_set(candidate)):
-                score = max(ratio(name, candidate), token_set_ratio(name, candidate))
-            elif bound[i] < best:
-                if not token_sets:
-                    break
-                continue
-            else:
-                score = ratio(name, candidate)
+            score = max(ratio(name, candidate), token_set_ratio(name, candidate)) if sharing[i] else ratio(name, candidate)
             if score > best or (score == best and candidate < match):
                 best, match = score, candidate
         return best, match
