@@ -221,6 +221,14 @@ def laid_out(df: DataFrame, name: str, buckets: int) -> tuple[DataFrame, str]:
     return spark.read.table(title), path
 
 
+def reopened(spark: SparkSession, path: str, buckets: int) -> Numbered:
+    """A table that ``numbered`` wrote, also in a session that does not know it."""
+    title = f"plumbline_{uuid.uuid4().hex}"
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+    spark.sql(f"CREATE TABLE {title} ({fields}) USING parquet CLUSTERED BY (`{PLACE[0]}`) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return Numbered(spark.read.table(title), path, buckets)
+
+
 def numbered(df: DataFrame, name: str = "numbered") -> Numbered:
     """``df`` written with the PLACE of each row."""
     buckets = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

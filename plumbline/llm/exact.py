@@ -7,8 +7,9 @@ replaced by one space.  Rows are written once with their place; the narrow colum
 locator of that row and the number of rows.  The locator is the row's number in the written
 table, of which the upper bits name its block, so it leads to the row's content.  Copies are
 summed before they are shuffled, so a group that holds a third of all rows sends one row per task.
-``update_state`` with a checkpoint of the caller's carries the state over to later
-input; ``exact_groups`` starts with an empty one.
+``exact_groups`` starts with an empty state, or goes on from a folder of the caller's: that keeps
+the state, the narrow rows and the places of all texts so far, so later input is held against earlier
+content as well, whole texts included.
 
 Equal digests are hits; for those the full texts are compared.  The rows of hit digests
 are marked where they lie, their texts are made distinct in each task and only then
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLACE, SPACE_CLASS, Numbered, as_row, numbered, require_columns, row_columns, scratch, shared_path, written
+from .common import PLACE, SPACE_CLASS, Numbered, as_row, numbered, reopened, require_columns, row_columns, scratch, shared_path, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Session settings while a state query starts: state on disk, with bounded memory.
@@ -112,14 +113,65 @@ def _groups(table: Numbered, scratched: list[str] | None = None) -> DataFrame:
     return found.join(mixed, "key", "left_anti").drop("key").unionByName(split)
 
 
-def exact_groups(docs: DataFrame, key_digits: int = 64) -> DataFrame:
+def exact_groups(docs: DataFrame, key_digits: int = 64, state: str | None = None) -> DataFrame:
     """A row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 and locator.
 
-    ``key_digits`` shortens the digest the state is keyed by (for tests of the full comparison).
+    ``key_digits`` shortens the digest the state is keyed by (for tests of the full comparison).  With ``state``,
+    a folder all executors can reach, groups go on from earlier calls: keep_id and group_size
+    count the rows of those too, and a row is kept only if no earlier or later call's row came first by then.
     """
     require_columns(docs, "doc_id", "text")
-    found = _groups(_digested(docs.select("doc_id", "text"), key_digits))
-    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", F.col("_row_no").alias("locator"))
+    table = _digested(docs.select("doc_id", "text"), key_digits)
+    if state is not None:
+        return _continued(table, state.rstrip("/"))
+    return _groups(table).select("doc_id", "keep_id", "group_size", "kept", "text_sha256", F.col("_row_no").alias("locator"))
+
+
+def _continued(table: Numbered, folder: str) -> DataFrame:
+    """The groups of a table on top of those of earlier ones; the locator is (input, row number there)."""
+    spark = table.rows.sparkSession
+    inputs = spark.read.parquet(f"{folder}/inputs").collect() if _there(spark, f"{folder}/inputs") else []  # a row a call
+    own = max((r["input"] for r in inputs), default=-1) + 1
+    tables = {r["input"]: reopened(spark, r["path"], r["buckets"]) for r in inputs} | {own: table}
+    spark.createDataFrame([(own, table.path, table.buckets)], "input int, path string, buckets int").coalesce(1).write.mode("append").parquet(f"{folder}/inputs")
+    narrow = table.rows.select("key", "doc_id", F.struct(F.lit(own).alias("input"), *PLACE).alias("locator"))
+    narrow.write.mode("append").parquet(f"{folder}/digests")
+    update_state(spark, f"{folder}/digests", narrow.schema, f"{folder}/state")
+    first = written(read_state(spark, f"{folder}/state"), "state")
+    rows = written(table.rows.select(*PLACE, "key", "doc_id", "sha").join(first, "key"), "found")
+
+    def bodies(places: DataFrame) -> DataFrame:
+        """(doc_id, key, locator, body) of rows of any input: places (locator), each read where it lies."""
+        parts = []
+        for number, source in tables.items():
+            marks = places.where(F.col("locator.input") == number).select("locator.*").drop("input").distinct()
+            found = source.beside(marks, "doc_id", "key", "_row", how="left_semi")
+            parts.append(found.select("doc_id", "key", F.struct(F.lit(number).alias("input"), *PLACE).alias("locator"), normalised("_row.text").alias("body")))
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+    here = F.struct(F.lit(own).alias("input"), *PLACE).alias("locator")
+    hits = rows.where("n > 1")
+    asked = hits.select(here).unionByName(hits.select(F.col("first.locator").alias("locator")))
+    distinct = bodies(asked).groupBy("key", "body").agg(F.lit(1).alias("one"))
+    mixed = written(distinct.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key"), "mixed")
+    columns = ["doc_id", F.col("first.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("locator") == F.col("first.locator")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "locator"]
+    placed = rows.withColumn("locator", here)
+    plain = placed.join(mixed, "key", "left_anti").select(*columns)
+    if not mixed.take(1):
+        return plain
+    every = spark.read.schema(narrow.schema).parquet(f"{folder}/digests").join(mixed, "key", "left_semi")
+    apart = written(bodies(every.select("locator")), "apart")
+    groups = apart.groupBy("key", "body").agg(F.min(first_row("locator")).alias("first"), F.count("*").alias("n"))
+    split = apart.where(F.col("locator.input") == own).join(groups, ["key", "body"]).join(placed.select("locator", "sha"), "locator")
+    return plain.unionByName(split.select(*columns))
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def dedup_exact(docs: DataFrame) -> DataFrame:
