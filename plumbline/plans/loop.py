@@ -158,6 +158,10 @@ def judged(rounds: DataFrame, scores: DataFrame, s: Session) -> DataFrame:
     return rows.withColumns({"confidence": sure, "n_rejected": F.col("n_named") - F.col("n_verified")})
 
 
+RESULTS = (
+    "query_id long, query string, rounds int, decision string, rule_no int, n_citations long, n_verified long, n_rejected long, n_uncertain long, answer string, confidence double, eor double, avg_ccs double, min_ccs double"
+)
+SCORES = "query_id long, agent string, ordinal int, case_name string, existence double, matched_name string, match_type string, support double, ccs double, tier string"
 COLUMNS = ["query_id", "query", "rounds", "decision", "rule_no", "n_citations", "n_verified", "n_rejected", "n_uncertain", "answer", "confidence", "eor", "avg_ccs", "min_ccs"]
 
 
@@ -175,14 +179,7 @@ def session(asked: DataFrame, s: Session, remembered: Memory | None = None) -> t
         open_, warnings = asked.join(cached.select("query_id"), "query_id", "left_anti"), remembered.warnings(asked, s.engine, s.config)
     else:
         open_ = asked
-    none = F.array().cast("array<string>")
-    first, scores = run_round(open_.withColumn("more", none), s, 0, warnings)
-    if s.config.max_rounds > 1:
-        again = first.where("decision = 'CONTINUE'")
-        second, more = run_round(again.select("query_id", "query", "jurisdiction", F.coalesce("next", none).alias("more")), s, 1, warnings)
-        first = written(first.where("decision <> 'CONTINUE'").unionByName(second), "rounds")
-        scores = scores.join(again.select("query_id"), "query_id", "left_anti").unionByName(more)
-    results = judged(first, scores, s).select(*COLUMNS)
+    results, scores = reviewed(open_, s, warnings)
     if cached is not None:
         # columns a cached answer has no figures for are null
         known = asked.join(cached, "query_id").withColumns({"rounds": F.lit(0), "decision": F.lit("CACHED"), "n_citations": F.lit(0).cast("bigint"), "n_verified": F.lit(0).cast("bigint"), "eor": F.lit(0.0)})
@@ -190,6 +187,21 @@ def session(asked: DataFrame, s: Session, remembered: Memory | None = None) -> t
     return results, scores
 
 
+def reviewed(open_: DataFrame, s: Session, warnings: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(results, scores) of one or two rounds; steps that have no question are left out."""
+    spark = open_.sparkSession
+    if not open_.take(1):
+        return spark.createDataFrame([], RESULTS), spark.createDataFrame([], SCORES)
+    none = F.array().cast("array<string>")
+    first, scores = run_round(open_.withColumn("more", none), s, 0, warnings)
+    again = first.where("decision = 'CONTINUE'")
+    if s.config.max_rounds > 1 and again.take(1):
+        second, more = run_round(again.select("query_id", "query", "jurisdiction", F.coalesce("next", none).alias("more")), s, 1, warnings)
+        first = written(first.where("decision <> 'CONTINUE'").unionByName(second), "rounds")
+        scores = scores.join(again.select("query_id"), "query_id", "left_anti").unionByName(more)
+    return judged(first, scores, s).select(*COLUMNS), scores
+
+
 def asked_rows(asked: DataFrame) -> DataFrame:
     jurisdiction = F.coalesce("jurisdiction", F.lit("")) if "jurisdiction" in asked.columns else F.lit("")
     return asked.select("query_id", F.coalesce("query", F.lit("")).alias("query"), jurisdiction.alias("jurisdiction"))
