@@ -62,10 +62,14 @@ def answered(raw: Column) -> Column:
     return read(raw)
 
 
+def prompt_of(role: str, given: Column, ask: str = "") -> Column:
+    """A line with the role, one with what is asked if anything, then what the speaker is given."""
+    return F.concat(F.lit(f"{role}\n" + (f"{ask}\n" if ask else "")), F.coalesce(given, F.lit("")))
+
+
 def says(rows: DataFrame, role: str, given: Column, make: Callable[[], Generator], *keep: str) -> DataFrame:
     """``rows`` (keep, ...) with ``said``, a speaker's answer read.  Where there is nothing to read, the fallback prompt asks for JSON only."""
-    prompt = F.concat(F.lit(f"{role}\n"), F.coalesce(given, F.lit("")))
-    fallback = F.concat(F.lit(f"{role}\nAnswer with one JSON object only.\n"), F.coalesce(given, F.lit("")))
+    prompt, fallback = prompt_of(role, given), prompt_of(role, given, "Answer with one JSON object only.")
     return rows.select(*keep, answered(generated(prompt, fallback, make)).alias("said"))
 
 

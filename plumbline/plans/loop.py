@@ -231,6 +231,12 @@ def review_with_scores(asked: DataFrame, s: Session | Engine | DataFrame, rememb
     return results.unionByName(later), scores.unionByName(more)
 
 
+def draft(asked: DataFrame, s: Session | Engine | DataFrame) -> DataFrame:
+    """The review without scoring and memory, in one round: every citation counts as uncertain, and every question ends."""
+    s = as_session(s)
+    return review(asked, replace(s, config=replace(s.config, max_rounds=1), use_scoring=False, use_memory=False))
+
+
 def named_documents(docs: DataFrame) -> DataFrame:
     """Documents with the columns an engine is built of; those without a name are called by their id."""
     extra = {"case_name": F.concat(F.lit("Case "), F.col("doc_id").cast("string")), "year": F.lit(0), "reporter_cite": F.lit("")}

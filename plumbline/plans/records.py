@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import models
@@ -159,6 +159,25 @@ def augmented_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", fx.with_jurisdiction(asked, F.when(i % 3 == 0, "Ohio").otherwise("")).alias("query"))
 
 
+@query("speaker_prompts", """
+    SELECT item_id, 'DEFENSE' || chr(10) || coalesce(text, '') AS prompt, 'DEFENSE' || chr(10) || 'Answer with one JSON object only.' || chr(10) || coalesce(text, '') AS fallback FROM benchmark""")
+def speaker_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = F.col("text")
+    return table(spark, sf_dir, "benchmark").select("item_id", agents.prompt_of("DEFENSE", given).alias("prompt"), agents.prompt_of("DEFENSE", given, "Answer with one JSON object only.").alias("fallback"))
+
+
+@query("next_round_queries", """
+    WITH t AS (SELECT conv_id, turn, role, row_number() OVER w - 1 AS n, lag(role) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    SELECT conv_id, turn, CASE WHEN n > 0 THEN concat_ws(' ', 'turn ' || turn, concat_ws(' ', 'limits of ' || before, before || ' holding')) ELSE 'turn ' || turn END AS query FROM t""")
+def next_round_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one round found missing is added to the next round's query."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    missing = F.array(F.concat(F.lit("limits of "), "role"), F.concat("role", F.lit(" holding")), F.lit("left out"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.row_number().over(order) - 1).alias("round"), F.lag(missing).over(order).alias("more"))
+    asked = F.concat(F.lit("turn "), F.col("turn").cast("string"))
+    return rows.select("conv_id", "turn", fx.augmented(asked, F.coalesce("more", F.array().cast("array<string>")), F.col("round")).alias("query"))
+
+
 @query("listed_values", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR coalesce(source, '') = '' THEN 0 ELSE 1 END AS n FROM documents")
 def listed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scalar as a list of one, nothing as an empty list."""

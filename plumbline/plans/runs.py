@@ -12,7 +12,7 @@ from ..functions import text as fx
 from ..models import cosine, embedded
 from ..operators import agents, metrics, stress, verify
 from ..storage import shared_path, written
-from .loop import Session, ablations, named_documents, review_with_scores
+from .loop import Session, ablations, draft, named_documents, review_with_scores
 from .measures import CASES_SQL, CITES_SQL, DEBATES_SQL, KINDS_SQL, RATIO_SQL, cases, cites, debates, held_names, kinds
 from .registry import query
 from .shared import documents, questions, table
@@ -70,6 +70,13 @@ def baseline_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.macro_means(written(cards(results, scores, truth_of(spark, sf_dir), engine), "cards"))
 
 
+@query("draft_run", "SELECT item_id AS query_id, 1 AS rounds, 'TERMINATE' AS decision, 0 AS n_verified FROM benchmark")
+def draft_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without scoring and memory every question ends after a round and nothing is verified."""
+    found = draft(questions(spark, sf_dir), engine_of(spark, sf_dir))
+    return found.select("query_id", "rounds", "decision", F.col("n_verified").cast("int").alias("n_verified"))
+
+
 @query("ablation_run")
 def ablation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every variant over all questions, of which every tenth is asked twice, and its summary."""
