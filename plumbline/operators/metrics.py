@@ -124,8 +124,15 @@ def deliberation(proposed: DataFrame, report: DataFrame, kept: DataFrame, challe
     return sums.select("flawed", "corrected", F.when(F.col("flawed") > 0, F.round(F.col("corrected") / F.col("flawed"), 4)).otherwise(F.lit(1.0)).alias("correction_rate"), F.lit(challenges).cast("bigint").alias("challenges"))
 
 
-def recurrence(votes: DataFrame, catalog: DataFrame, config: EngineConfig = DEFAULTS, measure: Ratio | None = None) -> DataFrame:
-    """One row over votes (pair_id, query_no 1 or 2, name): fakes of the first query that come back in the second."""
+def recurrence(votes: DataFrame, catalog: DataFrame, config: EngineConfig = DEFAULTS, measure: Ratio | None = None, failed: DataFrame | None = None) -> DataFrame:
+    """One row over votes (pair_id, query_no 1 or 2, name): fakes of the first query that come back in the second.
+
+    Pairs of ``failed`` (pair_id) are left out and counted as errors.
+    """
+    if failed is not None:
+        some = failed.select("pair_id").distinct()
+        rest = recurrence(votes.join(some, "pair_id", "left_anti"), catalog, config, measure)
+        return rest.crossJoin(F.broadcast(some.agg(F.count("*").alias("errors"))))
     kinds = classify_names(votes, catalog, config, measure)
     named = votes.where("query_no IN (1, 2)").select("pair_id", "query_no", fx.name_key(F.col("name")).alias("key")).where("key <> ''").distinct()
     fakes = named.where("query_no = 1").join(kinds.where("kind <> 'KNOWN'"), "key").select("pair_id", "key")

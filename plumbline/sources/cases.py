@@ -59,10 +59,11 @@ def parse_cases(raw: DataFrame, volume: str = "", least_chars: int = DEFAULTS.mi
 
 
 def complete_cases(listed: DataFrame, full: DataFrame) -> DataFrame:
-    """Listed records, each column from the full record (same id) where that has one."""
+    """Listed records, each column from the full record (same id) where that has one; those whose body is empty go."""
     right = full.select(F.col("id"), *[F.col(c).alias(f"_{c}") for c in full.columns if c != "id"])
     joined = listed.join(right, "id", "left")
-    return joined.select(*[F.coalesce(f"_{c}", c).alias(c) if f"_{c}" in joined.columns else F.col(c) for c in listed.columns])
+    out = joined.select(*[F.coalesce(f"_{c}", c).alias(c) if f"_{c}" in joined.columns else F.col(c) for c in listed.columns])
+    return out.where(body_text(F.col("casebody")) != "") if "casebody" in out.columns else out
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
@@ -98,10 +99,20 @@ def subtasks(tasks: dict[str, DataFrame], limit: int = 100) -> DataFrame:
     return out
 
 
-def store_metadata(docs: DataFrame) -> DataFrame:
-    """Documents with scalar columns only, for stores that take no others: lists as JSON, null as ""."""
-    flat = [F.coalesce(F.to_json(f.name) if f.dataType.typeName() in ("array", "struct", "map") else F.col(f.name).cast("string"), F.lit("")).alias(f.name) for f in docs.schema]
-    return docs.select(*flat)
+def store_metadata(docs: DataFrame, source: str | None = None) -> DataFrame:
+    """Documents with scalar columns only, for stores that take no others: lists as JSON, null as "".
+
+    A column ``metadata`` (a map of texts) is not kept but replaces the columns its keys name; ``source``, if
+    given, replaces that column in the end.
+    """
+    more = F.col("metadata") if "metadata" in docs.columns else None
+
+    def flat(f) -> Column:
+        own = F.to_json(f.name) if f.dataType.typeName() in ("array", "struct", "map") else F.col(f.name).cast("string")
+        value = own if more is None else F.coalesce(F.try_element_at(more, F.lit(f.name)), own)
+        return F.coalesce(F.lit(source) if source is not None and f.name == "source" else value, F.lit("")).alias(f.name)
+
+    return docs.select(*[flat(f) for f in docs.schema if f.name != "metadata"])
 
 
 def merge_vectors(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -263,3 +263,24 @@ def test_loaders(spark):
     full = spark.createDataFrame([(1, "better")], "id int, name string")
     listed = spark.createDataFrame([(1, "old"), (2, "only")], "id int, name string")
     assert {r["id"]: r["name"] for r in cases.complete_cases(listed, full).collect()} == {1: "better", 2: "only"}
+
+
+def test_metadata_replaces_columns(spark):
+    rows = spark.createDataFrame([("a", "web", ["x"], {"name": "other", "unknown": "y"}), ("b", None, None, None)], "name string, source string, tags array<string>, metadata map<string,string>")
+    got = [tuple(r) for r in cases.store_metadata(rows, "CAP").orderBy("name").collect()]
+    assert got == [("b", "CAP", ""), ("other", "CAP", '["x"]')] and cases.store_metadata(rows).columns == ["name", "source", "tags"]
+
+
+def test_cases_without_a_body_go(spark):
+    body = "struct<head_matter:string,opinions:array<struct<text:string>>,text:string>"
+    listed = spark.createDataFrame([("1", "one", None), ("2", "two", ("", [], " ")), ("3", "three", None)], f"id string, name string, casebody {body}")
+    full = spark.createDataFrame([("1", None, ("head", [("opinion",)], "")), ("3", "full", (None, None, ""))], f"id string, name string, casebody {body}")
+    assert [tuple(r)[:2] for r in cases.complete_cases(listed, full).collect()] == [("1", "one")]
+
+
+def test_failed_pairs_are_counted_apart(spark):
+    votes = spark.createDataFrame([(1, 1, "Fake v. One"), (1, 2, "Fake v. One"), (2, 1, "Fake v. Two"), (2, 2, "Known")], "pair_id long, query_no int, name string")
+    catalog = spark.createDataFrame([("Known",)], "name string")
+    failed = spark.createDataFrame([(2,), (2,), (9,)], "pair_id long")
+    r = metrics.recurrence(votes, catalog, failed=failed).first()
+    assert (r["initial"], r["recurred"], r["errors"]) == (1, 1, 2) and metrics.recurrence(votes, catalog).first()["initial"] == 2
