@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Of an Arrow batch of texts.
@@ -250,3 +250,25 @@ def as_row(df: DataFrame):
 def row_columns(df: DataFrame, *replaced: str) -> list:
     low = {n.lower() for n in replaced}
     return [F.col("_row").getField(c).alias(c) for c in df.columns if c.lower() not in low]
+
+
+def tree_of(key: Column) -> Column:
+    """A string that is never null and sorts as the keys do in UTF-8 bytes, null first."""
+    return F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("-"))
+
+
+def placed(rows: DataFrame, *order: str) -> DataFrame:
+    """Written ``rows`` (tree, ...) with ``pos``, their place from 0 in their tree by ``order``, and ``size``, the rows of the tree.
+
+    Ranges of (tree, order) are sorted apart; equal rows may lie in several, so no key fills a task.  Within a range
+    a tree's rows are numbered in one stretch, and only a table of ranges and trees is summed up.
+    """
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions(), 1)
+    ranged = rows.withColumn("_salt", F.monotonically_increasing_id()).repartitionByRange(parts, "tree", *order, "_salt")
+    runs = written(ranged.sortWithinPartitions("tree", *order).drop("_salt").withColumn("_seq", F.monotonically_increasing_id()), "sorted-runs")
+    runs = runs.withColumn("_part", F.shiftright("_seq", 33))
+    stretches = runs.groupBy("_part", "tree").agg(F.min("_seq").alias("_first"), F.count("*").alias("_n"))
+    tree = Window.partitionBy("tree")
+    earlier = F.sum("_n").over(tree.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    base = stretches.select("_part", "tree", (F.coalesce(earlier, F.lit(0)) - F.col("_first")).alias("_base"), F.sum("_n").over(tree).alias("size"))
+    return runs.join(base, ["_part", "tree"]).withColumn("pos", F.col("_seq") + F.col("_base")).drop("_part", "_seq", "_base")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import string
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, language_model, packing, quality, secrets, simhash, toxicity, urls, warc
+from . import chat, decontaminate, exact, language_model, manifest, packing, periodic, quality, secrets, simhash, toxicity, urls, warc
 from .common import table, written
 
 
@@ -86,7 +87,37 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(table(spark, sf_dir, "documents"), quality.fold(10, 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_decontaminate, op3_exact_dedup, op4_warc, op5_simhash, op6_secrets, op7_url_filter, op8_toxicity, op9_quality, op10_language_model)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = manifest.leaf_digest(F.translate("text", string.ascii_uppercase, string.ascii_lowercase))
+    altered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held = F.when(altered, lowered).otherwise(manifest.leaf_digest())
+    proofs = manifest.Manifest.build(table(spark, sf_dir, "documents"), held=held).proofs()
+    found = proofs.select(F.col("id").alias("doc_id"), F.col("node").alias("leaf"), "subroot", "root", manifest.path_digest(F.col("path")).alias("proof_sha256"), manifest.folded(F.col("held"), F.col("path")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: A conversation of control strings.
+GUEST = [(-1, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    guest = spark.createDataFrame(GUEST, "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(turns.unionByName(guest)))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.repeated(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic.find_runs(docs).withColumn("_longest", periodic.longest(F.col("runs")))
+    start, length, period = (F.col("_longest")[c].alias(c) for c in ("start", "length", "period"))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), start, length, period, F.floor(1000 * F.col("_longest.length") / F.col("_longest.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_pack, op2_decontaminate, op3_exact_dedup, op4_warc, op5_simhash, op6_secrets, op7_url_filter, op8_toxicity, op9_quality, op10_language_model, op11_merkle_manifest, op12_chat_format, op13_periodic_runs)}
 
 #: SQL: the words of a text, lower-cased in A-Z.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -116,6 +147,8 @@ ORACLE = {
                CASE WHEN payload_bytes >= 100 AND page_id > lowest THEN lowest END AS refers_to
         FROM f""",
     "op6_secrets": secrets.oracle(),
+    "op11_merkle_manifest": manifest.oracle(),
+    "op12_chat_format": chat.oracle(" UNION ALL ".join(f"SELECT {c}, {n}, '{r}', '{t}'" for c, n, r, t in GUEST)),
 }
 
 
