@@ -289,8 +289,9 @@ def repeated(text: Column, identifier: Column) -> Column:
     g = F.floor(h / 10)
     words = F.filter(F.split(text, SPACE_CLASS), lambda w: w != "")
     n = F.size(words)
-    first = g % n
-    period = F.lit(1) + F.floor((n - first) / (g % 8 + 3))
-    places = F.sequence(F.lit(0), n - 1)
-    made = F.array_join(F.transform(places, lambda i: F.get(words, F.when(i < first, i).otherwise(first + (i - first) % period).cast("int"))), " ")
+    first = (g % n).cast("int")
+    period = (F.lit(1) + F.floor((n - first) / (g % 8 + 3))).cast("int")
+    # whole stretches: a lambda over the words would split the text anew for each of them
+    ends = F.flatten(F.array_repeat(F.slice(words, first + 1, period), F.ceil((n - first) / period).cast("int")))
+    made = F.array_join(F.slice(F.concat(F.slice(words, F.lit(1), first), ends), F.lit(1), n), " ")
     return F.when((h % 10 == 0) & (F.coalesce(n, F.lit(0)) > 0), made).otherwise(text)
