@@ -11,10 +11,11 @@ classes of about the root of their number by falling counts, and
 P(unit) = P(class) P(unit of the class), where both factors are the exponentials of h . q + b over all classes, and over the
 units of the class.  So batches of matrix products give normalised log-probabilities at the cost of two roots.
 
-Both factors are trained in numpy by noise-contrastive estimation: each observed token is told apart from classes
-drawn by their counts, and from NOISE units of its own class drawn by theirs.  A start is made on the driver from at most START_TEXTS
-texts; from it every task trains on its own texts, one in EVERY by the checksum of the text, so what is learned from grows with
-the corpus, and the parameters are averaged row by row, each by how often the tasks used it.
+Both factors are trained in numpy by noise-contrastive estimation: each observed token is told apart from CLASS_NOISE classes
+drawn by their counts, and from NOISE units of its own class drawn by theirs; the tokens of a step share what is drawn.  A start is made on
+the driver from the first START_BYTES of at most START_TEXTS texts; from it every task trains on all its texts, so every training text is
+learned from, and the parameters are averaged row by row, each by how often the tasks used it.  Texts are learned from a slice of an Arrow batch
+at a time, a very long one whole.
 
 Counts of at most HEAD of the most frequent words travel with the scoring tasks; all other
 words of a text are joined to the table of counts, so memory is bounded and every
@@ -47,9 +48,9 @@ CONTEXT = 3
 DIMENSION = 16
 MOST_WORDS, LEAST_COUNT = 1 << 14, 5
 TAIL_UNITS = 256
-NOISE, CLASS_NOISE = 4, 32
-#: Texts trained on: one in so many; and those the start is made from.
-EVERY, START_TEXTS = 8, 1000
+NOISE, CLASS_NOISE = 32, 64
+#: Texts the start on the driver is made from, and how much of each.
+START_TEXTS, START_BYTES = 1000, 16 << 10
 MINIBATCH = 4096
 #: Tokens scored at once.
 CHUNK = 2048
@@ -187,7 +188,7 @@ class LogBilinear:
 
     def _move(self, name: str, rows: np.ndarray, slope: np.ndarray) -> None:
         """A step of the rows of a parameter, those that occur several times by the sum of their slopes."""
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.uint16) if self.size < 1 << 16 else rows, kind="stable")
         ordered = rows[order]
         starts = runs(ordered)
         g, at = np.add.reduceat(slope[order], starts, axis=0), ordered[starts]
@@ -209,16 +210,26 @@ class LogBilinear:
         miss = -logistic(h1 @ self.classes[noise].T - shift[noise]) * times.astype(np.float32)
         slope = hit[:, None] * self.classes[c, :-1] + miss @ self.classes[noise, :-1]
         class_rows, class_slopes = np.concatenate([c, noise]), np.concatenate([hit[:, None] * h1, miss.T @ h1])
-        # units: noise drawn for each token from its class
-        low, high = self.sums[c * self.width], self.sums[np.minimum((c + 1) * self.width, self.size)]
-        drawn = np.searchsorted(self.sums, low[:, None] + rng.random((n, NOISE)) * (high - low)[:, None], side="right") - 1
-        some = np.concatenate([tokens[:, None], np.clip(drawn, (c * self.width)[:, None], np.minimum((c + 1) * self.width, self.size)[:, None] - 1)], axis=1)
-        q = self.unit[some]
-        odds = np.einsum("nd,nkd->nk", h1, q) - np.log(NOISE * self.weights[some] / (high - low)[:, None]).astype(np.float32)
-        g = -logistic(odds)
-        g[:, 0] += 1.0
-        slope += np.einsum("nk,nkd->nd", g, q[:, :, :-1])
-        self._move("unit", some.ravel(), (g[:, :, None] * h1[:, None, :]).reshape(-1, d + 1).astype(np.float32))
+        # units: noise drawn once for all tokens of a class
+        q = self.unit[tokens]
+        low, high = self.sums[np.arange(len(self.chance)) * self.width], self.sums[np.minimum(np.arange(1, len(self.chance) + 1) * self.width, self.size)]
+        share = np.log(NOISE * self.weights / (high - low)[self.class_of]).astype(np.float32)
+        hit = 1.0 - logistic((h1 * q).sum(axis=1) - share[tokens])
+        slope += hit[:, None] * q[:, :-1]
+        order = np.argsort(c.astype(np.uint16), kind="stable")
+        starts = runs(c[order])
+        here = c[order][starts]
+        drawn = np.searchsorted(self.sums, low[here, None] + rng.random((len(here), NOISE)) * (high - low)[here, None], side="right") - 1
+        drawn = np.clip(drawn, (here * self.width)[:, None], np.minimum((here + 1) * self.width, self.size)[:, None] - 1)
+        rows, bars = self.unit[drawn], share[drawn]
+        ordered, away, pushed = h1[order], np.empty((n, d), dtype=np.float32), np.empty(rows.shape, dtype=np.float32)
+        for k, (x, y) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True)):
+            own = rows[k]
+            g = -logistic(ordered[x:y] @ own.T - bars[k])
+            away[x:y] = g @ own[:, :-1]
+            pushed[k] = g.T @ ordered[x:y]
+        slope[order] += away
+        self._move("unit", np.concatenate([tokens, drawn.ravel()]), np.concatenate([hit[:, None] * h1, pushed.reshape(-1, d + 1)]).astype(np.float32))
         self._move("classes", class_rows, class_slopes.astype(np.float32))
         slope = slope.astype(np.float32)
         back = [slope @ self.matrices[j * d : (j + 1) * d].T for j in range(CONTEXT)]
@@ -296,15 +307,15 @@ def train(learn: DataFrame, lexicon: Lexicon, shared, counts: np.ndarray) -> Log
     """The model of training texts (text): a start on the driver, then the mean of what the tasks made of it."""
     model, end = LogBilinear(counts), len(counts) - 1
     context = learn.sparkSession.sparkContext
-    chosen = learn.where(F.crc32(F.coalesce("text", F.lit(b"").cast("binary"))) % EVERY == 0)
-    hashes = chosen.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(START_TEXTS)
-    first = chosen.join(F.broadcast(hashes), F.xxhash64("text") == F.col("h")).select("text").distinct()
-    texts = sorted(bytes(r["text"] or b"") for r in first.collect())  # START_TEXTS texts
+    hashed = F.xxhash64("text")
+    hashes = learn.select(hashed.alias("h")).distinct().orderBy("h").limit(START_TEXTS)
+    first = learn.join(F.broadcast(hashes), hashed == F.col("h")).select("h", F.substring("text", 1, START_BYTES).alias("text")).distinct().orderBy("h").limit(START_TEXTS)
+    texts = sorted(bytes(r["text"] or b"") for r in first.collect())  # START_TEXTS texts of START_BYTES at most
     rng, known = np.random.default_rng(7), lexicon.prepare()
     for at in range(0, len(texts), 100):
         model.learn([known.classify(words_of(t))[1] for t in texts[at : at + 100]], end, rng)
     start = context.broadcast(model)
-    apart = train_apart(chosen, shared, start, end)
+    apart = train_apart(learn, shared, start, end)
     sums = apart.groupBy("name", "row").agg(F.sum("used").alias("used"), *[F.sum(f"v{i}").alias(f"v{i}") for i in range(DIMENSION + 1)]).toArrow()  # the rows of one model
     names, rows, used = (sums.column(c).to_numpy() for c in ("name", "row", "used"))
     values = np.stack([sums.column(f"v{i}").to_numpy() for i in range(DIMENSION + 1)], axis=1) / np.maximum(used, 1)[:, None] if len(names) else np.zeros((0, DIMENSION + 1))

@@ -66,7 +66,22 @@ def test_training_beats_counts(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.1/documents.parquet")
     r = language_model.score_texts(docs, quality.fold(10, 0)).where("held_out").agg(F.sum("score").alias("model"), F.sum("base_score").alias("base"), F.sum("n_tokens").alias("n")).first()
     print(r["model"] / r["n"], r["base"] / r["n"])
-    assert (r["model"] - r["base"]) / r["n"] > 0.3
+    assert (r["model"] - r["base"]) / r["n"] > 0.5
+
+
+def test_all_training_texts_are_learned_from(spark, monkeypatch):
+    """The tasks' counts of use add up to the tokens of all texts of the training part."""
+    docs = docs_of(spark, TEXTS).repartition(5)
+    seen = []
+
+    def kept(learn, shared, start, end, apart=language_model.train_apart):
+        seen.append(apart(learn, shared, start, end).where("name = 3").agg({"used": "sum"}).first()[0])
+        return apart(learn, shared, start, end)
+
+    monkeypatch.setattr(language_model, "train_apart", kept)
+    language_model.fit(docs, quality.fold(10, 0))
+    tokens = sum(len((t or "").split()) + 1 for i, t in enumerate(TEXTS) if zlib.crc32(str(i).encode()) % 10)
+    assert seen == [tokens * language_model.CONTEXT * language_model.DIMENSION]
 
 
 def test_noise_is_told_apart():
