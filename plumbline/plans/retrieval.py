@@ -9,7 +9,7 @@ from ..config import LANDMARK_VOLUMES
 from ..functions import text as fx
 from ..operators import catalog, chunking, dense, fusion, lexical, verify
 from .registry import query
-from .shared import BM25_SQL, DENSE_SQL, TOKENS, documents, lexical_top, questions, table, vector_queries, vectors
+from .shared import BM25_SQL, DENSE_SQL, TOKENS, blocked_index, documents, lexical_top, questions, table, vector_queries, vectors
 
 WORDS = TOKENS.replace("lower(coalesce({0}, ''))", "coalesce({0}, '')")
 CHUNKS_SQL = f"""
@@ -59,6 +59,12 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_top(spark, sf_dir).withColumnRenamed("query_id", "item_id")
 
 
+@query("bm25_blocked_topk", f"WITH {BM25_SQL} SELECT query_id AS item_id, rank, doc_id, score FROM lex WHERE rank <= 4 AND score > 0")
+def bm25_blocked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from the stored index in blocks, of which the queries read what can still win."""
+    return blocked_index(spark, sf_dir).top(questions(spark, sf_dir)).withColumnRenamed("query_id", "item_id")
+
+
 @query("bm25_payload", f"""WITH {BM25_SQL} SELECT query_id AS item_id, rank, doc_id, score, lang, source, replace(substring(text, 1, 200), chr(10), ' ') AS evidence
     FROM lex JOIN documents USING (doc_id) WHERE rank <= 4 AND score > 0""")
 def bm25_payload(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.blocks import BlockedIndex
 from ..operators.lexical import LexicalIndex
+from ..storage import once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +23,18 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+    """The index of the documents, written by the first query that asks for it and read from there by the others."""
+    return LexicalIndex.load(spark, once(table(spark, sf_dir, "documents"), "index", lambda folder: LexicalIndex.build(documents(spark, sf_dir)).save(folder)))
+
+
+def blocked_index(spark: SparkSession, sf_dir: str) -> BlockedIndex:
+    index = stored_index(spark, sf_dir)
+    return BlockedIndex.load(spark, once(table(spark, sf_dir, "documents"), "blocked", lambda folder: BlockedIndex.build(index).save(folder)))
+
+
 def lexical_top(spark: SparkSession, sf_dir: str, k: int = 4) -> DataFrame:
-    return LexicalIndex.build(documents(spark, sf_dir)).top(questions(spark, sf_dir), k)
+    return stored_index(spark, sf_dir).top(questions(spark, sf_dir), k)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +40,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def digest_of(df: DataFrame) -> str:
+    """A digest of the files that ``df`` reads: their names, lengths and times."""
+    told = []
+    for name in sorted(df.inputFiles()):
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.sparkSession._jvm.java.net.URI(name))
+        status = at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getFileStatus(at)
+        told.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(told).encode()).hexdigest()
+
+
+def once(source: DataFrame, name: str, make: Callable[[str], None]) -> str:
+    """The folder of what ``make`` writes of the files of ``source``: made when it is first asked for, kept while they stay what they are.
+
+    A folder counts once it is renamed to its final name, so one that was broken off is never read.  Of two that are
+    made at a time the first stays.
+    """
+    spark = source.sparkSession
+    final = f"{shared_root(spark)}/plumbline/{name}-{digest_of(source)[:32]}"
+    system, at = _file_system(spark, final)
+    if not system.exists(at):
+        draft = shared_path(spark, f"{name}-draft")
+        make(draft)
+        if not system.exists(at):
+            system.rename(_file_system(spark, draft)[1], at)
+    return final
