@@ -50,9 +50,13 @@ class Engine:
         return self.catalog.select("name").distinct()
 
     def search(self, queries: DataFrame, config: EngineConfig = DEFAULTS) -> DataFrame:
-        """(query_id, rank, doc_id, rrf_score) of queries (query_id, query): the lexical and the dense list, fused."""
+        """(query_id, rank, doc_id, rrf_score) of queries (query_id, query): the lexical and the dense list, fused.
+
+        A column ``dense_query`` is what the dense side is asked instead of ``query``.
+        """
         lexical = self.index.top(queries, config.lexical_k, config.bm25_k1, config.bm25_b)
-        asked = queries.where(fx.stripped(F.coalesce("query", F.lit(""))) != "").select("query_id", embedded(F.col("query"), self.embedder).alias("embedding"))
+        said = F.col("dense_query" if "dense_query" in queries.columns else "query")
+        asked = queries.where(fx.stripped(F.coalesce("query", F.lit(""))) != "").select("query_id", embedded(said, self.embedder).alias("embedding"))
         near = dense.nearest(asked, self.vectors, config.dense_k).select("query_id", "rank", F.col("vec_id").alias("doc_id"))
         return fusion.fuse(near, lexical.select("query_id", "rank", "doc_id"), k=config.rrf_k, top=config.fused_k)
 

@@ -24,7 +24,8 @@ from ..models import Generator, embedded, scripted_generator
 from ..operators import agents, debate, dense, memory, verify
 from ..storage import shared_path, written
 
-MOST_CITATIONS = 1000
+#: The place of a citation in the order of a session: its question's number, then its own there.
+SEQ = "struct<query_id:long,ordinal:long>"
 ASKED = "query_id long, query string, jurisdiction string"
 
 
@@ -37,7 +38,7 @@ class Memory:
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Memory:
-        return cls(spark.createDataFrame([], "key string, query string, answer string, confidence double, seq long"), spark.createDataFrame([], "key string, name string, total double, n long, last struct<seq:long,tier:string>"))
+        return cls(spark.createDataFrame([], "key string, query string, answer string, confidence double, seq long"), spark.createDataFrame([], "key string, name string, total double, n long, last struct<seq:" + SEQ + ",tier:string>"))
 
     def answered(self, asked: DataFrame, engine: Engine, config: EngineConfig) -> DataFrame:
         """(query_id, answer, confidence) of questions close to one that was answered before."""
@@ -59,7 +60,7 @@ class Memory:
     def with_results(self, results: DataFrame, scores: DataFrame) -> Memory:
         """The memory after a session of results (query_id, query, answer, confidence, n_verified) and scores (query_id, ordinal, case_name, ccs, tier)."""
         kept = memory.verdict_rows(results.withColumn("seq", F.col("query_id")))
-        rows = scores.withColumn("seq", F.col("query_id") * MOST_CITATIONS + F.col("ordinal"))
+        rows = scores.withColumn("seq", F.struct("query_id", F.col("ordinal").cast("bigint").alias("ordinal")))
         names = rows.groupBy(fx.stable_key(F.col("case_name")).alias("key")).agg(F.min("case_name").alias("name"))
         fresh = memory.risk_index(memory.risk_rows(rows)).join(names, "key")
         both = self.risks.unionByName(fresh.select(*self.risks.columns))
@@ -80,17 +81,22 @@ class Session:
 
 
 def cite_rows(said: DataFrame, defended: DataFrame) -> DataFrame:
-    """(citation_id, query_id, agent, ordinal, case_name, reporter_cite, holding): both sides' citations, one side's after the other's."""
+    """(citation_id, query_id, agent, ordinal, case_name, reporter_cite, holding): both sides' citations, one side's after the other's.
+
+    ``citation_id`` is (query_id, ordinal), so no two citations share one, however many a question has.
+    """
     both = agents.citations_of(said, "prosecutor").unionByName(agents.citations_of(defended, "defense"))
     before = said.select("query_id", F.size("said.citations").alias("_before"))
     placed = both.join(before, "query_id").withColumn("ordinal", F.col("place") + F.when(F.col("agent") == "defense", F.col("_before")).otherwise(0))
-    return placed.select((F.col("query_id") * MOST_CITATIONS + F.col("ordinal")).alias("citation_id"), "query_id", "agent", "ordinal", "case_name", "reporter_cite", "holding")
+    return placed.select(F.struct("query_id", F.col("ordinal").cast("bigint").alias("ordinal")).alias("citation_id"), "query_id", "agent", "ordinal", "case_name", "reporter_cite", "holding")
 
 
 def run_round(asked: DataFrame, s: Session, round_no: int, warnings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(a row a question, a row a scored citation) of a round over asked (query_id, query, jurisdiction, more)."""
     config, texts = s.config, s.engine.texts
-    queries = asked.select("query_id", fx.with_jurisdiction(fx.augmented(F.col("query"), F.col("more"), F.lit(round_no)), F.col("jurisdiction")).alias("query"))
+    augmented = fx.augmented(F.col("query"), F.col("more"), F.lit(round_no))
+    # the jurisdiction is for the vectors: as words of the lexical side it would find its own name
+    queries = asked.select("query_id", augmented.alias("query"), fx.with_jurisdiction(augmented, F.col("jurisdiction")).alias("dense_query"))
     own = written(s.engine.search(queries, config).join(texts, "doc_id"), "own")
     given = asked.join(agents.passages_of(own), "query_id", "left").withColumn("given", F.concat_ws("\n", "query", "passages"))
     said = written(agents.says(given, "PROSECUTOR", F.col("given"), s.generate, "query_id", "query"), "prosecution")
@@ -98,8 +104,9 @@ def run_round(asked: DataFrame, s: Session, round_no: int, warnings: DataFrame |
     if s.use_defense:
         cites = F.transform("said.citations", lambda c: F.struct(c["case_name"], c["holding"]))
         against = said.where("trim(query) <> ''").select("query_id", F.posexplode(fx.counter_queries(F.col("query"), cites)).alias("query_ord", "counter"))
-        hits = s.engine.search(against.select((F.col("query_id") * 16 + F.col("query_ord")).alias("query_id"), F.col("counter").alias("query")), config)
-        hits = hits.select(F.shiftright("query_id", 4).alias("query_id"), F.col("query_id").bitwiseAND(F.lit(15)).alias("query_ord"), "rank", "doc_id").join(texts.select("doc_id", "text"), "doc_id")
+        against = written(against.withColumn("number", F.monotonically_increasing_id()), "against")
+        hits = s.engine.search(against.select(F.col("number").alias("query_id"), F.col("counter").alias("query")), config).withColumnRenamed("query_id", "number")
+        hits = hits.join(against.select("number", "query_id", "query_ord"), "number").select("query_id", "query_ord", "rank", "doc_id").join(texts.select("doc_id", "text"), "doc_id")
         counter = written(debate.counter_evidence(hits, own, config.lexical_k).join(texts, "doc_id"), "counter")
         given = said.join(agents.passages_of(counter), "query_id", "left")
         if warnings is not None:
