@@ -9,7 +9,7 @@ from ..config import LANDMARK_VOLUMES
 from ..functions import text as fx
 from ..operators import catalog, chunking, dense, fusion, lexical, verify
 from .registry import query
-from .shared import BM25_SQL, DENSE_SQL, TOKENS, blocked_index, documents, lexical_top, questions, table, vector_queries, vectors
+from .shared import BM25_SQL, DENSE_SQL, TOKENS, blocked_index, documents, lexical_top, questions, table, vector_cells, vector_queries, vectors
 
 WORDS = TOKENS.replace("lower(coalesce({0}, ''))", "coalesce({0}, '')")
 CHUNKS_SQL = f"""
@@ -78,26 +78,22 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.nearest(vector_queries(spark, sf_dir), vectors(spark, sf_dir))
 
 
+@query("dense_cells_topk", f"WITH {DENSE_SQL} SELECT query_id, rank, vec_id, distance FROM den WHERE rank <= 4")
+def dense_cells_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from stored cells, of which those that cannot hold a neighbour are not read."""
+    return vector_cells(spark, sf_dir).nearest(vector_queries(spark, sf_dir))
+
+
 @query("dense_by_label", """
     WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
     d AS (SELECT q.vec_id AS query_id, v.vec_id, round(1e0 - list_cosine_similarity(q.e, v.e), 6) + 0e0 AS distance
           FROM v q JOIN v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
     SELECT query_id, rank, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 3""")
 def dense_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equality first, distance second: nearest vectors of the same label."""
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("e").alias("q"))
-    pairs = asked.join(rows, "label").where("query_id <> vec_id")
-
-    def dot(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-    cosine = dot("q", "e") / (F.sqrt(dot("q", "q")) * F.sqrt(dot("e", "e")))
-    near = pairs.select("query_id", "vec_id", (F.round(1.0 - cosine, 6) + 0.0).alias("distance"))
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id")).cast("bigint"))
-    return ranked.where("rank <= 3").select("query_id", "rank", "vec_id", "distance")
+    """Equality first, distance second: nearest vectors of the same label, without a join on labels."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    asked = rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return dense.nearest(asked, rows, 3, exclude_self=True, within="label")
 
 
 @query("dense_threshold_cache", f"""WITH {DENSE_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS r FROM dist WHERE query_id <> vec_id)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.blocks import BlockedIndex
+from ..operators.cells import CellIndex
 from ..operators.lexical import LexicalIndex
 from ..storage import once
 
@@ -41,6 +42,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
 
 
+def vector_cells(spark: SparkSession, sf_dir: str) -> CellIndex:
+    return CellIndex.load(spark, once(table(spark, sf_dir, "embeddings"), "cells", lambda folder: CellIndex.build(vectors(spark, sf_dir)).save(folder)))
+
+
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated query set: vectors whose id is divisible by 100, held against all vectors."""
     return vectors(spark, sf_dir).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
