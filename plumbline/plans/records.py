@@ -10,8 +10,11 @@ from ..functions import text as fx
 from ..operators import agents, catalog, memory, metrics, verify
 from ..schema import RAW_CASE
 from ..sources import cases
+from ..sources.portions import PortionedIndex
+from ..sources.vector_store import VectorStore
+from ..storage import shared_path
 from .registry import query
-from .shared import documents, table
+from .shared import BM25_SQL, documents, questions, table
 
 #: Documents as raw case records: fields are missing, empty or no numbers in turn.
 RAW_SQL = r"""
@@ -115,6 +118,46 @@ def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("vec_id", F.round("first", 6).alias("first"))
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+@query("vector_store_upsert", "SELECT vec_id, round(CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END * embedding[1]::DOUBLE, 6) AS first, len(embedding) AS width FROM embeddings")
+def vector_store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same upsert through the store: all vectors, then a batch of changed ones, of which one bucket in so many is rewritten."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    store = VectorStore.create(spark, shared_path(spark, "vectors"), _ddl(rows), "vec_id", buckets=16)
+    store.upsert(rows, "all")
+    store.upsert(rows.where("vec_id % 3 = 0").withColumn("embedding", F.transform("embedding", lambda x: (x * 2).cast(rows.schema["embedding"].dataType.elementType))), "changed")
+    return store.read().select("vec_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"), F.size("embedding").cast("bigint").alias("width"))
+
+
+def _portioned(spark: SparkSession, sf_dir: str) -> PortionedIndex:
+    """The documents, landed as three volumes and followed as a stream; the last comes late, and the first is offered again."""
+    folder = shared_path(spark, "portions")
+    index, docs = PortionedIndex(spark, f"{folder}/index"), documents(spark, sf_dir).select("doc_id", "text")
+    schema = _ddl(docs)
+    volumes = [docs.where(F.pmod("doc_id", F.lit(3)) == i) for i in range(3)]
+    for i, volume in enumerate(volumes):
+        volume.coalesce(1).write.parquet(f"{folder}/volumes/{i}")
+        if i:
+            index.follow(f"{folder}/volumes", schema, f"{folder}/checkpoint")
+    index.follow(f"{folder}/volumes", schema, f"{folder}/checkpoint")
+    return index
+
+
+@query("portioned_stats", f"WITH {BM25_SQL} SELECT (SELECT n FROM stats) AS n_docs, (SELECT round(avgdl, 6) FROM stats) AS avgdl, count(*) AS n_terms FROM terms")
+def portioned_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _portioned(spark, sf_dir).index()
+    return index.stats.crossJoin(index.terms.agg(F.count("*").alias("n_terms"))).select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_terms")
+
+
+@query("portioned_topk", f"WITH {BM25_SQL} SELECT query_id AS item_id, rank, doc_id, score FROM lex WHERE rank <= 4 AND score > 0")
+def portioned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents from an index that grew volume by volume."""
+    return _portioned(spark, sf_dir).index().top(questions(spark, sf_dir)).withColumnRenamed("query_id", "item_id")
+
+
 @query("resume_portion", "SELECT doc_id FROM documents WHERE doc_id % 4 = 1 AND doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_portion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a stopped build has left to do of a portion."""

@@ -72,3 +72,38 @@ def once(source: DataFrame, name: str, make: Callable[[str], None]) -> str:
         if not system.exists(at):
             system.rename(_file_system(spark, draft)[1], at)
     return final
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, at = _file_system(spark, path)
+    return system.exists(at)
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder in order; none if it is not there."""
+    system, at = _file_system(spark, folder)
+    return sorted(f.getPath().getName() for f in system.listStatus(at)) if system.exists(at) else []
+
+
+def published(df: DataFrame, path: str) -> bool:
+    """Write the few rows of ``df`` and rename them to ``path`` in one step; false if another was there first, which stays."""
+    spark = df.sparkSession
+    system, at = _file_system(spark, path)
+    if system.exists(at):
+        return False
+    draft = f"{path.rpartition('/')[0]}-drafts/{uuid.uuid4().hex}"
+    df.coalesce(1).write.parquet(draft)
+    system.mkdirs(at.getParent())
+    if not system.rename(_file_system(spark, draft)[1], at):
+        return False
+    # a rename onto a folder that came in between puts the draft inside it
+    nested = _file_system(spark, f"{path}/{draft.rpartition('/')[2]}")[1]
+    if system.exists(nested):
+        system.delete(nested, True)
+        return False
+    return True
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    system, at = _file_system(spark, path)
+    system.delete(at, True)
