@@ -24,6 +24,7 @@ class EngineConfig:
     window_chars: int = 450
     window_step: int = 350
     window_reach: int = 1800
+    support_chars: int = 500
     max_rounds: int = 2
     avg_weak: float = 0.60
     min_weak: float = 0.40

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..config import LANDMARK_VOLUMES
 from ..functions import text as fx
+from ..functions.places import first_place, pattern
 
-#: Where a document may name its volume, in order: column and pattern.
-VOLUME_PLACES = (("volume", r"volume_number\D+(\d+)"), ("volume", r"^(\d+)$"), ("cite", r"(\d+)\s+U\.?\s*S"), ("doc_id", r"(?i)vol(?:ume)?[_-]?(\d+)"), ("start", r"(\d+)\s+U\.?\s*S"))
+# The patterns by which a document names its volume.
+NUMBER_FIELD = r"""['"]?volume_number['"]?\s*:\s*['"]?([0-9]+)['"]?"""
+US_CITE = r"(?i)([0-9]+)\s+U\.?\s*S\.?"
+DOC_VOLUME = r"(?i)(?:vol_?|CAP_?)([0-9]+)"
 
 
 def known_catalog(docs: DataFrame) -> DataFrame:
@@ -36,11 +39,25 @@ def parse_volumes(selection: str) -> list[str]:
     return [v.strip() for v in chosen.split(",") if v.strip()]
 
 
+def volume_place(volume: Column, metadata: Column, cites: Column, doc_id: Column, case_name: Column, text: Column) -> Column:
+    """(place, value): the volume of a document and where it is named; both "" if nowhere.
+
+    ``volume`` and ``metadata`` (the volume among the metadata) are numbers or texts of a record with a volume_number,
+    ``cites`` an array of texts, of which the first that cites a volume counts; ``text`` is read to its 200th character.
+    """
+    rules = []
+    for place, value in (("volume", volume), ("metadata", metadata)):
+        told = fx.stripped(F.coalesce(value.cast("string"), F.lit("")))
+        rules += [(f"{place}_record", pattern(told, NUMBER_FIELD)), (place, pattern(told, r"^([0-9]+)$"))]
+    cited = F.filter(F.transform(cites, lambda c: pattern(c, US_CITE)), lambda v: v != "")
+    sample = F.concat(F.coalesce(case_name, F.lit("")), F.lit(" "), F.substring(F.coalesce(text, F.lit("")), 1, 200))
+    return first_place([*rules, ("cites", F.get(cited, F.lit(0))), ("doc_id", pattern(doc_id, DOC_VOLUME)), ("text", pattern(sample, US_CITE))])
+
+
 def volume_of(volume: Column, cite: Column, doc_id: Column, text: Column) -> Column:
-    """The volume of a document from wherever it is named, else ""."""
-    at = {"volume": volume, "cite": cite, "doc_id": doc_id, "start": F.substring(text, 1, 200)}
-    found = [F.nullif(F.regexp_extract(F.coalesce(at[place], F.lit("")), pattern, 1), F.lit("")) for place, pattern in VOLUME_PLACES]
-    return F.coalesce(*found, F.lit(""))
+    """The volume of a document that has one cite and no metadata, from wherever it is named, else ""."""
+    nothing = F.lit(None).cast("string")
+    return volume_place(volume, nothing, F.array(cite), doc_id, nothing, text)["value"]
 
 
 def cited_volume(cite: Column) -> Column:

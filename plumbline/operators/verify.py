@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS, LANDMARK_VOLUMES, SCORING_STOP_WORDS, TIERS, EngineConfig
 from ..functions import fuzzy
 from ..functions import text as fx
+from ..models import cosine
 
 
 Search = Callable[[DataFrame], DataFrame]
@@ -163,15 +164,40 @@ def opinions(citations: DataFrame, evidence: DataFrame, search: Search | None =
     return exact.unionByName(rest.join(near, "_key").select("citation_id", "text"))
 
 
-def score_citations(citations: DataFrame, catalog: DataFrame, evidence: DataFrame, config: EngineConfig = DEFAULTS, volumes: Iterable[str] = LANDMARK_VOLUMES, support=overlap_support, search: Search | None = None) -> DataFrame:
-    """All of it: ``citations`` (citation_id, case_name, reporter_cite, holding) scored against catalog (name) and evidence (case_name, doc_id, text)."""
+def tiered_support(claims: DataFrame, texts: DataFrame, scorer: Callable[[Column, Column], Column] | None, embed: Callable[[Column], Column] | None = None, config: EngineConfig = DEFAULTS) -> DataFrame:
+    """(citation_id, support, window, evidence) of claims (citation_id, holding) by the texts (citation_id, text) of what they cite.
+
+    With a ``scorer`` of (claim, window) the best window of each claim decides, the first of equal ones; without one the
+    cosine of claim and text's first ``support_chars`` by ``embed``, from 0 to 1; without either support is 0, for then
+    nothing speaks for a claim.  Equal pairs are scored once.  Claims without a text are not in the result.
+    """
     from .chunking import character_windows
 
+    if scorer is not None:
+        windows = character_windows(texts, config.window_chars, config.window_step, config.window_reach).select("citation_id", "text", "window")
+    else:
+        windows = texts.where(fx.stripped("text") != "").select("citation_id", "text", F.substring("text", 1, config.support_chars).alias("window"))
+    matched = windows.join(claims.select("citation_id", "holding"), "citation_id")
+    pairs = matched.select("holding", "window").distinct()
+    if scorer is not None:
+        score = scorer(F.col("holding"), F.col("window"))
+    elif embed is not None:
+        score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(embed(F.col("holding")), embed(F.col("window")))))
+    else:
+        score = F.lit(0.0)
+    scored = matched.join(pairs.withColumn("support", score), ["holding", "window"])
+    best = F.min_by(F.struct("support", "window"), F.struct(-F.coalesce("support", F.lit(-1.0)), F.col("window")))
+    return scored.groupBy("citation_id").agg(best.alias("_b"), F.min(fx.snippet(F.col("text"))).alias("evidence")).select("citation_id", "_b.support", "_b.window", "evidence")
+
+
+def score_citations(citations: DataFrame, catalog: DataFrame, evidence: DataFrame, config: EngineConfig = DEFAULTS, volumes: Iterable[str] = LANDMARK_VOLUMES, support: Callable[[Column, Column], Column] | None = overlap_support, search: Search | None = None, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """All of it: ``citations`` (citation_id, case_name, reporter_cite, holding) scored against catalog (name) and evidence (case_name, doc_id, text).
+
+    ``support`` scores (claim, window); None falls back on ``embed`` (``tiered_support``).
+    """
     found = existence(citations, catalog, config)
     texts = opinions(found.where("holding <> ''"), evidence, search, config=config)
-    windows = character_windows(texts, config.window_chars, config.window_step, config.window_reach).select("citation_id", "text", "window")
-    matched = windows.join(found.select("citation_id", "holding"), "citation_id")
-    supports = matched.groupBy("citation_id").agg(F.max(support(F.col("holding"), F.col("window"))).alias("support"), F.min(fx.snippet(F.col("text"))).alias("evidence"))
+    supports = tiered_support(found, texts, support, embed, config).select("citation_id", "support", "evidence")
     joined = found.join(supports, "citation_id", "left")
     known = F.col("support").isNotNull()
     held = covered(F.concat_ws(" ", "case_name", "reporter_cite", "holding"), volumes)

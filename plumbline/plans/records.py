@@ -57,19 +57,28 @@ def case_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.known_catalog(cases.parse_cases(raw_cases(spark, sf_dir)))
 
 
+#: Documents that name their volume in one way or another; where none of the rules' fields does, the text's start is what it is.
 @query("case_volumes", r"""
-    WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'volume_number: ' || (doc_id % 90) WHEN 1 THEN (doc_id % 600)::VARCHAR ELSE NULL END AS v, CASE doc_id % 5 WHEN 2 THEN (doc_id % 500) || ' U.S. 1' ELSE '' END AS c,
-                      CASE doc_id % 5 WHEN 3 THEN 'Vol-' || (doc_id % 70) ELSE 'd' END AS k, CASE doc_id % 5 WHEN 4 THEN 'as in ' || (doc_id % 300) || ' U. S. 7' ELSE 'none' END AS t FROM documents)
-    SELECT doc_id, coalesce(nullif(regexp_extract(coalesce(v, ''), 'volume_number\D+(\d+)', 1), ''), nullif(regexp_extract(coalesce(v, ''), '^(\d+)$', 1), ''), nullif(regexp_extract(c, '(\d+)\s+U\.?\s*S', 1), ''),
-           nullif(regexp_extract(k, '(?i)vol(?:ume)?[_-]?(\d+)', 1), ''), nullif(regexp_extract(t, '(\d+)\s+U\.?\s*S', 1), ''), '') AS volume FROM d""")
+    WITH d AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN '{"volume_number": "' || (doc_id % 90) || '"}' WHEN 1 THEN ' ' || (doc_id % 600) WHEN 2 THEN 'vol. x' END AS v, CASE doc_id % 9 WHEN 2 THEN (doc_id % 77)::VARCHAR WHEN 3 THEN 'volume_number : 5' END AS m,
+                      CASE doc_id % 9 WHEN 4 THEN [lang, (doc_id % 500) || ' u.s. 1', '9 U.S. 9'] ELSE [source] END AS c, CASE doc_id % 9 WHEN 5 THEN 'CAP_' || (doc_id % 70) WHEN 6 THEN 'Vol' || (doc_id % 71) ELSE source || '::' || doc_id END AS k,
+                      CASE doc_id % 9 WHEN 7 THEN 'as in ' || (doc_id % 300) || ' U. S. 7' ELSE coalesce(source, '') END AS name, coalesce(text, '') AS t FROM documents)
+    SELECT doc_id, CASE WHEN regexp_matches(v, 'volume_number.*[0-9]') THEN regexp_extract(v, '([0-9]+)', 1) WHEN regexp_full_match(trim(v), '[0-9]+') THEN trim(v)
+                        WHEN regexp_matches(m, 'volume_number.*[0-9]') THEN regexp_extract(m, '([0-9]+)', 1) WHEN regexp_full_match(trim(m), '[0-9]+') THEN trim(m)
+                        WHEN len(c) > 1 THEN split_part(c[2], ' ', 1) WHEN k LIKE 'CAP_%' OR k LIKE 'Vol%' THEN regexp_extract(k, '([0-9]+)', 1)
+                        ELSE regexp_extract(name || ' ' || substring(t, 1, 200), '(?i)([0-9]+)\s+U\.?\s*S\.?', 1) END AS volume,
+           CASE doc_id % 9 WHEN 0 THEN 'volume_record' WHEN 1 THEN 'volume' WHEN 2 THEN 'metadata' WHEN 3 THEN 'metadata_record' WHEN 4 THEN 'cites' WHEN 5 THEN 'doc_id' WHEN 6 THEN 'doc_id'
+                ELSE CASE WHEN regexp_matches(name || ' ' || substring(t, 1, 200), '(?i)[0-9]+\s+U\.?\s*S') THEN 'text' ELSE '' END END AS place FROM d""")
 def case_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's volume from wherever it is named."""
-    i = F.col("doc_id")
-    volume = F.when(i % 5 == 0, F.concat(F.lit("volume_number: "), (i % 90).cast("string"))).when(i % 5 == 1, (i % 600).cast("string"))
-    cite = F.when(i % 5 == 2, F.concat((i % 500).cast("string"), F.lit(" U.S. 1"))).otherwise("")
-    key = F.when(i % 5 == 3, F.concat(F.lit("Vol-"), (i % 70).cast("string"))).otherwise("d")
-    text = F.when(i % 5 == 4, F.concat(F.lit("as in "), (i % 300).cast("string"), F.lit(" U. S. 7"))).otherwise("none")
-    return documents(spark, sf_dir).select("doc_id", catalog.volume_of(volume, cite, key, text).alias("volume"))
+    """A document's volume from wherever it is named, and where that was."""
+    i, kind = F.col("doc_id"), F.col("doc_id") % 9
+    word = lambda n: (i % n).cast("string")
+    volume = F.when(kind == 0, F.concat(F.lit('{"volume_number": "'), word(90), F.lit('"}'))).when(kind == 1, F.concat(F.lit(" "), word(600))).when(kind == 2, "vol. x")
+    metadata = F.when(kind == 2, word(77)).when(kind == 3, "volume_number : 5")
+    cites = F.when(kind == 4, F.array(F.col("lang"), F.concat(word(500), F.lit(" u.s. 1")), F.lit("9 U.S. 9"))).otherwise(F.array("source"))
+    key = F.when(kind == 5, F.concat(F.lit("CAP_"), word(70))).when(kind == 6, F.concat(F.lit("Vol"), word(71))).otherwise(F.concat("source", F.lit("::"), i.cast("string")))
+    name = F.when(kind == 7, F.concat(F.lit("as in "), word(300), F.lit(" U. S. 7"))).otherwise(F.coalesce("source", F.lit("")))
+    found = catalog.volume_place(volume, metadata, cites, key, name, F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", found.alias("v")).select("doc_id", F.col("v.value").alias("volume"), "v.place")
 
 
 @query("volume_range", "SELECT doc_id FROM documents WHERE doc_id % 600 BETWEEN 300 AND 310")
@@ -84,15 +93,24 @@ def missing_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.missing_volumes(requested, table(spark, sf_dir, "pages").select((F.col("page_id") % 40).cast("string").alias("volume")))
 
 
+#: Pages as records that name their file in one of nine ways; some fields behind the one that counts are filled too.
 @query("case_files", """
-    SELECT page_id, CASE WHEN lower(url) LIKE '%.json' THEN url WHEN page_id % 3 = 0 THEN 'file' || page_id || '.json' ELSE lpad((page_id % 1000)::VARCHAR, 4, '0') || '-01.json' END AS file
-    FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'http://x/' || page_id || '.JSON' ELSE 'http://x/' || page_id END AS url FROM pages)""")
+    WITH p AS (SELECT page_id, page_id % 10 AS k, url FROM pages)
+    SELECT page_id, CASE k WHEN 0 THEN 'casebody_url' WHEN 1 THEN 'case_url' WHEN 2 THEN 'download_url' WHEN 3 THEN 'url' WHEN 4 THEN 'body_url' WHEN 5 THEN 'case_file_name' WHEN 6 THEN 'file_name' WHEN 7 THEN 'filename' ELSE 'first_page' END AS place,
+           CASE WHEN k IN (0, 1, 2) THEN url || '?' || k WHEN k = 3 THEN url || '.json' WHEN k = 4 THEN 'b:' || url WHEN k = 5 AND url LIKE 'http%' THEN url
+                WHEN k = 5 THEN 'https://cases.example/us/7/cases/' || ltrim(url, '/') || '.json' WHEN k = 6 THEN 'https://cases.example/us/7/cases/f' || page_id || '.json' WHEN k = 7 THEN 'https://cases.example/us/7/cases/g.json'
+                ELSE 'https://cases.example/us/7/cases/' || CASE WHEN page_id % 12345 < 1000 THEN lpad((page_id % 12345)::VARCHAR, 4, '0') ELSE (page_id % 12345)::VARCHAR END || '-01.json' END AS file
+    FROM p WHERE url IS NOT NULL""")
 def case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a record's own file is: its URL, its name, or its padded page."""
-    i = F.col("page_id")
-    url = F.concat(F.lit("http://x/"), i.cast("string"), F.when(i % 4 == 0, ".JSON").otherwise(""))
-    name = F.when(i % 3 == 0, F.concat(F.lit("file"), i.cast("string"), F.lit(".json")))
-    return table(spark, sf_dir, "pages").select("page_id", cases.case_file(url, name, i % 1000).alias("file"))
+    """Where a record's own file is: addresses, the body's, file names, or the padded page, and which of them told it."""
+    i, k, url = F.col("page_id"), F.col("page_id") % 10, F.col("url")
+    record = {
+        "casebody_url": F.when(k == 0, F.concat(url, F.lit("?0"))), "case_url": F.when(k == 1, F.concat(url, F.lit("?1"))), "download_url": F.when(k == 2, F.concat(url, F.lit("?2"))).when(k > 2, ""),
+        "url": F.when(k <= 3, F.concat(url, F.lit(".json"))).otherwise(F.concat(url, F.lit(".JSON"))), "body_url": F.when(k <= 4, F.concat(F.lit("b:"), url)), "case_file_name": F.when(k == 5, url),
+        "file_name": F.when(k.isin(5, 6), F.concat(F.lit("/f"), i.cast("string"))), "filename": F.when(k == 7, "//g.json"), "first_page": (i % 12345).cast("string"), "id": i,
+    }
+    pages = table(spark, sf_dir, "pages").where("url IS NOT NULL")
+    return pages.select("page_id", cases.case_url(record, F.lit("7"), "https://cases.example").alias("f")).select("page_id", "f.place", F.col("f.value").alias("file"))
 
 
 @query("complete_cases", "SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'full ' || doc_id ELSE 'listed' END AS name, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END AS lang FROM documents")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import LANDMARK_VOLUMES
@@ -207,3 +207,27 @@ def support_max_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = chunking.character_windows(hits.select("query_id", "doc_id", "query", "text"))
     best = windows.groupBy("query_id", "doc_id").agg(F.round(F.max(verify.overlap_support(F.col("query"), F.col("window"))), 6).alias("support"))
     return best.select(F.col("query_id").alias("item_id"), "doc_id", "support")
+
+
+def _letters(text: Column) -> Column:
+    """A stand-in for an embedding that SQL has too: how often a text holds each vowel, and one."""
+    return F.array(F.lit(1.0), *[(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("double") for c in "aeiou"])
+
+
+@query("support_tiers", f"""
+    WITH p AS (SELECT item_id, coalesce(b.text, '') AS claim, coalesce(d.text, '') AS t FROM benchmark b JOIN documents d ON d.doc_id % 200 = b.item_id),
+    n AS (SELECT *, list_distinct({TOKENS.format('claim')}) AS q, least(length(t), 1800) AS n FROM p),
+    w AS (SELECT *, unnest(range(0, n, 350)) AS start FROM n WHERE n > 0 AND item_id % 3 = 0),
+    s AS (SELECT item_id, max(CASE WHEN len(q) > 0 THEN len(list_intersect(q, {TOKENS.format('substring(t, start + 1, least(450, n - start))')})) / len(q) ELSE 0e0 END) AS support FROM w GROUP BY item_id),
+    l AS (SELECT item_id, [1e0] || [(length(claim) - length(replace(claim, c, '')))::DOUBLE FOR c IN ['a', 'e', 'i', 'o', 'u']] AS a, [1e0] || [(length(substring(t, 1, 500)) - length(replace(substring(t, 1, 500), c, '')))::DOUBLE FOR c IN ['a', 'e', 'i', 'o', 'u']] AS b
+          FROM p WHERE item_id % 3 = 1 AND regexp_matches(t, '[^\\s]'))
+    SELECT item_id, 'scorer' AS tier, round(support, 6) AS support FROM s
+    UNION ALL SELECT item_id, 'cosine', round(max(greatest(0e0, least(1e0, list_cosine_similarity(a, b)))), 6) FROM l GROUP BY item_id
+    UNION ALL SELECT DISTINCT item_id, 'none', 0e0 FROM p WHERE item_id % 3 = 2 AND regexp_matches(t, '[^\\s]')""")
+def support_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims scored by a model, by vectors where there is none, and by nothing; every document is evidence for one claim."""
+    claims = questions(spark, sf_dir).select(F.col("query_id").alias("citation_id"), F.col("query").alias("holding"))
+    texts = documents(spark, sf_dir).select((F.col("doc_id") % 200).alias("citation_id"), "text")
+    tiers = [("scorer", verify.overlap_support, None), ("cosine", None, _letters), ("none", None, None)]
+    parts = [verify.tiered_support(claims.where(F.col("citation_id") % 3 == i), texts, scorer, embed).select(F.col("citation_id").alias("item_id"), F.lit(tier).alias("tier"), F.round("support", 6).alias("support")) for i, (tier, scorer, embed) in enumerate(tiers)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import salvage
 from ..functions import text as fx
 from ..operators import debate, dense, memory, ranks
+from ..storage import shared_path
+from ..streaming import running
 from .loop import review
 from .registry import query
 from .shared import BM25_SQL, DENSE_SQL, documents, lexical_top, questions, table, vector_queries, vectors
@@ -134,6 +136,24 @@ def risk_running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.running_means(table(spark, sf_dir, "events"), "user_id", "value", "ts", "event_id").select("user_id", "event_id", settled("run_avg"), "n")
 
 
+@query("risk_running_stream", """
+    SELECT user_id, event_id, round(avg(value) OVER w + 1e-9, 6) AS run_avg, count(*) OVER w AS n FROM events
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def risk_running_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same means from a stream of three files, the later ones by what the earlier ones left."""
+    folder = shared_path(spark, "running")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.struct("ts", "event_id").alias("seq"), F.col("value").cast("double").alias("value"))
+    first, last = events.agg(F.min("seq.ts"), F.max("seq.ts")).first()
+    third = (last - first) / 3
+    means = running.RunningMeans(spark, folder)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
+    for i in range(3):
+        place = F.when(F.col("seq.ts") >= F.lit(first + 2 * third), 2).when(F.col("seq.ts") >= F.lit(first + third), 1).otherwise(0)
+        events.where(place == i).coalesce(1).write.parquet(f"{folder}/landed/{i}")
+        means.follow(f"{folder}/landed", f"{folder}/checkpoint", schema)
+    return means.steps().select(F.col("key").cast("bigint").alias("user_id"), F.col("seq.event_id").alias("event_id"), settled("run_avg"), "n")
+
+
 @query("risk_index_merge", "SELECT user_id, round(avg(value) + 1e-9, 6) AS avg, count(*) AS n, arg_max(event_type, (ts, event_id)) AS last_tier FROM events GROUP BY user_id")
 def risk_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two halves of the month are indexed apart and merged; the result is that of one pass."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions import text as fx
+from ..functions.places import first_place
 from ..schema import DOCUMENT, RAW_CASE
 
 
@@ -33,10 +34,25 @@ def body_text(body: Column) -> Column:
     return fx.stripped(fx.first_of(F.array_join(parts, "\n\n"), body["text"]))
 
 
-def case_file(url: Column, file_name: Column, page: Column) -> Column:
-    """Where a record's own file is: its URL if it is one of JSON, its file name, else its padded first page."""
-    by_url = F.when(F.lower(url).endswith(".json"), url)
-    return F.coalesce(by_url, F.nullif(file_name, F.lit("")), F.concat(F.lpad(page.cast("string"), 4, "0"), F.lit("-01.json")))
+def case_url(record: dict[str, Column], volume: Column, base: str) -> Column:
+    """(place, value): the address of a record's own file, and the field that told it; a record without one fails the job.
+
+    Fields that ``record`` lacks are null.  In this order: three addresses; ``url`` if it ends in .json; that of the
+    body; three file names, below the volume unless they are addresses; the first page as a padded number.
+    """
+    at = {name: record.get(name, F.lit(None)).cast("string") for name in ("casebody_url", "case_url", "download_url", "url", "body_url", "case_file_name", "file_name", "filename", "first_page", "id")}
+    folder = F.concat(F.lit(f"{base}/us/"), volume, F.lit("/cases/"))
+
+    def file(name: Column) -> Column:
+        whole = F.when(name.endswith(".json"), name).otherwise(F.concat(name, F.lit(".json")))
+        return F.when(F.coalesce(name, F.lit("")) != "", F.when(name.startswith("http"), name).otherwise(F.concat(folder, F.ltrim(whole, F.lit("/")))))
+
+    page = F.when(fx.stripped(at["first_page"]).rlike(r"^[+-]?[0-9]+$"), F.format_string("%04d", fx.stripped(at["first_page"]).try_cast("bigint")))
+    rules = [(name, at[name]) for name in ("casebody_url", "case_url", "download_url")]
+    rules += [("url", F.when(at["url"].endswith(".json"), at["url"])), ("body_url", at["body_url"])]
+    rules += [(name, file(at[name])) for name in ("case_file_name", "file_name", "filename")]
+    rules += [("first_page", F.concat(folder, page, F.lit("-01.json")))]
+    return first_place(rules, F.raise_error(F.concat(F.lit("no file is named by record "), F.coalesce(at["id"], F.lit("")))))
 
 
 def parse_cases(raw: DataFrame, volume: str = "", least_chars: int = DEFAULTS.min_text_chars) -> DataFrame:

@@ -284,3 +284,52 @@ def test_failed_pairs_are_counted_apart(spark):
     failed = spark.createDataFrame([(2,), (2,), (9,)], "pair_id long")
     r = metrics.recurrence(votes, catalog, failed=failed).first()
     assert (r["initial"], r["recurred"], r["errors"]) == (1, 1, 2) and metrics.recurrence(votes, catalog).first()["initial"] == 2
+
+
+def test_volume_places(spark):
+    def place(volume="", metadata="", cites=(), doc_id="", name="", text=""):
+        found = catalog.volume_place(F.lit(volume), F.lit(metadata), F.array(*[F.lit(c) for c in cites]).cast("array<string>"), F.lit(doc_id), F.lit(name), F.lit(text))
+        return tuple(value(spark, found))
+
+    everything = {"volume": "{'volume_number': '1'}", "metadata": "2", "cites": ["none", "3 u. s. 9", "4 U.S. 1"], "doc_id": "x_vol_5", "name": "6 US 1", "text": "7 U.S. 2"}
+    expected = [("volume_record", "1"), ("metadata", "2"), ("cites", "3"), ("doc_id", "5"), ("text", "6"), ("text", "7"), ("", "")]
+    for key, told in zip([*everything, None], expected, strict=True):
+        assert place(**everything) == told
+        if key:
+            del everything[key]
+    assert place(volume="vol 12", doc_id="CAP_8") == ("doc_id", "8") and place(doc_id="CAP::8") == ("", "") and place(text="x" * 200 + " 5 U.S. 1") == ("", "")
+
+
+def test_case_urls(spark):
+    from plumbline.sources.cases import case_url
+
+    def place(**record):
+        return tuple(value(spark, case_url({k: F.lit(v) for k, v in record.items()}, F.lit("12"), "http://b")))
+
+    folder = "http://b/us/12/cases/"
+    assert place(case_url="c", url="u.json", first_page="3") == ("case_url", "c")
+    assert place(casebody_url="", url="u.json") == ("url", "u.json") and place(url="u.JSON", body_url="b") == ("body_url", "b")
+    assert place(case_file_name="http://f") == ("case_file_name", "http://f") and place(file_name="/a", filename="z") == ("file_name", folder + "a.json") and place(filename="a.json") == ("filename", folder + "a.json")
+    assert place(first_page="7") == ("first_page", folder + "0007-01.json") and place(first_page=" 12345 ") == ("first_page", folder + "12345-01.json")
+    for record in ({"first_page": "xii", "id": "9"}, {"url": "no"}):
+        with pytest.raises(Exception, match="no file is named"):
+            place(**record)
+
+
+def test_support_falls_back(spark):
+    from plumbline.operators.verify import tiered_support
+
+    claims = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c"), (4, "nothing to read")], "citation_id long, holding string")
+    texts = spark.createDataFrame([(1, "a x " * 200 + "a b"), (2, "a x " * 200 + "a b"), (3, "x"), (3, " "), (4, "")], "citation_id long, text string")
+    calls = []
+
+    def scorer(claim, window):
+        calls.append(1)
+        return F.when(F.contains(window, claim), 0.9).otherwise(0.1)
+
+    best = {r["citation_id"]: (r["support"], r["window"][-3:]) for r in tiered_support(claims, texts, scorer).collect()}
+    assert best[1] == best[2] == (0.9, "a b") and best[3][0] == 0.1 and set(best) == {1, 2, 3}
+    letters = lambda t: F.array(*[(F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("double") for c in "axc"])
+    vectors = {r["citation_id"]: round(r["support"], 4) for r in tiered_support(claims, texts, None, letters).collect()}
+    assert vectors == {1: 0.7071, 2: 0.7071, 3: 0.0}
+    assert {r["support"] for r in tiered_support(claims, texts, None).collect()} == {0.0}

@@ -14,3 +14,36 @@ def test_stream_equals_one_pass(spark, tmp_path):
     assert order(risk.read(spark, index)) == order(expected)
     risk.compact(spark, index, str(tmp_path / "whole"))
     assert order(risk.read(spark, str(tmp_path / "whole"))) == order(expected)
+
+
+def test_running_means_go_on_over_files_and_failures(spark, tmp_path, monkeypatch):
+    from plumbline.streaming.running import ROW, RunningMeans
+
+    rows = [(f"k{i % 3}" if i % 7 else None, i, None if i % 11 == 5 else float(i * i % 13)) for i in range(60)]
+    means = RunningMeans(spark, f"file://{tmp_path}/means")
+    landed, checkpoint = f"file://{tmp_path}/landed", f"file://{tmp_path}/checkpoint"
+    for k in range(3):
+        spark.createDataFrame(rows[20 * k : 20 * k + 20], ROW).coalesce(1).write.parquet(f"{landed}/{k}")
+        if k == 1:  # stopped between its two writes: the batch comes again
+            write = RunningMeans.take
+
+            def stopping(self, batch, number):
+                write(self, batch, number)
+                raise RuntimeError("stopped")
+
+            monkeypatch.setattr(RunningMeans, "take", stopping)
+            try:
+                means.follow(landed, checkpoint)
+            except Exception as failure:
+                assert "stopped" in str(failure)
+            else:
+                raise AssertionError("the batch did not fail")
+            monkeypatch.undo()
+        means.follow(landed, checkpoint)
+    expected, sums = [], {}
+    for key, seq, value in rows:
+        total, n = sums.get(key, (0.0, 0))
+        sums[key] = total, n = (total + (value or 0.0), n + (value is not None))
+        expected.append((seq, key, n, round(total / n, 9) if n else None))
+    got = sorted((r["seq"], r["key"], r["n"], r["run_avg"] if r["run_avg"] is None else round(r["run_avg"], 9)) for r in means.steps().collect())
+    assert got == expected
