@@ -183,7 +183,8 @@ class Numbered:
         """Rows (PLACE and ``columns``) with the columns of narrow ``marks`` (PLACE, ...), without moving the rows.
 
         Marks hold a row at most for each place; ``how`` is inner, left, left_semi or left_anti.  The marks of
-        a block are gathered into one row, which the task that reads the block holds; they are no more than its rows.
+        a block are gathered into one row.  A task holds those of all blocks of its bucket: no more than it has rows, of
+        a share of the input that does not grow with it (``bucket_count``).
         """
         block, number = PLACE
         segment = F.shiftright(F.col(number).bitwiseAND(F.lit((1 << 33) - 1)), SEGMENT.bit_length() - 1).cast("int")
@@ -218,7 +219,28 @@ def laid_out(df: DataFrame, name: str, buckets: int) -> tuple[DataFrame, str]:
             spark.conf.unset(key)
         else:
             spark.conf.set(key, old)
-    return spark.read.table(title), path
+    return _unlisted(spark, title), path
+
+
+def _unlisted(spark: SparkSession, title: str) -> DataFrame:
+    """A scan of a bucketed table, whose entry in the catalog goes: the scan knows the files and their buckets."""
+    scan = spark.read.table(title)
+    spark.sql(f"DROP TABLE {title}")
+    return scan
+
+
+def bucket_count(df: DataFrame) -> int:
+    """As many as the files that ``df`` reads are cut into partitions, the shuffle setting at least, and no more than Spark allows.
+
+    A bucket is read by one task and cannot be cut, so its share of the input must not grow with the input.
+    """
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    held = sum(n for n in sizes if n < 1 << 60)  # sources that do not know their size say more
+    piece = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    return min(most, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // piece)))
 
 
 def reopened(spark: SparkSession, path: str, buckets: int) -> Numbered:
@@ -226,12 +248,12 @@ def reopened(spark: SparkSession, path: str, buckets: int) -> Numbered:
     title = f"plumbline_{uuid.uuid4().hex}"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
     spark.sql(f"CREATE TABLE {title} ({fields}) USING parquet CLUSTERED BY (`{PLACE[0]}`) INTO {buckets} BUCKETS LOCATION '{path}'")
-    return Numbered(spark.read.table(title), path, buckets)
+    return Numbered(_unlisted(spark, title), path, buckets)
 
 
 def numbered(df: DataFrame, name: str = "numbered") -> Numbered:
     """``df`` written with the PLACE of each row."""
-    buckets = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = bucket_count(df)
     placed = df.withColumns(dict(zip(PLACE, (F.spark_partition_id(), F.monotonically_increasing_id()), strict=True)))
     return Numbered(*laid_out(placed, name, buckets), buckets)
 
