@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from .common import PLACE, bounded_batches, byte_values, hold, numbered, require_columns, slices, without
 
 #: Chunks of text whose ids a Python worker keeps: those met more than once, and those met once lately.
-KEPT_CHUNKS, ONCE_CHUNKS = 400_000, 300_000
+KEPT_CHUNKS, ONCE_CHUNKS = 200_000, 150_000
 #: Bytes of text encoded at once.
-ENCODED_BYTES = 2 << 20
+ENCODED_BYTES = 1 << 20
 MARKS, ALNUM = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum()), frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 #: How the vocabulary's special tokens begin.
 SPECIAL = b"<|"
