@@ -1,6 +1,6 @@
 """A lexical index that grows by portions.
 
-Each portion (a volume, or a batch of a file stream) is indexed by itself: its postings, its documents' lengths and its
+Each portion (a volume, or a batch of a file stream) is indexed by itself: its documents' words and its
 counts of documents by term are written to a folder of its own, and then a row of the log says that they count: (portion, version,
 digest, folder, n_docs, n_words).  The log has a folder a row, renamed into place, so a portion is there whole or not at all,
 and a run that was stopped leaves nothing that is read.  A portion that is there with the same digest is not built
@@ -21,9 +21,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.lexical import LexicalIndex, document_lengths, inverse_frequencies, term_frequencies
+from ..operators.lexical import LexicalIndex, counted_words, inverse_frequencies
 from ..storage import digest_of, listed, published
 
+def _counts(words: DataFrame) -> DataFrame:
+    """(term, df)."""
+    return words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 LOG = "portion string, version long, digest string, folder string, n_docs long, n_words long"
 
 
@@ -56,12 +61,10 @@ class PortionedIndex:
         version = max((v for v, _ in known), default=0) + 1
         name = f"{hashlib.sha256(portion.encode()).hexdigest()[:24]}-{version}"
         data = f"{self.folder}/data/{name}-{digest[:16]}"
-        term_frequencies(docs).write.mode("overwrite").parquet(f"{data}/postings")
-        postings = self.spark.read.parquet(f"{data}/postings")
-        postings.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{data}/counts")
-        document_lengths(docs).write.mode("overwrite").parquet(f"{data}/docs")
-        lengths = self.spark.read.parquet(f"{data}/docs")
-        sums = lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_words"))
+        counted_words(docs).write.mode("overwrite").parquet(f"{data}/words")
+        words = self.spark.read.parquet(f"{data}/words")
+        _counts(words).write.mode("overwrite").parquet(f"{data}/counts")
+        sums = words.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_words"))
         row = sums.select(F.lit(portion).alias("portion"), F.lit(version).cast("bigint").alias("version"), F.lit(digest).alias("digest"), F.lit(data).alias("folder"), "n_docs", "n_words")
         return published(row, f"{self.folder}/log/{name}")
 
@@ -71,18 +74,18 @@ class PortionedIndex:
         if not rows:
             empty = self.spark.createDataFrame([], "doc_id long, text string")
             return LexicalIndex.build(empty)
-        postings, counts, docs = (self.spark.read.parquet(*[f"{r['folder']}/{part}" for r in rows]) for part in ("postings", "counts", "docs"))
-        n, words = sum(r["n_docs"] for r in rows), sum(r["n_words"] for r in rows)
-        stats = self.spark.createDataFrame([(n, words / n if n else 0.0)], "n_docs long, avgdl double")
-        return LexicalIndex(postings, inverse_frequencies(counts, stats, F.sum("df")), docs, stats)
+        words, counts = (self.spark.read.parquet(*[f"{r['folder']}/{part}" for r in rows]) for part in ("words", "counts"))
+        n, total = sum(r["n_docs"] for r in rows), sum(r["n_words"] for r in rows)
+        stats = self.spark.createDataFrame([(n, total / n if n else 0.0)], "n_docs long, avgdl double")
+        return LexicalIndex(words, inverse_frequencies(counts, stats, F.sum("df")), stats)
 
     def follow(self, volumes: str, schema: str, checkpoint: str) -> None:
-        """Index all files below ``volumes`` that have not been, a file a portion, and stop.
+        """Index all files below ``volumes`` that have not been, a portion of what is there by now, and stop.
 
-        The stream's checkpoint says which files it has seen; a batch that was broken off comes again under its
+        A portion of many files is read by as many tasks as these are cut into.  The stream's checkpoint says which files it has seen; a batch that was broken off comes again under its
         number, and the log says whether it counts.
         """
-        stream = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(volumes)
+        stream = self.spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(volumes)
 
         def take(batch: DataFrame, number: int) -> None:
             self.add(f"batch-{number}", batch.select("doc_id", "text"), digest=f"{number:016d}")
@@ -97,7 +100,7 @@ class PortionedIndex:
         rows = self.current().collect()
         own = f"{self.folder}/data/{row}"
         index = self.index()
-        for part, df in (("postings", index.postings), ("counts", index.postings.groupBy("term").agg(F.count("*").alias("df"))), ("docs", index.docs)):
+        for part, df in (("words", index.words), ("counts", _counts(index.words))):
             df.write.mode("overwrite").parquet(f"{own}/{part}")
         gathered = [(r["portion"], r["version"] + 1, r["digest"], "", 0, 0) for r in rows]
         fresh = (name, 1, "compact", own, sum(r["n_docs"] for r in rows), sum(r["n_words"] for r in rows))
