@@ -157,7 +157,7 @@ def _portioned(spark: SparkSession, sf_dir: str) -> PortionedIndex:
     schema = _ddl(docs)
     volumes = [docs.where(F.pmod("doc_id", F.lit(3)) == i) for i in range(3)]
     for i, volume in enumerate(volumes):
-        volume.coalesce(1).write.parquet(f"{folder}/volumes/{i}")
+        volume.write.parquet(f"{folder}/volumes/{i}")
         if i:
             index.follow(f"{folder}/volumes", schema, f"{folder}/checkpoint")
     index.follow(f"{folder}/volumes", schema, f"{folder}/checkpoint")
