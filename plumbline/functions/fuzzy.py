@@ -17,8 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from ..storage import written
+
 #: Catalog names that one task compares at a time.
 BLOCK_NAMES = 2000
+#: Letters up to which a name is looked up less a letter and by its words in a row; longer ones are only compared.
+LONG_NAME = 200
 
 
 def common_length(a: str, b: str) -> int:
@@ -68,6 +72,12 @@ def token_set_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
+@F.pandas_udf(IntegerType())
+def shared_words_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The ratio, or that of sets of words if it is higher and they share one."""
+    return pd.Series([max(ratio(x, y), token_set_ratio(x, y)) if set(_word_set(x)) & set(_word_set(y)) else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+
 def edit_ratio(a: Column, b: Column) -> Column:
     """100 * (1 - levenshtein / longer length), rounded: a ratio that SQL has too."""
     longer = F.greatest(F.length(a), F.length(b))
@@ -140,7 +150,8 @@ class _Catalog:
         shared = np.minimum(bags, self._bag(name)).sum(axis=1)
         return np.rint(200.0 * shared / np.maximum(sizes + len(name), 1))
 
-    def best(self, name: str, token_sets: bool) -> tuple[int, str]:
+    def best(self, name: str, token_sets: bool, floor: int = -1) -> tuple[int, str] | None:
+        """The best name of the block and its score; None if all are below ``floor``."""
         bound, sharing = self._bound(name, self.sizes, self.bags), np.zeros(len(self.names), dtype=bool)
         if token_sets:
             words = _word_set(name)
@@ -153,36 +164,57 @@ class _Catalog:
             # the shared words begin either side, so their ratio with it is known; the sides' own is bounded by their letters
             ends = 200.0 * common / np.maximum(common + np.minimum(len(whole), self.set_sizes), 1)
             bound = np.where(sharing, np.maximum(bound, np.maximum(np.rint(ends), self._bound(whole, self.set_sizes, self.set_bags))), bound)
-        best, match = -1, ""
-        for i in np.argsort(-bound, kind="stable"):
+        best, match = floor, None
+        open_ = np.flatnonzero(bound >= floor)
+        for i in open_[np.argsort(-bound[open_], kind="stable")]:
             if bound[i] < best:
                 break
             candidate = self.names[i]
             score = max(ratio(name, candidate), token_set_ratio(name, candidate)) if sharing[i] else ratio(name, candidate)
-            if score > best or (score == best and candidate < match):
+            if score > best or (score == best and (match is None or candidate < match)):
                 best, match = score, candidate
-        return best, match
+        return None if match is None else (best, match)
+
+
+def _floors(asked: DataFrame, entries: DataFrame, token_sets: bool) -> DataFrame:
+    """(name, floor): what one catalog name or another reaches, so that no name below it need be compared; -1 where none is found.
+
+    Names meet entries that equal them less a letter or, for sets of words, that are some of their words in a row, by joins.
+    """
+    n, name, none = F.length("name"), F.col("name"), F.array().cast("array<string>")
+    less = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substr(name, F.lit(1), i - 1), F.substr(name, i + 1, n)))
+    keys = F.when((n > 1) & (n <= LONG_NAME), less).otherwise(none)
+    if token_sets:
+        words = F.split(name, " ")
+        runs = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.size(words) - i + 1), lambda k: F.array_join(F.slice(words, i, k), " ")))
+        keys = F.concat(keys, F.when((n <= LONG_NAME) & (F.size(words) <= LONG_NAME // 10), F.flatten(runs)).otherwise(none))
+    met = asked.select("name", F.explode(F.array_distinct(keys)).alias("entry")).join(entries, "entry")
+    score = shared_words_udf("name", "entry") if token_sets else ratio_udf("name", "entry")
+    found = met.groupBy("name").agg(F.max(score).alias("floor"))
+    return asked.join(found, "name", "left").select("name", F.coalesce("floor", F.lit(-1)).alias("floor"))
 
 
 def best_matches(names: DataFrame, catalog: DataFrame, token_sets: bool = False) -> DataFrame:
     """(name, best, ratio): the best catalog name of each distinct ``name``; ties go to the first in order.
 
     Both sides are dealt into blocks of about BLOCK_NAMES; each pair of blocks is one unit of
-    work and the best of all wins.  Neither side is collected.
+    work and the best of all wins.  Neither side is collected.  A floor for each name, from equal keys, lets most
+    blocks tell by letters counted alone that they hold nothing better.
     """
     blocks = catalog.select(F.col("name").alias("entry")).where("entry IS NOT NULL").distinct()
     asked = names.select("name").where("name IS NOT NULL").distinct()
+    asked = written(_floors(asked, blocks, token_sets), "asked-names")
     count, parts = (max(1, -(-x.count() // BLOCK_NAMES)) for x in (blocks, asked))
     blocks = blocks.groupBy(F.pmod(F.xxhash64("entry"), F.lit(count)).alias("block")).agg(F.collect_list("entry").alias("entries"))
-    pairs = blocks.crossJoin(asked.groupBy(F.pmod(F.xxhash64("name"), F.lit(parts)).alias("part")).agg(F.collect_list("name").alias("names")))
+    pairs = blocks.crossJoin(asked.groupBy(F.pmod(F.xxhash64("name"), F.lit(parts)).alias("part")).agg(F.collect_list("name").alias("names"), F.collect_list("floor").alias("floors")))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for entries, asked_names in zip(batch["entries"], batch["names"], strict=True):
+            for entries, asked_names, floors in zip(batch["entries"], batch["names"], batch["floors"], strict=True):
                 block = _Catalog(list(entries))
-                found = [(n, *block.best(n, token_sets)) for n in asked_names]
+                found = [(n, *best) for n, floor in zip(asked_names, floors, strict=True) if (best := block.best(n, token_sets, floor))]
                 yield pd.DataFrame(found, columns=["name", "ratio", "best"])
 
-    each = pairs.select("entries", "names").mapInPandas(compare, "name string, ratio int, best string")
+    each = pairs.select("entries", "names", "floors").mapInPandas(compare, "name string, ratio int, best string")
     winner = F.min_by(F.struct("best", "ratio"), F.struct(-F.col("ratio"), F.col("best")))
     return each.groupBy("name").agg(winner.alias("w")).select("name", "w.best", "w.ratio")

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
+from ..storage import written
 
 
 def fuse(*lists: DataFrame, k: int = DEFAULTS.rrf_k, top: int = DEFAULTS.fused_k) -> DataFrame:
-    """(query_id, rank, doc_id, rrf_score) of lists (query_id, rank, doc_id), the dense one first.
+    """(query_id, rank, doc_id, rrf_score), written, of lists (query_id, rank, doc_id), the dense one first.
 
     Ties go to the earlier list, then to the better rank in it.
     """
@@ -22,7 +23,8 @@ def fuse(*lists: DataFrame, k: int = DEFAULTS.rrf_k, top: int = DEFAULTS.fused_k
     summed = both.groupBy("query_id", "doc_id").agg(score.alias("rrf_score"), first.alias("first"))
     order = Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), "first", "doc_id")
     ranked = summed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return ranked.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "rrf_score")
+    # few rows: texts they are joined to need not move
+    return written(ranked.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "rrf_score"), "fused")
 
 
 def entity_map(hits: DataFrame) -> DataFrame:
