@@ -25,7 +25,10 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def far_apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts with 0.8 or more of their five-word shingles in common the document of the smallest doc_id stays."""
+    """Of each component of texts with 0.8 or more of their five-word shingles in common the document of the smallest doc_id stays.
+
+    Fingerprints linked through pivot distance tables find the closest, MinHash bands the others; the sets of shingles decide.
+    """
     return shingles.dedup_similar(docs)
 
 

@@ -1,9 +1,10 @@
-"""Near duplicates by their sets of word shingles: MinHash bands find the pairs, the sets decide.
+"""Near duplicates by their sets of word shingles: fingerprints and MinHash bands find the pairs, the sets decide.
 
 Texts lower-cased in A-Z are cut at ASCII white space; a text's set holds every
 run of SHINGLE_WORDS words (fewer words: all of them).  Texts whose sets have a
 Jaccard similarity of SIMILARITY or more are linked, however they were found:
 
+0.  SimHash fingerprints of the shingles, linked through pivot distance tables (``simhash``), find the closest texts.
 1.  BANDS keys a text are made of ROWS minima each of the hashed set.  Two sets
     of similarity s share a key with a chance of 1 - (1 - s^ROWS)^BANDS: at 0.8
     five pairs in a million share none, above it fewer.
@@ -21,8 +22,8 @@ Jaccard similarity of SIMILARITY or more are linked, however they were found:
 Sets are compared as sets of 64-bit hashes of their shingles, and only those of texts that are
 candidates leave their place.
 
-Distances of SimHash fingerprints do not carry this: such pairs differ by up to
-a dozen of 64 bits, and keys that lose no link at that distance are too many.
+Distances of SimHash fingerprints alone do not carry this: such pairs differ by up to
+a dozen of 64 bits, and keys that lose no link at that distance are too many.  So what they leave apart is the bands' to find.
 
 Null text counts as empty; texts without words are alike.  Null doc_ids take
 part; they name a component only if it has no other.  Other columns are not
@@ -40,6 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import PLACE, Numbered, as_row, bounded_batches, byte_values, hold, numbered, require_columns, row_columns, scratch, text_bytes, written
 from .components import components
+from .simhash import fingerprint, near_links
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -83,7 +85,7 @@ class Bands:
 
 
 def with_keys(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """(_row, keys): all columns of ``docs`` as a struct and the keys of its text."""
+    """(_row, keys, fp): all columns of ``docs`` as a struct, the keys of its text and its fingerprint."""
     require_columns(docs, "text")
     bounded_batches(docs.sparkSession)
 
@@ -93,7 +95,12 @@ def with_keys(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
         flat = [bands.keys(shingles(t, size)) for t in byte_values(texts)]
         return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
 
-    return docs.select(as_row(docs), keys(text_bytes()).alias("keys"))
+    @F.arrow_udf("long")
+    def prints(texts: pa.Array) -> pa.Array:
+        hold("shingles")
+        return pa.array(np.fromiter((fingerprint(t, size) for t in byte_values(texts)), dtype=np.uint64, count=len(texts)).view(np.int64))
+
+    return docs.select(as_row(docs), keys(text_bytes()).alias("keys"), prints(text_bytes()).alias("fp"))
 
 
 def hashed_sets(table: Numbered, ids: DataFrame, size: int) -> DataFrame:
@@ -131,6 +138,15 @@ def hub_pairs(keyed: DataFrame) -> DataFrame:
     return keyed.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
 
 
+def print_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b) of prints (id, fp), written: of equal fingerprints the smallest id with every other, of linked ones the two smallest ids."""
+    firsts = written(prints.groupBy("fp").agg(F.min("id").alias("low")), "fingerprints")
+    equal = prints.join(firsts, "fp").where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
+    low = {c: firsts.select(F.col("fp").alias(c), F.col("low").alias(f"low_{c}")) for c in "ab"}
+    linked = near_links(firsts.select("fp")).join(low["a"], "a").join(low["b"], "b")
+    return written(equal.unionByName(linked.select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b"))), "print-pairs")
+
+
 def component_of(links: DataFrame) -> DataFrame:
     """(id, c) of the rows that ``links`` joins, written."""
     return written(components(links).select(F.col("node").alias("id"), F.col("component").alias("c")), "components")
@@ -189,10 +205,11 @@ def rest_pairs(small: DataFrame, large: DataFrame, least: float) -> DataFrame:
     return x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def similar_links(table: Numbered, least: float = SIMILARITY, size: int = SHINGLE_WORDS) -> DataFrame:
-    """Links (a, b) that give the components of the rows of ``table`` (keys, _row), named by their numbers."""
+def similar_links(table: Numbered, least: float = SIMILARITY, size: int = SHINGLE_WORDS, close: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that give the components of the rows of ``table`` (keys, _row), named by their numbers; pairs ``close`` (a, b) are compared first."""
     bands = table.rows.select(F.col(PLACE[1]).alias("id"), F.explode("keys").alias("key"))
-    done = written(hub_pairs(bands), "hub-pairs")
+    pairs = hub_pairs(bands)
+    done = written(pairs if close is None else close.unionByName(pairs).distinct(), "hub-pairs")
     links = written(similar(done, hashed_sets(table, ids_of(done), size), least), "hub-links")
     sets = hashed_sets(table, still_apart(bands, links), size)
     small, large = prefixes(sets, least)
@@ -211,7 +228,8 @@ def dedup_similar(docs: DataFrame, least: float = SIMILARITY, size: int = SHINGL
     require_columns(docs, "doc_id", "text")
     table = numbered(with_keys(docs, size))
     with scratch(docs.sparkSession):
-        found = written(components(similar_links(table, least, size)), "components")
+        close = print_pairs(table.rows.select(F.col(PLACE[1]).alias("id"), "fp"))
+        found = written(components(similar_links(table, least, size, close)), "components")
         ids = table.rows.select(*PLACE, F.col(PLACE[1]).alias("node"), F.col("_row")["doc_id"].alias("doc_id"))
         members = written(found.join(ids, "node"), "members")
         # of several rows with the name-giving doc_id the first stays

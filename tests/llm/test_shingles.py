@@ -80,3 +80,15 @@ def test_a_group_of_copies_that_are_not_alike_makes_few_pairs(spark, monkeypatch
     kept = shingles.dedup_similar(docs_of(spark, every))
     assert sorted(r["doc_id"] for r in kept.collect()) == brute_kept(every)
     assert sum(n for name, n in seen if name in ("hub-pairs", "prefix-pairs", "prefix-rest")) < 20 * len(every)
+
+
+def test_close_fingerprints_are_compared_first(spark, monkeypatch):
+    prints = spark.createDataFrame([(1, 0), (2, 0), (3, 3), (4, -1), (5, 0b1011), (6, -4)], "id long, fp long")
+    assert sorted((r["a"], r["b"]) for r in shingles.print_pairs(prints).collect()) == [(1, 2), (1, 3), (3, 5), (4, 6)]
+    # texts of no common band meet by their fingerprints
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(shingles, "still_apart", lambda bands, links: bands.where("false").select("id"))
+    monkeypatch.setattr(shingles, "hub_pairs", lambda keyed: keyed.where("false").selectExpr("id as a", "id as b"))
+    every = [" ".join(f"w{i}" for i in rng.integers(0, 900, 400)) for _ in range(4)]
+    every += [every[0].replace(" ", "\n"), every[1] + " ", every[2].upper()]
+    assert sorted(r["doc_id"] for r in shingles.dedup_similar(docs_of(spark, every)).collect()) == [0, 1, 2, 3]
