@@ -2,8 +2,8 @@
 
 Documents are ranked by their length and dealt into blocks of ``DOCS`` neighbours, whose words count about alike.  A row of
 ``blocks`` (term, block, n, most, postings) holds the impacts of a term on the documents of a block and the largest of
-them; rows lie sorted by term, and bounds are read without their postings.  ``terms`` (term, df, most) holds the
-largest impact of all.  An impact is what a word that is asked for once adds to the score.
+them; rows lie sorted by term, and bounds are read without their postings.  ``terms`` (term, df, idf, most) holds the
+largest impact of all.  An impact, times idf, is what a word that is asked for once adds to the score.
 
 A batch of queries is answered in four steps, all joins on keys:
 
@@ -51,16 +51,20 @@ class BlockedIndex:
 
     @classmethod
     def build(cls, index: LexicalIndex, docs_per_block: int = DOCS, k1: float = DEFAULTS.bm25_k1, b: float = DEFAULTS.bm25_b) -> BlockedIndex:
-        ranked = global_ranks(index.docs.where("dl > 0"), "dl", "doc_id").select("doc_id", "dl", F.floor(F.col("rank") / docs_per_block).alias("block"))
+        ranked = global_ranks(index.docs.where("dl > 0"), "dl", "doc_id").select("doc_id", F.floor(F.col("rank") / docs_per_block).alias("block"))
         norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
-        impact = F.col("idf") * F.col("tf") * (k1 + 1.0) / (F.col("tf") + norm)
-        weighted = index.postings.join(ranked, "doc_id").join(index.terms, "term").crossJoin(F.broadcast(index.stats)).select("term", "block", "doc_id", impact.alias("impact"))
+        impact = F.col("tf") * (k1 + 1.0) / (F.col("tf") + norm)
+        # documents meet their blocks whole; their words move once, to where they are gathered and lie sorted
+        placed = index.words.join(ranked, "doc_id").crossJoin(F.broadcast(index.stats)).select("doc_id", "block", "dl", "avgdl", F.inline(F.arrays_zip("terms", "tfs")).alias("term", "tf"))
+        weighted = placed.select("term", "block", "doc_id", impact.alias("impact")).repartitionByRange("term", "block")
         held = F.collect_list(F.struct("doc_id", "impact"))
-        blocks = written(weighted.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("impact").alias("most"), held.alias("postings")), "blocks")
-        return cls(blocks, blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("most").alias("most")))
+        gathered = weighted.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("impact").alias("most"), held.alias("postings"))
+        blocks = written(gathered.sortWithinPartitions("term", "block"), "blocks")
+        counts = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("most").alias("most"))
+        return cls(blocks, counts.join(index.terms.select("term", "idf"), "term"))
 
     def save(self, folder: str, mode: str = "overwrite") -> None:
-        self.blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode(mode).parquet(f"{folder}/blocks")
+        self.blocks.sortWithinPartitions("term", "block").write.mode(mode).parquet(f"{folder}/blocks")
         self.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{folder}/block-terms")
 
     @classmethod
@@ -72,9 +76,10 @@ class BlockedIndex:
         return wanted.join(self.blocks.select("term", "block", "postings"), ["term", "block"]).select(*wanted.columns, F.inline("postings"))
 
     def _asked(self, queries: DataFrame) -> DataFrame:
-        """(query_id, term, qtf, pos, df, most) of the words that the index knows; ``early`` says which are scored first."""
+        """(query_id, term, qtf, pos, df, most) of the words that the index knows, qtf times idf; ``early`` says which are scored first."""
         words = queries.select("query_id", F.posexplode(fx.tokens(F.col("query"))).alias("pos", "term"))
         known = words.groupBy("query_id", "term").agg(F.count("*").alias("qtf"), F.min("pos").alias("pos")).join(self.terms, "term")
+        known = known.withColumn("qtf", F.col("qtf") * F.col("idf")).drop("idf")
         own, rare = Window.partitionBy("query_id"), Window.partitionBy("query_id").orderBy("df", "term")
         early = (F.sum("df").over(rare) <= FIRST_SHARE * F.sum("df").over(own)) | (F.row_number().over(rare) == 1)
         return written(known.withColumn("early", early), "asked")

@@ -64,3 +64,15 @@ def test_no_postings_meet_all_queries(spark):
     sf = f"{DATA}/sf0.001"
     plan = blocked_index(spark, sf).top(questions(spark, sf))._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and documents(spark, sf).count() == 200
+
+
+def test_words_move_once_into_their_blocks(spark, monkeypatch):
+    from plumbline.operators import blocks
+
+    plans = []
+    real = blocks.written
+    monkeypatch.setattr(blocks, "written", lambda df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), real(df, name))[1])
+    docs = spark.createDataFrame([(i, f"a b{i} c") for i in range(20)], "doc_id long, text string")
+    BlockedIndex.build(LexicalIndex.build(docs))
+    above = dict(plans)["blocks"].split("Generate")[0]
+    assert above.count("Exchange ") == 1 and "rangepartitioning(term" in above
