@@ -11,6 +11,7 @@ from ..config import DEFAULTS, LANDMARK_VOLUMES, SCORING_STOP_WORDS, TIERS, Engi
 from ..functions import fuzzy
 from ..functions import text as fx
 from ..models import cosine
+from ..storage import written
 
 
 Search = Callable[[DataFrame], DataFrame]
@@ -39,14 +40,16 @@ def reporter_matches(cites: DataFrame, catalog: DataFrame) -> DataFrame:
     Entries meet a cite by its rarest three letters, so a word that many names share joins nothing; a cite of
     fewer letters meets them by a word of its name.
     """
-    asked = cites.where("cite <> ''").select("cite", "case_name", fx.long_words(F.col("case_name"), SCORING_STOP_WORDS).alias("words")).distinct()
+    asked = written(cites.where("cite <> ''").select("cite", "case_name", fx.long_words(F.col("case_name"), SCORING_STOP_WORDS).alias("words")).distinct(), "cites")
     entries = catalog.select("name").distinct().withColumn("entry_words", fx.long_words(F.col("name"), SCORING_STOP_WORDS))
 
     def letters(text: Column) -> Column:
         low = F.lower(text)
         return F.when(F.length(low) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substr(low, i, F.lit(3)))))
 
-    held = entries.select("name", "entry_words", F.explode(letters(F.col("name"))).alias("key"))
+    # letters that no cite has are of no use
+    wanted = asked.select(F.explode(letters(F.col("cite"))).alias("key")).distinct()
+    held = entries.select("name", "entry_words", F.explode(letters(F.col("name"))).alias("key")).join(wanted, "key", "left_semi")
     counts = held.groupBy("key").agg(F.count("*").alias("df"))
     keyed = asked.select("cite", F.explode(letters(F.col("cite"))).alias("key")).distinct().join(counts, "key", "left")
     rarest = keyed.groupBy("cite").agg(F.min_by("key", F.struct(F.coalesce("df", F.lit(0)), "key")).alias("key"))
@@ -150,14 +153,15 @@ def opinions(citations: DataFrame, evidence: DataFrame, search: Search | None =
     the first ``most`` hits those whose name means the same authority are taken.
     """
     order = "doc_id" if "doc_id" in evidence.columns else "text"
-    named = evidence.select(fx.name_key(F.col("case_name")).alias("_key"), F.col(order).alias("_order"), "text").where("_key <> ''")
+    asked = written(citations.select("citation_id", "case_name", fx.name_key(F.col("case_name")).alias("_key")), "cited")
+    # texts that nobody cites stay where they are
+    named = evidence.select(fx.name_key(F.col("case_name")).alias("_key"), F.col(order).alias("_order"), "text").where("_key <> ''").join(asked.select("_key").distinct(), "_key", "left_semi")
     rank = F.row_number().over(Window.partitionBy("_key").orderBy("_order"))
     first = named.withColumn("_n", rank).where(F.col("_n") <= most)
-    asked = citations.select("citation_id", "case_name", fx.name_key(F.col("case_name")).alias("_key"))
     exact = asked.join(first, "_key").select("citation_id", "text")
     if search is None:
         return exact
-    rest = asked.join(named.select("_key").distinct(), "_key", "left_anti").where("_key <> ''")
+    rest = written(asked.join(named.select("_key").distinct(), "_key", "left_anti").where("_key <> ''"), "not-named")
     names = rest.select("_key").distinct().withColumn("query_id", F.xxhash64("_key"))
     hits = search(names.select("query_id", F.col("_key").alias("query"))).where(F.col("rank") <= most)
     near = hits.join(names, "query_id").join(evidence.select("doc_id", "case_name", "text"), "doc_id").where(same_authority(F.col("_key"), F.col("case_name"), config)).select("_key", "text")
