@@ -52,6 +52,8 @@ NOISE, CLASS_NOISE = 32, 64
 #: Texts the start on the driver is made from, and how much of each.
 START_TEXTS, START_BYTES = 1000, 16 << 10
 MINIBATCH = 4096
+#: Tokens of a class that are multiplied at once.
+GROUP = 24
 #: Tokens scored at once.
 CHUNK = 2048
 RATE = 0.1
@@ -101,7 +103,10 @@ class Lexicon:
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+    y = np.clip(-x, -30, 30)
+    np.exp(y, out=y)
+    y += 1.0
+    return np.divide(1.0, y, out=y)
 
 
 def log_sum(s: np.ndarray) -> np.ndarray:
@@ -119,6 +124,18 @@ def runs(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, dtype=np.int64)
 
 
+def summed(rows: np.ndarray, columns: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of some rows of a table of ``size`` in order, and the sums of what ``columns``, a line each, say of them."""
+    at = np.flatnonzero(np.bincount(rows, minlength=size))
+    number = np.empty(size, dtype=np.int64)
+    number[at] = np.arange(len(at))
+    own = number[rows]
+    sums = np.empty((len(at), len(columns)), dtype=np.float32)
+    for i, column in enumerate(columns):
+        sums[:, i] = np.bincount(own, column, len(at))
+    return at, sums
+
+
 class LogBilinear:
     """Parameters of the model over units in the order of falling counts, and how to train them.
 
@@ -146,6 +163,7 @@ class LogBilinear:
         self.classes = np.column_stack([rng.normal(0, 0.1, (len(mass), d)), np.log(self.chance)]).astype(np.float32)
         self.matrices = np.concatenate([np.eye(d) / (j + 1) for j in range(CONTEXT)]).astype(np.float32)
         self.squares = {name: np.full(getattr(self, name).shape, 1e-4, dtype=np.float32) for name in self.NAMES}
+        self.noise: dict[str, np.ndarray] = {}
 
     def line(self, units: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of all tokens of some texts, an end after each, and those of the CONTEXT tokens before each."""
@@ -156,8 +174,11 @@ class LogBilinear:
         return (np.concatenate(texts), np.concatenate(before)) if texts else (np.zeros(0, dtype=np.int64), np.zeros((0, CONTEXT), dtype=np.int64))
 
     def hidden(self, before: np.ndarray) -> np.ndarray:
-        d = DIMENSION
-        return sum(self.context[before[:, j]] @ self.matrices[j * d : (j + 1) * d] for j in range(CONTEXT))
+        return self.read(before) @ self.matrices
+
+    def read(self, before: np.ndarray) -> np.ndarray:
+        """The vectors of the tokens before each, side by side."""
+        return self.context.take(before.ravel(), axis=0).reshape(len(before), -1)
 
     def log_probs(self, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Natural logarithms of the normalised probabilities."""
@@ -169,11 +190,11 @@ class LogBilinear:
         out = np.empty(n)
         for a in range(0, n, CHUNK):  # products that stay in a core's cache
             s = h[a : a + CHUNK] @ self.classes.T
-            mine = s[np.arange(len(s)), c[a : a + CHUNK]]
+            mine = s.ravel().take(np.arange(len(s)) * s.shape[1] + c[a : a + CHUNK])
             out[a : a + CHUNK] = mine - log_sum(s)
-        order = np.argsort(c, kind="stable")
-        ordered, own = h[order], tokens[order]
-        starts = runs(c[order])
+        order = np.argsort(tokens.astype(np.uint16) if self.size < 1 << 16 else tokens, kind="stable")
+        ordered, own = h.take(order, axis=0), tokens[order]
+        starts = runs(self.class_of[own])
         inside = np.empty(n)
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True):
             first = int(self.class_of[own[a]]) * self.width
@@ -181,60 +202,72 @@ class LogBilinear:
             for i in range(a, b, CHUNK):
                 j = min(i + CHUNK, b)
                 s = ordered[i:j] @ rows
-                mine = s[np.arange(j - i), own[i:j] - first]
+                mine = s.ravel().take(np.arange(j - i) * s.shape[1] + own[i:j] - first)
                 inside[i:j] = mine - log_sum(s)
         out[order] += inside
         return out
 
-    def _move(self, name: str, rows: np.ndarray, slope: np.ndarray) -> None:
-        """A step of the rows of a parameter, those that occur several times by the sum of their slopes."""
-        order = np.argsort(rows.astype(np.uint16) if self.size < 1 << 16 else rows, kind="stable")
-        ordered = rows[order]
-        starts = runs(ordered)
-        g, at = np.add.reduceat(slope[order], starts, axis=0), ordered[starts]
-        squares = self.squares[name]
-        squares[at] += g * g
-        getattr(self, name)[at] += RATE * g / np.sqrt(squares[at])
+    def _move(self, name: str, at: np.ndarray, g: np.ndarray) -> None:
+        """A step of the distinct rows ``at`` of a parameter by their slopes."""
+        table, squares = getattr(self, name), self.squares[name]
+        moved = squares.take(at, axis=0) + g * g
+        squares[at] = moved
+        table[at] = table.take(at, axis=0) + RATE * g / np.sqrt(moved)
+
+    def drawing(self) -> dict[str, np.ndarray]:
+        """What the noise is drawn by and weighed with; it stays while the parameters move."""
+        if not self.noise:
+            firsts = np.arange(len(self.chance)) * self.width
+            low, high = self.sums[firsts], self.sums[np.minimum(firsts + self.width, self.size)]
+            share = np.log(NOISE * self.weights / (high - low)[self.class_of]).astype(np.float32)
+            self.noise = {"low": low, "room": high - low, "share": share, "shift": np.log(CLASS_NOISE * self.chance).astype(np.float32), "upto": np.cumsum(self.chance) / np.cumsum(self.chance)[-1]}
+        return self.noise
 
     def step(self, tokens: np.ndarray, before: np.ndarray, rng: np.random.Generator) -> None:
-        n, d = len(tokens), DIMENSION
-        read = [self.context[before[:, j]] for j in range(CONTEXT)]
-        h = sum(r @ self.matrices[j * d : (j + 1) * d] for j, r in enumerate(read))
-        one = np.ones((n, 1), dtype=np.float32)
-        h1 = np.concatenate([h, one], axis=1)
+        n, d, drawing = len(tokens), DIMENSION, self.drawing()
+        # a step is a sum over its tokens: those of a class, and equal ones, may stand together
+        order = np.argsort(tokens.astype(np.uint16) if self.size < 1 << 16 else tokens, kind="stable")
+        tokens, before = tokens[order], before.take(order, axis=0)
+        read = self.read(before)
+        h1 = np.ones((n, d + 1), dtype=np.float32)
+        np.matmul(read, self.matrices, out=h1[:, :d])
         # classes: noise drawn once for all tokens of the step
         c = self.class_of[tokens]
-        noise, times = np.unique(rng.choice(len(self.chance), CLASS_NOISE, p=self.chance), return_counts=True)
-        shift = np.log(CLASS_NOISE * self.chance).astype(np.float32)
-        hit = 1.0 - logistic((h1 * self.classes[c]).sum(axis=1) - shift[c])
-        miss = -logistic(h1 @ self.classes[noise].T - shift[noise]) * times.astype(np.float32)
-        slope = hit[:, None] * self.classes[c, :-1] + miss @ self.classes[noise, :-1]
-        class_rows, class_slopes = np.concatenate([c, noise]), np.concatenate([hit[:, None] * h1, miss.T @ h1])
+        times = np.bincount(drawing["upto"].searchsorted(rng.random(CLASS_NOISE), side="right"), minlength=len(self.chance))
+        noise = np.flatnonzero(times)
+        shift, mine = drawing["shift"], self.classes.take(c, axis=0)
+        hit = logistic(shift[c] - np.einsum("ij,ij->i", h1, mine))
+        miss = logistic(h1 @ self.classes[noise].T - shift[noise]) * -times[noise].astype(np.float32)
+        slope = hit[:, None] * mine[:, :-1] + miss @ self.classes[noise, :-1]
+        starts = runs(c)
+        here, many = c[starts], np.diff(starts, append=n)
+        class_slopes = np.zeros_like(self.classes)
+        class_slopes[here] = np.add.reduceat(hit[:, None] * h1, starts, axis=0)
+        class_slopes[noise] += miss.T @ h1
         # units: noise drawn once for all tokens of a class
-        q = self.unit[tokens]
-        low, high = self.sums[np.arange(len(self.chance)) * self.width], self.sums[np.minimum(np.arange(1, len(self.chance) + 1) * self.width, self.size)]
-        share = np.log(NOISE * self.weights / (high - low)[self.class_of]).astype(np.float32)
-        hit = 1.0 - logistic((h1 * q).sum(axis=1) - share[tokens])
+        share, q = drawing["share"], self.unit.take(tokens, axis=0)
+        hit = logistic(share[tokens] - np.einsum("ij,ij->i", h1, q))
         slope += hit[:, None] * q[:, :-1]
-        order = np.argsort(c.astype(np.uint16), kind="stable")
-        starts = runs(c[order])
-        here = c[order][starts]
-        drawn = np.searchsorted(self.sums, low[here, None] + rng.random((len(here), NOISE)) * (high - low)[here, None], side="right") - 1
+        drawn = np.searchsorted(self.sums, drawing["low"][here, None] + np.sort(rng.random((len(here), NOISE)), axis=1) * drawing["room"][here, None], side="right") - 1
         drawn = np.clip(drawn, (here * self.width)[:, None], np.minimum((here + 1) * self.width, self.size)[:, None] - 1)
-        rows, bars = self.unit[drawn], share[drawn]
-        ordered, away, pushed = h1[order], np.empty((n, d), dtype=np.float32), np.empty(rows.shape, dtype=np.float32)
-        for k, (x, y) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True)):
-            own = rows[k]
-            g = -logistic(ordered[x:y] @ own.T - bars[k])
-            away[x:y] = g @ own[:, :-1]
-            pushed[k] = g.T @ ordered[x:y]
-        slope[order] += away
-        self._move("unit", np.concatenate([tokens, drawn.ravel()]), np.concatenate([hit[:, None] * h1, pushed.reshape(-1, d + 1)]).astype(np.float32))
-        self._move("classes", class_rows, class_slopes.astype(np.float32))
-        slope = slope.astype(np.float32)
-        back = [slope @ self.matrices[j * d : (j + 1) * d].T for j in range(CONTEXT)]
-        self._move("matrices", np.arange(CONTEXT * d), np.concatenate([r.T @ slope for r in read]))
-        self._move("context", before.T.ravel(), np.concatenate(back))
+        # tokens of a class meet its noise GROUP at a time; places that no token takes read zeros
+        groups = -(-many // GROUP)
+        kind, firsts = np.repeat(np.arange(len(here)), groups), np.cumsum(groups) - groups
+        spot = np.arange(n) - np.repeat(starts - firsts * GROUP, many)
+        tokens_at = np.zeros((len(kind) * GROUP, d + 1), dtype=np.float32)
+        tokens_at[spot] = h1
+        tokens_at = tokens_at.reshape(-1, GROUP, d + 1)
+        own = self.unit.take(drawn[kind], axis=0)
+        away = tokens_at @ own.transpose(0, 2, 1)
+        away -= share[drawn][kind, None]
+        away = -logistic(away)
+        slope += (away @ own[:, :, :-1]).reshape(-1, d).take(spot, axis=0)
+        pushed = np.add.reduceat(away.transpose(0, 2, 1) @ tokens_at, firsts, axis=0)
+        self._move("unit", *summed(np.concatenate([tokens, drawn.ravel()]), np.concatenate([h1.T * hit, pushed.reshape(-1, d + 1).T], axis=1), self.size))
+        self._move("classes", np.arange(len(self.classes)), class_slopes)
+        back = (self.matrices @ slope.T).reshape(CONTEXT, d, n).transpose(1, 0, 2).reshape(d, -1)
+        self._move("matrices", np.arange(CONTEXT * d), read.T @ slope)
+        self._move("context", *summed(before.T.ravel(), back, self.size))
 
     def learn(self, units: list[np.ndarray], end: int, rng: np.random.Generator) -> np.ndarray:
         """Steps over all tokens of some texts in a drawn order; the tokens' places and those read for them."""
@@ -323,7 +356,7 @@ def train(learn: DataFrame, lexicon: Lexicon, shared, counts: np.ndarray) -> Log
         table, mine = getattr(model, name), names == k
         # digits that the order of addition cannot reach
         table[rows[mine]] = np.round(values[mine][:, : table.shape[1]], 6)
-    model.squares = {}
+    model.squares, model.noise = {}, {}
     return model
 
 
@@ -407,23 +440,26 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, fitted: Fitted
             for part in slices(batch, 2, 256 << 10):
                 split = [words_of(t) for t in byte_values(part.column(2))]
                 sizes = np.array([len(w) for w in split], dtype=np.int64)
-                head, units = known.classify(list(chain.from_iterable(split)))
+                words = list(chain.from_iterable(split))
+                head, units = known.classify(words)
                 cuts = np.cumsum(sizes)
-                heads, lines = np.split(head, cuts[:-1]), np.split(units, cuts[:-1])
-                tokens, before = model.line(lines, end)
+                tokens, before = model.line(np.split(units, cuts[:-1]), end)
                 # very long texts, too, go through the products a piece at a time
                 logs = np.concatenate([model.log_probs(tokens[i : i + 32768], before[i : i + 32768]) for i in range(0, len(tokens), 32768)]) / math.log(10)
-                sums = np.add.reduceat(logs, np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]))
-                rows = []
-                for words, h, line, total in zip(split, heads, lines, sums.tolist(), strict=True):
-                    in_tail = line[line >= single] - single
-                    inside = h[h >= 0]
-                    own = known.log_counts[inside] if len(inside) else np.zeros(0)
-                    base = float(own.sum()) + math.log10(ends + SMOOTHING)
-                    total += float(own[inside >= single].sum()) - float(within[in_tail].sum())
-                    others = Counter(words[i] for i in np.flatnonzero(h < 0))
-                    rows.append((len(words) + 1, len(inside) + (ends > 0), base - (len(words) + 1) * bottom, total, [{"token": w, "n": k} for w, k in others.items()]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))))]], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rest"])
+                totals = np.add.reduceat(logs, np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]))
+                # sums of what each word says, by text
+                texts, inside = np.repeat(np.arange(len(sizes)), sizes), head >= 0
+                own = np.where(inside, known.log_counts[head], 0.0) if known.words else np.zeros(len(head))
+                base = np.bincount(texts, own, len(sizes)) + math.log10(ends + SMOOTHING) - (sizes + 1) * bottom
+                shared_units = np.flatnonzero(units >= single)
+                totals += np.bincount(texts[shared_units], own[shared_units] - within[units[shared_units] - single], len(sizes))
+                outside = np.flatnonzero(~inside)
+                others = Counter(zip(texts[outside].tolist(), map(words.__getitem__, outside.tolist()), strict=True))  # in the order of texts
+                counted = np.fromiter((t for t, _ in others), dtype=np.int64, count=len(others))
+                rest = pa.StructArray.from_arrays([pa.array([w for _, w in others], pa.binary()), pa.array(list(others.values()), pa.int64())], names=["token", "n"])
+                rests = pa.ListArray.from_arrays(pa.array(np.searchsorted(counted, np.arange(len(sizes) + 1)).astype(np.int32)), rest)
+                n_known = np.bincount(texts[inside], minlength=len(sizes)) + (ends > 0)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes + 1), pa.array(n_known), pa.array(base), pa.array(totals), rests], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rest"])
 
     held = F.lit(False) if held_out is None else held_out
     source = docs.select("doc_id", held.alias("held_out"), F.col("text").cast("binary").alias("text"))
