@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -100,6 +101,8 @@ def hold(owner: str, key: object = None, make=None):
         del _held[k]
     if others:
         pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # the C library's own, where there is one
+            ctypes.CDLL(None).malloc_trim(0)
     if make is None:
         return None
     if (owner, key) not in _held:

@@ -22,7 +22,6 @@ empty result.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from collections.abc import Iterator
@@ -66,13 +65,12 @@ class ChunkEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        form = json.loads(self.whole.to_str()) | {"normalizer": None, "added_tokens": []}
-        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        self.latin = Tokenizer.from_str(json.dumps(form | {"pre_tokenizer": byte_level}))
-        self.ascii = Tokenizer.from_str(json.dumps(form | {"pre_tokenizer": None}))
+        # the same merges without normalising and added tokens; the three share one vocabulary
+        self.latin, self.ascii = Tokenizer(self.whole.model), Tokenizer(self.whole.model)
+        self.latin.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)
         self.ids: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.once: dict[bytes, bytes] = {}
@@ -445,7 +443,10 @@ def _placed(ranked: DataFrame, max_len: int) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # max_len rows at most
     # max_len rows at most, some ten thousand runs in all: their number depends on max_len, not on the corpus
     runs = make_plan(histogram, max_len).by_length()
-    plan = ranked.sparkSession.createDataFrame(runs, "_length long, _runs array<struct<rank:long,first:long,offset:long>>")
+    # as an Arrow table: a list of rows would start a second set of Python workers on the executors
+    run = pa.struct([("rank", pa.int64()), ("first", pa.int64()), ("offset", pa.int64())])
+    lines = pa.array([[dict(zip(run.names, line, strict=True)) for line in lines] for _, lines in runs], pa.list_(run))
+    plan = ranked.sparkSession.createDataFrame(pa.table({"_length": pa.array([n for n, _ in runs], pa.int64()), "_runs": lines}))
     before = Window.partitionBy("length").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     sums = counts.select(block, F.col("length").cast("bigint").alias("n"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("before"))
     marks = sums.groupBy(block).agg(F.map_from_entries(F.collect_list(F.struct("n", "before"))).alias("_marks"))
