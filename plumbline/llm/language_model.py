@@ -54,8 +54,8 @@ START_TEXTS, START_BYTES = 1000, 16 << 10
 MINIBATCH = 4096
 #: Tokens of a class that are multiplied at once.
 GROUP = 24
-#: Tokens scored at once.
-CHUNK = 2048
+#: Tokens scored at once, and those put in the order of classes before.
+CHUNK, PIECE = 2048, 1 << 17
 RATE = 0.1
 HEAD = 100_000
 #: Distinct words a counting task holds before it passes their counts on.
@@ -103,10 +103,15 @@ class Lexicon:
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
-    y = np.clip(-x, -30, 30)
-    np.exp(y, out=y)
-    y += 1.0
-    return np.divide(1.0, y, out=y)
+    return falling(-x)
+
+
+def falling(x: np.ndarray) -> np.ndarray:
+    """``logistic(-x)`` in the place of ``x``, which counts as 30 at most."""
+    np.minimum(x, 30, out=x)
+    np.exp(x, out=x)
+    x += 1.0
+    return np.divide(1.0, x, out=x)
 
 
 def log_sum(s: np.ndarray) -> np.ndarray:
@@ -119,6 +124,17 @@ def log_sum(s: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(s - top[:, None]).sum(axis=1))
 
 
+def log_share(h: np.ndarray, columns: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """By row of ``h`` the logarithm of what the exponential of its product with column ``own`` is of those with all columns."""
+    s = h @ columns
+    mine = s.ravel().take(np.arange(len(s)) * s.shape[1] + own)
+    with np.errstate(over="ignore", invalid="ignore"):
+        total = np.exp(s, out=s) @ np.ones(s.shape[1], dtype=np.float32)
+    if total.min(initial=1.0) > 1e-30 and total.max(initial=1.0) < 1e30:
+        return mine - np.log(total)
+    return mine - log_sum(h @ columns)
+
+
 def runs(ordered: np.ndarray) -> np.ndarray:
     """Where the runs of equal values of a sorted array begin."""
     return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, dtype=np.int64)
@@ -189,9 +205,7 @@ class LogBilinear:
         c = self.class_of[tokens]
         out = np.empty(n)
         for a in range(0, n, CHUNK):  # products that stay in a core's cache
-            s = h[a : a + CHUNK] @ self.classes.T
-            mine = s.ravel().take(np.arange(len(s)) * s.shape[1] + c[a : a + CHUNK])
-            out[a : a + CHUNK] = mine - log_sum(s)
+            out[a : a + CHUNK] = log_share(h[a : a + CHUNK], self.classes.T, c[a : a + CHUNK])
         order = np.argsort(tokens.astype(np.uint16) if self.size < 1 << 16 else tokens, kind="stable")
         ordered, own = h.take(order, axis=0), tokens[order]
         starts = runs(self.class_of[own])
@@ -201,18 +215,20 @@ class LogBilinear:
             rows = self.unit[first : first + self.width].T
             for i in range(a, b, CHUNK):
                 j = min(i + CHUNK, b)
-                s = ordered[i:j] @ rows
-                mine = s.ravel().take(np.arange(j - i) * s.shape[1] + own[i:j] - first)
-                inside[i:j] = mine - log_sum(s)
+                inside[i:j] = log_share(ordered[i:j], rows, own[i:j] - first)
         out[order] += inside
         return out
 
     def _move(self, name: str, at: np.ndarray, g: np.ndarray) -> None:
         """A step of the distinct rows ``at`` of a parameter by their slopes."""
         table, squares = getattr(self, name), self.squares[name]
-        moved = squares.take(at, axis=0) + g * g
+        moved = squares.take(at, axis=0)
+        moved += g * g
         squares[at] = moved
-        table[at] = table.take(at, axis=0) + RATE * g / np.sqrt(moved)
+        np.divide(g, np.sqrt(moved, out=moved), out=moved)
+        moved *= RATE
+        moved += table.take(at, axis=0)
+        table[at] = moved
 
     def drawing(self) -> dict[str, np.ndarray]:
         """What the noise is drawn by and weighed with; it stays while the parameters move."""
@@ -237,13 +253,17 @@ class LogBilinear:
         noise = np.flatnonzero(times)
         shift, mine = drawing["shift"], self.classes.take(c, axis=0)
         hit = logistic(shift[c] - np.einsum("ij,ij->i", h1, mine))
-        miss = logistic(h1 @ self.classes[noise].T - shift[noise]) * -times[noise].astype(np.float32)
-        slope = hit[:, None] * mine[:, :-1] + miss @ self.classes[noise, :-1]
+        # noise with its sign turned and its bias shifted, so that products are what ``falling`` takes
+        own, count = -self.classes[noise], times[noise].astype(np.float32)[:, None]
+        own[:, -1] += shift[noise]
+        miss = falling(h1 @ own.T)
+        slope = hit[:, None] * mine[:, :-1]
+        slope += miss @ (own[:, :-1] * count)
         starts = runs(c)
         here, many = c[starts], np.diff(starts, append=n)
         class_slopes = np.zeros_like(self.classes)
         class_slopes[here] = np.add.reduceat(hit[:, None] * h1, starts, axis=0)
-        class_slopes[noise] += miss.T @ h1
+        class_slopes[noise] -= miss.T @ h1 * count
         # units: noise drawn once for all tokens of a class
         share, q = drawing["share"], self.unit.take(tokens, axis=0)
         hit = logistic(share[tokens] - np.einsum("ij,ij->i", h1, q))
@@ -257,17 +277,21 @@ class LogBilinear:
         tokens_at = np.zeros((len(kind) * GROUP, d + 1), dtype=np.float32)
         tokens_at[spot] = h1
         tokens_at = tokens_at.reshape(-1, GROUP, d + 1)
-        own = self.unit.take(drawn[kind], axis=0)
-        away = tokens_at @ own.transpose(0, 2, 1)
-        away -= share[drawn][kind, None]
-        away = -logistic(away)
+        own = -self.unit.take(drawn, axis=0)
+        own[:, :, -1] += share[drawn]
+        own = own.take(kind, axis=0)
+        away = falling(tokens_at @ own.transpose(0, 2, 1))
         slope += (away @ own[:, :, :-1]).reshape(-1, d).take(spot, axis=0)
-        pushed = np.add.reduceat(away.transpose(0, 2, 1) @ tokens_at, firsts, axis=0)
-        self._move("unit", *summed(np.concatenate([tokens, drawn.ravel()]), np.concatenate([h1.T * hit, pushed.reshape(-1, d + 1).T], axis=1), self.size))
+        pushed = away.transpose(0, 2, 1) @ tokens_at
+        pulls = np.empty((d + 1, n + len(kind) * NOISE))
+        np.multiply(h1.T, hit, out=pulls[:, :n])
+        np.negative(pushed.reshape(-1, d + 1).T, out=pulls[:, n:])
+        self._move("unit", *summed(np.concatenate([tokens, drawn[kind].ravel()]), pulls, self.size))
         self._move("classes", np.arange(len(self.classes)), class_slopes)
-        back = (self.matrices @ slope.T).reshape(CONTEXT, d, n).transpose(1, 0, 2).reshape(d, -1)
+        back = np.empty((d, CONTEXT, n))
+        back[...] = (self.matrices @ slope.T).reshape(CONTEXT, d, n).transpose(1, 0, 2)
         self._move("matrices", np.arange(CONTEXT * d), read.T @ slope)
-        self._move("context", *summed(before.T.ravel(), back, self.size))
+        self._move("context", *summed(before.T.ravel(), back.reshape(d, -1), self.size))
 
     def learn(self, units: list[np.ndarray], end: int, rng: np.random.Generator) -> np.ndarray:
         """Steps over all tokens of some texts in a drawn order; the tokens' places and those read for them."""
@@ -437,7 +461,7 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, fitted: Fitted
         hold("language_model")
         known, model = shared.value.prepare(), table.value
         for batch in batches:
-            for part in slices(batch, 2, 256 << 10):
+            for part in slices(batch, 2, 1 << 20):
                 split = [words_of(t) for t in byte_values(part.column(2))]
                 sizes = np.array([len(w) for w in split], dtype=np.int64)
                 words = list(chain.from_iterable(split))
@@ -445,7 +469,7 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, fitted: Fitted
                 cuts = np.cumsum(sizes)
                 tokens, before = model.line(np.split(units, cuts[:-1]), end)
                 # very long texts, too, go through the products a piece at a time
-                logs = np.concatenate([model.log_probs(tokens[i : i + 32768], before[i : i + 32768]) for i in range(0, len(tokens), 32768)]) / math.log(10)
+                logs = np.concatenate([model.log_probs(tokens[i : i + PIECE], before[i : i + PIECE]) for i in range(0, len(tokens), PIECE)]) / math.log(10)
                 totals = np.add.reduceat(logs, np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]))
                 # sums of what each word says, by text
                 texts, inside = np.repeat(np.arange(len(sizes)), sizes), head >= 0

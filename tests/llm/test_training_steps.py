@@ -52,3 +52,31 @@ def test_a_step_sums_over_its_tokens():
             slopes["matrices"][j * d : (j + 1) * d] += np.outer(plain["context"][x], away)
     for name, g in slopes.items():
         assert np.allclose(getattr(model, name), plain[name] + lm.RATE * g / np.sqrt(1e-4 + g * g), atol=2e-3), name
+
+
+def test_noise_is_summed_once(monkeypatch):
+    """Slopes of noise units go to the sums of rows group by group: no sums by class before (``reduceat`` of three axes takes longest of all)."""
+    model, tokens, before = made()
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        class add:
+            @staticmethod
+            def reduceat(x, *a, **k):
+                assert x.ndim < 3
+                return np.add.reduceat(x, *a, **k)
+
+    monkeypatch.setattr(lm, "np", Watched())
+    model.step(tokens, before, np.random.default_rng(1))
+
+
+def test_shares_of_large_products():
+    """An exponential that overflows, or all that vanish, do not spoil the logarithms."""
+    h, columns = np.array([[200.0], [1.0], [-300.0]], dtype=np.float32), np.array([[1.0, 0.5]], dtype=np.float32)
+    found = lm.log_share(h, columns, np.array([0, 1, 1]))
+    s = h.astype(float) @ columns.astype(float)
+    plain = s - s.max(axis=1, keepdims=True)
+    plain = plain - np.log(np.exp(plain).sum(axis=1, keepdims=True))
+    assert np.allclose(found, plain[[0, 1, 2], [0, 1, 1]], atol=1e-5)
