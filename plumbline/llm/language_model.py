@@ -129,7 +129,7 @@ def log_share(h: np.ndarray, columns: np.ndarray, own: np.ndarray) -> np.ndarray
     s = h @ columns
     mine = s.ravel().take(np.arange(len(s)) * s.shape[1] + own)
     with np.errstate(over="ignore", invalid="ignore"):
-        total = np.exp(s, out=s) @ np.ones(s.shape[1], dtype=np.float32)
+        total = np.exp(s, out=s).sum(axis=1)  # equal rows get equal sums wherever they stand
     if total.min(initial=1.0) > 1e-30 and total.max(initial=1.0) < 1e30:
         return mine - np.log(total)
     return mine - log_sum(h @ columns)
