@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -23,8 +23,10 @@ class EngineConfig:
     support_uncertain: float = 0.40
     window_chars: int = 450
     window_step: int = 350
-    window_reach: int = 1800
+    window_reach: int | None = None
     support_chars: int = 500
+    support_step: int = 350
+    support_reach: int | None = None
     max_rounds: int = 2
     avg_weak: float = 0.60
     min_weak: float = 0.40
@@ -43,6 +45,9 @@ class EngineConfig:
 
 DEFAULTS = EngineConfig()
 
+#: Windows of the beginnings of texts alone, over which support_windows and support_tiers are stated; reviews read all of a text.
+BEGINNINGS = replace(DEFAULTS, window_reach=1800, support_step=500, support_reach=500)
+
 TIERS = ("SUPPORTED", "UNCERTAIN", "MISATTRIBUTED", "FABRICATED", "UNVERIFIABLE")
 RISKY_TIERS = ("FABRICATED", "MISATTRIBUTED", "UNVERIFIABLE", "LIKELY_FAKE")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULTS
+from ..config import BEGINNINGS, DEFAULTS
 from ..functions import text as fx
 
 
@@ -33,9 +33,15 @@ def chunk_documents(docs: DataFrame, chunk_words: int = DEFAULTS.chunk_words, ov
     return cut.withColumns({"parent_doc_id": parent, "chunk_id": chunk_id})
 
 
-def character_windows(docs: DataFrame, width: int = DEFAULTS.window_chars, step: int = DEFAULTS.window_step, reach: int | None = DEFAULTS.window_reach) -> DataFrame:
-    """A row per window of ``text``: window_no, start and window.  ``reach``: windows start before it; None: all of the text."""
-    size = F.length("text") if reach is None else F.least(F.length("text"), F.lit(reach))
-    starts = F.when(size > 0, F.sequence(F.lit(0), size - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    end = size
-    return docs.select("*", F.posexplode(starts).alias("window_no", "start")).withColumn("window", F.substr("text", F.col("start") + 1, F.least(F.lit(width), end - F.col("start"))))
+def character_windows(docs: DataFrame, width: int = DEFAULTS.window_chars, step: int = DEFAULTS.window_step, reach: int | None = BEGINNINGS.window_reach) -> DataFrame:
+    """A row per window of ``text``: window_no, start and window.  ``reach``: windows start and end before it; None: all of the text.
+
+    A text is cut into pieces of ``step`` characters once and windows are put together of them, so the work grows with its length.
+    """
+    text = F.col("text") if reach is None else F.substring("text", 1, reach)
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    met = -(-width // step)
+    # an array of the one list of pieces, so that it is made once and not for each window
+    windows = F.flatten(F.transform(F.array(pieces), lambda p: F.transform(p, lambda _, i: F.substring(F.array_join(F.slice(p, i + 1, met), ""), 1, width))))
+    cut = docs.select("*", F.posexplode(windows).alias("window_no", "window"))
+    return cut.select(*docs.columns, "window_no", (F.col("window_no") * step).alias("start"), "window")

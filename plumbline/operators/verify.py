@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULTS, LANDMARK_VOLUMES, SCORING_STOP_WORDS, TIERS, EngineConfig
+from ..config import BEGINNINGS, DEFAULTS, LANDMARK_VOLUMES, SCORING_STOP_WORDS, TIERS, EngineConfig
 from ..functions import fuzzy
 from ..functions import text as fx
 from ..models import cosine
@@ -168,19 +168,23 @@ def opinions(citations: DataFrame, evidence: DataFrame, search: Search | None =
     return exact.unionByName(rest.join(near, "_key").select("citation_id", "text"))
 
 
-def tiered_support(claims: DataFrame, texts: DataFrame, scorer: Callable[[Column, Column], Column] | None, embed: Callable[[Column], Column] | None = None, config: EngineConfig = DEFAULTS) -> DataFrame:
+def tiered_support(claims: DataFrame, texts: DataFrame, scorer: Callable[[Column, Column], Column] | None, embed: Callable[[Column], Column] | None = None, config: EngineConfig = BEGINNINGS) -> DataFrame:
     """(citation_id, support, window, evidence) of claims (citation_id, holding) by the texts (citation_id, text) of what they cite.
 
     With a ``scorer`` of (claim, window) the best window of each claim decides, the first of equal ones; without one the
-    cosine of claim and text's first ``support_chars`` by ``embed``, from 0 to 1; without either support is 0, for then
-    nothing speaks for a claim.  Equal pairs are scored once.  Claims without a text are not in the result.
+    best cosine of the claim and a window of ``support_chars`` by ``embed``, from 0 to 1; without either support is 0, for then
+    nothing speaks for a claim.  Windows go as far as ``config`` says: to the end of the text in ``DEFAULTS``, which reviews use.
+    Equal pairs are scored once.  Claims without a text are not in the result.
     """
     from .chunking import character_windows
 
+    # windows carry what is shown of their text, not the text
+    shown = fx.snippet(F.col("text")).alias("evidence")
     if scorer is not None:
-        windows = character_windows(texts, config.window_chars, config.window_step, config.window_reach).select("citation_id", "text", "window")
+        windows = character_windows(texts.select("citation_id", shown, "text"), config.window_chars, config.window_step, config.window_reach)
     else:
-        windows = texts.where(fx.stripped("text") != "").select("citation_id", "text", F.substring("text", 1, config.support_chars).alias("window"))
+        windows = character_windows(texts.where(fx.stripped("text") != "").select("citation_id", shown, "text"), config.support_chars, config.support_step, config.support_reach)
+    windows = windows.select("citation_id", "evidence", "window")
     matched = windows.join(claims.select("citation_id", "holding"), "citation_id")
     pairs = matched.select("holding", "window").distinct()
     if scorer is not None:
@@ -191,7 +195,7 @@ def tiered_support(claims: DataFrame, texts: DataFrame, scorer: Callable[[Column
         score = F.lit(0.0)
     scored = matched.join(pairs.withColumn("support", score), ["holding", "window"])
     best = F.min_by(F.struct("support", "window"), F.struct(-F.coalesce("support", F.lit(-1.0)), F.col("window")))
-    return scored.groupBy("citation_id").agg(best.alias("_b"), F.min(fx.snippet(F.col("text"))).alias("evidence")).select("citation_id", "_b.support", "_b.window", "evidence")
+    return scored.groupBy("citation_id").agg(best.alias("_b"), F.min("evidence").alias("evidence")).select("citation_id", "_b.support", "_b.window", "evidence")
 
 
 def score_citations(citations: DataFrame, catalog: DataFrame, evidence: DataFrame, config: EngineConfig = DEFAULTS, volumes: Iterable[str] = LANDMARK_VOLUMES, support: Callable[[Column, Column], Column] | None = overlap_support, search: Search | None = None, embed: Callable[[Column], Column] | None = None) -> DataFrame:
