@@ -196,15 +196,15 @@ def support_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("support_max_stub", f"""WITH {BM25_SQL},
-    p AS (SELECT query_id, l.doc_id, list_distinct({TOKENS.format('b.text')}) AS q, d.text, least(length(d.text), 1800) AS n
+    p AS (SELECT query_id, l.doc_id, list_distinct({TOKENS.format('b.text')}) AS q, d.text, length(d.text) AS n
           FROM lex l JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id WHERE rank <= 4 AND score > 0),
     w AS (SELECT *, unnest(range(0, n, 350)) AS start FROM p WHERE n > 0),
     s AS (SELECT query_id, doc_id, len(list_intersect(q, {TOKENS.format('substring(text, start + 1, least(450, n - start))')})) / len(q) AS share FROM w)
     SELECT query_id AS item_id, doc_id, round(max(share), 6) AS support FROM s GROUP BY ALL""")
 def support_max_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best window of each top hit, by the stand-in for an entailment model."""
+    """The best window of each top hit, of all its text, by the stand-in for an entailment model."""
     hits = lexical_top(spark, sf_dir).join(documents(spark, sf_dir), "doc_id").join(questions(spark, sf_dir), "query_id")
-    windows = chunking.character_windows(hits.select("query_id", "doc_id", "query", "text"))
+    windows = chunking.character_windows(hits.select("query_id", "doc_id", "query", "text"), reach=None)
     best = windows.groupBy("query_id", "doc_id").agg(F.round(F.max(verify.overlap_support(F.col("query"), F.col("window"))), 6).alias("support"))
     return best.select(F.col("query_id").alias("item_id"), "doc_id", "support")
 

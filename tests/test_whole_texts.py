@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from plumbline.config import DEFAULTS
 from plumbline.models import embedded, hashed_embedder
 from plumbline.operators import chunking, verify
+from plumbline.plans import registry
+from tests.conftest import plain
 
 FAR = "filler words\n" * 400 + "the accused must be told of the right to silence"
 
@@ -30,3 +32,10 @@ def test_reviews_find_support_at_the_end_of_a_text(spark):
     ]
     assert by_vectors[0] > 3 * by_vectors[1]
     assert DEFAULTS.window_reach is None and DEFAULTS.support_reach is None
+
+
+def test_support_max_stub_reads_whole_hits(spark, tmp_path):
+    spark.createDataFrame([(1, FAR, "en", "s"), (2, "silence", "en", "s"), (3, None, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, "accused told silence")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {(r["item_id"], r["doc_id"]): r["support"] for r in registry.queries()["support_max_stub"](spark, str(tmp_path)).collect()}
+    assert found == {(5, 1): 1.0, (5, 2): plain(round(1 / 3, 6))}
