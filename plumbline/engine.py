@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from .models import Embedder, embedded, hashed_embedder
 from .operators import catalog as catalogs
 from .operators import dense, fusion
 from .operators.lexical import LexicalIndex
+from .storage import written
 
 PARTS = ("texts", "vectors", "catalog")
 
@@ -71,3 +72,21 @@ class Engine:
         ids = chosen.select("doc_id")
         vectors = self.vectors.join(ids.withColumnRenamed("doc_id", "vec_id"), "vec_id", "left_semi")
         return Engine(chosen, LexicalIndex.build(chosen), vectors, self.catalog, self.embedder)
+
+
+@dataclass(frozen=True)
+class SharedSearch(Engine):
+    """An engine for batches in which many queries are equal: each distinct one is searched for once."""
+
+    @classmethod
+    def of(cls, engine: Engine) -> SharedSearch:
+        return cls(*[getattr(engine, f.name) for f in fields(Engine)])
+
+    def search(self, queries: DataFrame, config: EngineConfig = DEFAULTS) -> DataFrame:
+        texts = [c for c in ("query", "dense_query") if c in queries.columns]
+        asked = written(queries.select("query_id", *[F.coalesce(c, F.lit("")).alias(c) for c in texts]), "asked")
+        firsts = written(asked.groupBy(*texts).agg(F.min("query_id").alias("first_id")), "distinct")
+        hits = super().search(firsts.withColumnRenamed("first_id", "query_id"), config).withColumnRenamed("query_id", "first_id")
+        of_all = asked.join(firsts, texts).select("query_id", "first_id").join(hits, "first_id")
+        # few rows: texts they are joined to need not move
+        return written(of_all.select("query_id", "rank", "doc_id", "rrf_score"), "shared-hits")
