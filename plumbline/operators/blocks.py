@@ -1,6 +1,6 @@
 """A lexical index in blocks, of which a query reads what can still win.
 
-Documents are ranked by their length and dealt into blocks of ``DOCS`` neighbours, whose words count about alike.  A row of
+Documents are dealt by their length into blocks of about ``DOCS`` neighbours, whose words count about alike.  A row of
 ``blocks`` (term, block, n, most, postings) holds the impacts of a term on the documents of a block and the largest of
 them; rows lie sorted by term, and bounds are read without their postings.  ``terms`` (term, df, idf, most) holds the
 largest impact of all.  An impact, times idf, is what a word that is asked for once adds to the score.
@@ -27,9 +27,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions import text as fx
-from ..storage import written
+from ..storage import written, written_to
 from .lexical import LexicalIndex
-from .ranks import global_ranks
 
 DOCS = 8
 #: Of a query's postings, what the first partial scores are made of.
@@ -50,22 +49,36 @@ class BlockedIndex:
     terms: DataFrame
 
     @classmethod
-    def build(cls, index: LexicalIndex, docs_per_block: int = DOCS, k1: float = DEFAULTS.bm25_k1, b: float = DEFAULTS.bm25_b) -> BlockedIndex:
-        ranked = global_ranks(index.docs.where("dl > 0"), "dl", "doc_id").select("doc_id", F.floor(F.col("rank") / docs_per_block).alias("block"))
+    def build(cls, index: LexicalIndex, docs_per_block: int = DOCS, k1: float = DEFAULTS.bm25_k1, b: float = DEFAULTS.bm25_b, folder: str | None = None) -> BlockedIndex:
+        """With ``folder`` the blocks are written there, and not copied by ``create``."""
+        # documents of a length are dealt by a digest into the places of that length, so none moves to learn its block
+        lengths = index.docs.where("dl > 0").groupBy("dl").agg(F.count("*").alias("_n"))
+        before = F.sum("_n").over(Window.orderBy("dl")) - F.col("_n")
+        places = lengths.withColumn("_before", before)
+        place = F.col("_before") + F.pmod(F.xxhash64("doc_id"), F.col("_n"))
+        placed = index.words.join(F.broadcast(places), "dl").withColumn("block", F.floor(place / docs_per_block)).select("doc_id", "block", "dl", F.inline(F.arrays_zip("terms", "tfs")).alias("term", "tf"))
+        # words move once, to where they are gathered and lie sorted; what moves are small numbers, impacts are made of them there
+        moved = placed.select("term", "block", "doc_id", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl")).repartitionByRange("term", "block")
         norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
         impact = F.col("tf") * (k1 + 1.0) / (F.col("tf") + norm)
-        # documents meet their blocks whole; their words move once, to where they are gathered and lie sorted
-        placed = index.words.join(ranked, "doc_id").crossJoin(F.broadcast(index.stats)).select("doc_id", "block", "dl", "avgdl", F.inline(F.arrays_zip("terms", "tfs")).alias("term", "tf"))
-        weighted = placed.select("term", "block", "doc_id", impact.alias("impact")).repartitionByRange("term", "block")
+        weighted = moved.crossJoin(F.broadcast(index.stats)).select("term", "block", "doc_id", impact.alias("impact"))
         held = F.collect_list(F.struct("doc_id", "impact"))
-        gathered = weighted.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("impact").alias("most"), held.alias("postings"))
-        blocks = written(gathered.sortWithinPartitions("term", "block"), "blocks")
+        gathered = weighted.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("impact").alias("most"), held.alias("postings")).sortWithinPartitions("term", "block")
+        blocks = written(gathered, "blocks") if folder is None else written_to(gathered, f"{folder}/blocks")
         counts = blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("most").alias("most"))
         return cls(blocks, counts.join(index.terms.select("term", "idf"), "term"))
 
+    @classmethod
+    def create(cls, index: LexicalIndex, folder: str) -> None:
+        """Build and save in one, with one copy of the blocks."""
+        cls.build(index, folder=folder)._save_terms(folder, "overwrite")
+
+    def _save_terms(self, folder: str, mode: str) -> None:
+        self.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{folder}/block-terms")
+
     def save(self, folder: str, mode: str = "overwrite") -> None:
         self.blocks.sortWithinPartitions("term", "block").write.mode(mode).parquet(f"{folder}/blocks")
-        self.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{folder}/block-terms")
+        self._save_terms(folder, mode)
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> BlockedIndex:

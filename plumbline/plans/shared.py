@@ -26,12 +26,12 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
     """The index of the documents, written by the first query that asks for it and read from there by the others."""
-    return LexicalIndex.load(spark, once(table(spark, sf_dir, "documents"), "index", lambda folder: LexicalIndex.build(documents(spark, sf_dir)).save(folder)))
+    return LexicalIndex.load(spark, once(table(spark, sf_dir, "documents"), "index", lambda folder: LexicalIndex.create(documents(spark, sf_dir), folder)))
 
 
 def blocked_index(spark: SparkSession, sf_dir: str) -> BlockedIndex:
     index = stored_index(spark, sf_dir)
-    return BlockedIndex.load(spark, once(table(spark, sf_dir, "documents"), "blocked", lambda folder: BlockedIndex.build(index).save(folder)))
+    return BlockedIndex.load(spark, once(table(spark, sf_dir, "documents"), "blocked", lambda folder: BlockedIndex.create(index, folder)))
 
 
 def lexical_top(spark: SparkSession, sf_dir: str, k: int = 4) -> DataFrame:

@@ -36,10 +36,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: a lost executor costs a re-read, not a re-run, and
     values that depend on partitioning stay what they were.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
+    return written_to(df, shared_path(df.sparkSession, name))
+
+
+def written_to(df: DataFrame, path: str) -> DataFrame:
+    """The same at a path of the caller's."""
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _file_system(spark: SparkSession, path: str):
